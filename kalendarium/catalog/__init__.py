@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["listing"]
+FAMILIES = ["listing", "health"]
 
 
 def _merged(attribute: str) -> dict:

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: blank, tab, line feed, carriage return, NUL and vertical tab
 _EDGE = r"[ \t\n\r\x00\x0B]+"
@@ -33,7 +34,7 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

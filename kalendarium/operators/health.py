@@ -111,16 +111,28 @@ def set_source_flags(sources: DataFrame, changes: DataFrame, now: str) -> DataFr
     return sources.join(delta, "id", "left").withColumns({"enabled": F.coalesce("_enabled", "enabled"), "approved_at": approved}).select(*sources.columns)
 
 
-def import_report(actions: DataFrame, errors: DataFrame | None = None, duration_ms: dict | None = None) -> DataFrame:
-    """Tallies per source from the merge's action column and the extraction's error rows."""
-    per = lambda name: F.count_if(F.col("action") == name).alias(name)
-    rows = actions.select("source_id", "action")
-    if errors is not None:
-        rows = rows.unionByName(errors.select("source_id", F.lit("error").alias("action")))
-    tally = rows.groupBy("source_id").agg(
-        F.count_if(F.col("action") != "error").alias("seen"), per("created"), per("updated"), per("unchanged"),
-        F.count_if(F.col("action") == "duplicate").alias("duplicates"), F.count_if(F.col("action") == "error").alias("errors"),
+def import_report(actions: DataFrame, fatal: DataFrame | None = None) -> DataFrame:
+    """Tallies per source from the merge's action column (``error`` for rejected rows). A run is failed
+    when its body could not be read (``fatal``: source_id, message) or when every row was rejected."""
+    per = lambda name: F.count_if(F.col("action") == name)
+    tally = actions.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("seen"), per("created").alias("created"), per("updated").alias("updated"),
+        per("unchanged").alias("unchanged"), per("duplicate").alias("duplicates"), per("error").alias("errors"),
     )
-    worked = F.col("created") + F.col("updated") + F.col("unchanged") + F.col("duplicates")
-    status = F.when((F.col("errors") > 0) & (worked == 0), "failed").when(F.col("errors") > 0, "partial").otherwise("ok")
-    return tally.withColumn("status", status)
+    if fatal is None:
+        rows = tally.withColumn("message", F.lit(None).cast("string"))
+    else:
+        rows = tally.join(fatal.groupBy("source_id").agg(F.min("message").alias("message")), "source_id", "full")
+        rows = rows.fillna(0, ["seen", "created", "updated", "unchanged", "duplicates", "errors"])
+    all_rejected = F.when((F.col("seen") > 0) & (F.col("errors") == F.col("seen")), F.format_string("Alle %d Events konnten nicht gespeichert werden (siehe Log).", "seen"))
+    rows = rows.withColumn("message", F.coalesce("message", all_rejected))
+    status = F.when(F.col("message").isNotNull(), "failed").when(F.col("errors") > 0, "partial").otherwise("ok")
+    return rows.withColumn("status", status)
+
+
+def close_runs(report: DataFrame, started_at, finished_at) -> DataFrame:
+    """Run-log rows for a finished import."""
+    begin, end = as_ntz(started_at), as_ntz(finished_at)
+    millis = F.timestamp_diff("MILLISECOND", begin, end).cast("int")
+    return report.select("source_id", begin.alias("started_at"), end.alias("finished_at"), millis.alias("duration_ms"),
+                         "status", "seen", "created", "updated", "unchanged", "duplicates", "errors", F.lit(False).alias("dry_run"), "message")
