@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["listing", "health"]
+FAMILIES = ["listing", "health", "merge"]
 
 
 def _merged(attribute: str) -> dict:

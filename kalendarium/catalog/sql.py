@@ -161,8 +161,67 @@ VISITS = """vis AS (
     CASE WHEN event_id % 11 = 0 THEN 'SomeBot/1.0' WHEN event_id % 13 = 0 THEN '' ELSE 'Mozilla ' || (user_id % 7) END AS user_agent
   FROM events)"""
 
-CTES = {"occ": OCC, "ev": EV, "ven": VEN, "src": SRC, "reg": REG, "cat": CAT, "evcat": EVCAT, "dec": DEC, "cdec": CDEC, "runs": RUNS, "vis": VISITS}
-NEEDS = {"ev": ["occ"], "evcat": ["occ", "cat"], "dec": ["ev"], "cdec": ["ev"]}
+INC = """inc0 AS (
+  SELECT source_id, id AS position, CASE WHEN id % 97 = 0 THEN '' WHEN id % 3 = 2 THEN 'Neu ' || title ELSE title END AS title, starts_at, ends_at, all_day,
+    CASE WHEN id % 3 = 1 THEN coalesce(description, '') || ' neu' ELSE description END AS description, venue_name,
+    CASE WHEN id % 9 = 0 THEN lower(city) WHEN id % 9 = 1 THEN 'Ort ' || region_id ELSE city END AS city, location_text, category_slugs, source_url, image_url,
+    price, organizer, CASE WHEN id % 3 = 2 AND id % 10 = 0 THEN NULL WHEN id % 3 = 2 THEN 'neu-' || id ELSE external_id END AS external_id, is_course, booking_status
+  FROM occ)"""
+
+INCALL = """inc AS (SELECT * FROM inc0 UNION ALL SELECT * REPLACE (position + 10000000000 AS position, title || ' II' AS title, 'zweiter Stand' AS description) FROM inc0 WHERE position % 20 = 7)"""
+
+TOWNS = f"""towns AS (SELECT CAST(n_regionkey AS BIGINT) AS region_id, n_nationkey AS ord, n_name AS name, {norm('n_name')} AS key FROM nation)"""
+
+
+def canonical_city(raw: str, region: str) -> str:
+    key = norm(raw)
+    alias = f"CASE WHEN {key} = 'ort' || {region} THEN (SELECT name FROM towns t WHERE t.region_id = {region} ORDER BY ord LIMIT 1 OFFSET 1) END"
+    prefix = f"(SELECT name FROM towns t WHERE t.region_id = {region} AND starts_with({key}, t.key) ORDER BY ord LIMIT 1)"
+    return f"coalesce({alias}, {prefix}, {raw})"
+
+
+INCN = f"""incn AS (
+  SELECT *, {dedup_key('title', 'starts_at', 'all_day', 'coalesce(city, venue_name, location_text, ' + chr(39) * 2 + ')')} AS dedup_key, {content_hash()} AS content_hash
+  FROM (SELECT inc.* REPLACE ({canonical_city('inc.city', 's.region_id')} AS city), s.region_id FROM inc JOIN src s ON s.id = inc.source_id WHERE title <> ''))"""
+
+STEPS = """steps AS (
+  SELECT *, lag(content_hash) OVER w AS before_hash, lag(description) OVER w AS before_text FROM (
+    SELECT *, CASE WHEN matched_id IS NULL THEN run_key ELSE 'ev:' || matched_id END AS entity FROM (
+      SELECT n.*, CASE WHEN coalesce(n.external_id, '') <> '' THEN 'id:' || n.external_id ELSE 'key:' || n.dedup_key END AS run_key,
+        CASE WHEN coalesce(n.external_id, '') <> '' THEN a.id ELSE b.id END AS matched_id FROM incn n
+      LEFT JOIN (SELECT source_id, external_id, min(id) AS id FROM ev WHERE coalesce(external_id, '') <> '' GROUP BY ALL) a ON a.source_id = n.source_id AND a.external_id = n.external_id
+      LEFT JOIN (SELECT source_id, dedup_key, min(id) AS id FROM ev GROUP BY ALL) b ON b.source_id = n.source_id AND b.dedup_key = n.dedup_key))
+  WINDOW w AS (PARTITION BY source_id, entity ORDER BY position))"""
+
+ACTED = """acted AS (
+  SELECT s.*, CASE WHEN matched_id IS NOT NULL AND s.content_hash = coalesce(before_hash, e.content_hash) THEN 'unchanged' WHEN matched_id IS NOT NULL THEN 'updated'
+      WHEN before_hash IS NULL THEN 'created' ELSE 'unchanged' END AS action,
+    matched_id IS NOT NULL AND s.content_hash <> coalesce(before_hash, e.content_hash)
+      AND s.description IS DISTINCT FROM CASE WHEN before_hash IS NULL THEN e.description ELSE before_text END AS new_text
+  FROM steps s LEFT JOIN ev e ON e.id = matched_id)"""
+
+HEADS = """heads AS (
+  SELECT * FROM (SELECT *, max(CASE WHEN action = 'updated' THEN 1 ELSE 0 END) OVER p = 1 AS changed, max(CASE WHEN new_text THEN 1 ELSE 0 END) OVER p = 1 AS cleared,
+    row_number() OVER (PARTITION BY source_id, entity ORDER BY CASE WHEN matched_id IS NULL THEN position ELSE -position END) AS rn FROM acted
+    WINDOW p AS (PARTITION BY source_id, entity)) WHERE rn = 1)"""
+
+CREATED = """created AS (
+  SELECT h.*, (SELECT max(id) FROM ev) + row_number() OVER (ORDER BY left(md5(h.source_id || '|' || run_key), 3), h.source_id || '|' || run_key) AS id, m.matched_id AS canonical_id
+  FROM heads h LEFT JOIN (SELECT x.source_id, x.run_key, min(e.id) AS matched_id FROM heads x JOIN ev e ON e.dedup_key = x.dedup_key AND e.region_id = x.region_id AND e.source_id <> x.source_id
+    AND e.status = 'published' JOIN src ON src.id = e.source_id AND enabled WHERE x.matched_id IS NULL GROUP BY ALL) m USING (source_id, run_key)
+  WHERE h.matched_id IS NULL)"""
+
+VENUED = f"""vw AS (
+  SELECT region_id, dk AS dedup_key, first(name ORDER BY source_id, position) AS name, first(c ORDER BY source_id, position) AS city FROM (
+    SELECT h.region_id, h.source_id, h.position, h.venue_name AS name, coalesce(h.city, r.default_city) AS c, {strip('h.venue_name')} || '|' || {strip('coalesce(h.city, r.default_city)')} AS dk
+    FROM heads h JOIN reg r ON r.id = h.region_id WHERE (matched_id IS NULL OR changed) AND venue_name IS NOT NULL) GROUP BY region_id, dk),
+ven2 AS (
+  SELECT id, region_id, name, city, dedup_key FROM ven UNION ALL
+  SELECT (SELECT max(id) FROM ven) + row_number() OVER (ORDER BY left(md5(region_id || '|' || dedup_key), 3), region_id || '|' || dedup_key), region_id, name, city, dedup_key
+  FROM vw WHERE NOT EXISTS (SELECT 1 FROM ven v WHERE v.region_id = vw.region_id AND v.dedup_key = vw.dedup_key))"""
+
+CTES = {"inc0": INC, "inc": INCALL, "towns": TOWNS, "incn": INCN, "steps": STEPS, "acted": ACTED, "heads": HEADS, "created": CREATED, "ven2": VENUED, "occ": OCC, "ev": EV, "ven": VEN, "src": SRC, "reg": REG, "cat": CAT, "evcat": EVCAT, "dec": DEC, "cdec": CDEC, "runs": RUNS, "vis": VISITS}
+NEEDS = {"inc0": ["occ"], "inc": ["inc0"], "incn": ["inc", "src", "towns"], "steps": ["incn", "ev"], "acted": ["steps"], "heads": ["acted"], "created": ["heads"], "ven2": ["heads", "reg", "ven"], "ev": ["occ"], "evcat": ["occ", "cat"], "dec": ["ev"], "cdec": ["ev"]}
 
 VISIBLE = """vi AS (
   SELECT e.*, s.key AS source_key, s.name AS source_name, s.type AS source_type, s.facts_only, s.approved_at, s.enabled, s.url AS source_home,

@@ -214,3 +214,23 @@ class Tables:
             F.col("text").alias("message"), (ts("2024-01-01 00:00:00") + F.make_dt_interval(hours=F.col("turn").cast("int"), mins=(F.col("conv_id") % 60).cast("int"))).alias("created_at"),
             (F.col("conv_id") % 4 == 0).alias("spam"), F.lit(None).cast("string").alias("spam_reason"), (F.col("turn") % 2 == 0).alias("seen"),
         )
+
+    @cached_property
+    def incoming(self) -> DataFrame:
+        """A second snapshot: a third as stored, a third edited, a third new, some ids listed twice."""
+        o = self.occurrences
+        i = F.col("id")
+        new = every(3, 2)
+        rows = o.select(
+            "source_id", i.alias("position"), F.when(every(97), "").when(new, F.concat(F.lit("Neu "), "title")).otherwise(F.col("title")).alias("title"),
+            "starts_at", "ends_at", "all_day",
+            F.when(every(3, 1), F.concat(F.coalesce("description", F.lit("")), F.lit(" neu"))).otherwise(F.col("description")).alias("description"),
+            "venue_name", F.when(every(9), F.lower("city")).when(every(9, 1), F.concat(F.lit("Ort "), F.col("region_id").cast("string"))).otherwise(F.col("city")).alias("city"),
+            "location_text", "category_slugs", "source_url", "image_url", "price", "organizer",
+            F.when(new & every(10), F.lit(None)).when(new, F.concat(F.lit("neu-"), i.cast("string"))).otherwise(F.col("external_id")).alias("external_id"),
+            F.lit(None).cast("string").alias("raw"), "is_course", "booking_status",
+        )
+        again = rows.filter(F.col("position") % 20 == 7).withColumns({
+            "position": F.col("position") + 10_000_000_000, "title": F.concat("title", F.lit(" II")), "description": F.lit("zweiter Stand"),
+        })
+        return rows.unionByName(again)

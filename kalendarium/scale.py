@@ -8,6 +8,7 @@ they never drop or cap rows to do so.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,7 +67,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, out: s
     )
     within = W.partitionBy(*keys, ts, "_block").orderBy(row_id)
     return (
-        marked.join(offsets, [*keys, ts, "_block"])
+        marked.join(offsets, [*keys, ts, "_block"], "left")
         .withColumn(out, F.col("_base") + F.row_number().over(within))
         .select(*df.columns, out)
     )
@@ -88,7 +89,7 @@ def number_keys(df: DataFrame, key: Column, out: str = "rank", buckets: int = 40
         F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
     )
     return (
-        marked.join(offsets, "_b")
+        marked.join(offsets, "_b", "left")
         .withColumn(out, F.col("_base") + F.row_number().over(W.partitionBy("_b").orderBy("_k")))
         .select(*df.columns, out)
     )
@@ -96,15 +97,36 @@ def number_keys(df: DataFrame, key: Column, out: str = "rank", buckets: int = 40
 
 def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread_on: str) -> DataFrame:
     """Left-join per-group values onto the rows of each group. Groups above HOT_GROUP rows are
-    broadcast (their number is bounded by the total) and their rows spread over the shuffle."""
+    broadcast (their number is bounded by the total); their rows, and rows without a key, are spread
+    over the shuffle."""
     values = [c for c in groups.columns if c not in keys]
     hot = groups.filter(F.col(size) > HOT_GROUP)
     cold = groups.filter(F.col(size) <= HOT_GROUP).withColumn("_salt", F.lit(0).cast("long"))
     hot_side = hot.select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = (
         df.join(F.broadcast(hot_side), list(keys), "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(spread_on)).otherwise(F.lit(0).cast("long")))
+        .withColumn("_salt", F.when(F.col("_hot") | no_key, F.xxhash64(spread_on)).otherwise(F.lit(0).cast("long")))
     )
     joined = spread.join(cold, [*keys, "_salt"], "left")
     picked = [F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
     return joined.select(*df.columns, *picked)
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], position: str, value: Column, out: str) -> DataFrame:
+    """``lag(value)`` per key in position order. Positions are cut into blocks of ID_BLOCK; a block's
+    first row takes the last value of the block before it, so no task orders a whole group."""
+    marked = df.withColumn("_v", F.struct(value.alias("v"))).withColumn("_block", F.floor(F.col(position) / ID_BLOCK))
+    lasts = marked.groupBy(*keys, "_block").agg(F.max_by("_v", position).alias("_last"))
+    carried = lasts.withColumn("_carry", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    own = F.lag("_v").over(W.partitionBy(*keys, "_block").orderBy(position))
+    return (
+        marked.withColumn("_own", own).join(carried, [*keys, "_block"], "left")
+        .withColumn(out, F.coalesce("_own", "_carry")["v"])
+        .select(*df.columns, out)
+    )
+
+
+def with_constant(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach a one-row aggregate to every row."""
+    return df.join(F.broadcast(one_row.limit(1)))
