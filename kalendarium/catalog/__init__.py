@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["listing", "health", "merge"]
+FAMILIES = ["listing", "health", "merge", "resolve"]
 
 
 def _merged(attribute: str) -> dict:
