@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["listing", "health", "merge", "resolve"]
+FAMILIES = ["listing", "health", "merge", "resolve", "extract"]
 
 
 def _merged(attribute: str) -> dict:

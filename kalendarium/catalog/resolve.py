@@ -53,7 +53,7 @@ def _chain_proposals(t: Tables):
 
 def _category_proposals(t: Tables):
     i = F.col("id")
-    slug = lambda n: F.element_at(F.array(*[F.lit(s) for s in CATEGORY_SLUGS + ["unfug"]]), (n % 11 + 1).cast("int"))
+    slug = lambda n: F.element_at(F.array(*[F.lit(s) for s in CATEGORY_SLUGS + ["unfug"]]), (n % 12 + 1).cast("int"))
     return t.events.filter(~every(9)).select(i.alias("event_id"), i.alias("position"), slug(i).alias("primary"), slug(i + 3).alias("secondary"), F.lit(" passt ").alias("reason"))
 
 
@@ -189,7 +189,7 @@ _SENT = f"SELECT vi.*, coalesce((SELECT list(cat.slug ORDER BY sort_order) FROM
 _CATS = "[" + ", ".join(f"'{s}'" for s in CATEGORY_SLUGS + ["unfug"]) + "]"
 _DECIDE = f"""SELECT *, CASE WHEN picked IS NULL OR pinned THEN 'dismissed' WHEN real AND list_contains(slugs, picked[1]) THEN 'agreed' ELSE 'applied' END AS status FROM (
   SELECT id, slugs, list_contains(locked_fields, 'categories') AS pinned, len(list_filter(slugs, lambda s: s <> 'sonstiges')) > 0 AS real,
-    CASE WHEN id % 9 <> 0 AND id % 11 <> 10 THEN CASE WHEN (id + 3) % 11 <> 10 THEN [{_CATS}[id % 11 + 1], {_CATS}[(id + 3) % 11 + 1]] ELSE [{_CATS}[id % 11 + 1]] END END AS picked FROM sent)"""
+    CASE WHEN id % 9 <> 0 AND id % 12 <> 11 THEN CASE WHEN (id + 3) % 12 <> 11 THEN [{_CATS}[id % 12 + 1], {_CATS}[(id + 3) % 12 + 1]] ELSE [{_CATS}[id % 12 + 1]] END END AS picked FROM sent)"""
 _NEED = f"SELECT * FROM vi WHERE {relevant(T_NOW)} AND summary IS NULL AND coalesce(description, '') <> '' AND NOT facts_only"
 _CLEAN = "trim(regexp_replace(translate(coalesce({}, ''), '<>', '  '), '\\s+', ' ', 'g'))"
 

@@ -124,7 +124,9 @@ class Tables:
             F.concat(F.lit("https://www."), key, F.lit(".example/feed?x=1")).alias("url"), F.lit("ics").alias("importer"),
             (n % 9 != 0).alias("enabled"), (n % 4 == 0).alias("facts_only"),
             F.when(n % 3 != 0, ts("1998-01-01 00:00:00")).alias("approved_at"),
-            F.create_map(F.lit("city"), F.col("n_name"), F.lit("category"), F.lit("kunst")).alias("config"),
+            F.create_map(
+                F.lit("city"), F.col("n_name"), F.lit("category"), F.lit("kunst"), F.lit("categoryMap"), F.lit('{"musik":"musik","fest":"markt"}'),
+            ).alias("config"),
             F.lit(None).cast("timestamp_ntz").alias("last_run_at"), F.lit(None).cast("string").alias("last_status"),
         )
 
@@ -234,3 +236,15 @@ class Tables:
             "position": F.col("position") + 10_000_000_000, "title": F.concat("title", F.lit(" II")), "description": F.lit("zweiter Stand"),
         })
         return rows.unionByName(again)
+
+    def bodies(self, text, head: str = "", tail: str = "", joint: str = "", where=None) -> DataFrame:
+        """Fetched bodies: the rows of up to 100 consecutive ids of a source joined into one text."""
+        rows = self.occurrences if where is None else self.occurrences.filter(where)
+        chunk = F.floor(F.col("id") / 100)
+        texts = rows.select("source_id", chunk.alias("chunk"), "id", text.alias("text")).groupBy("source_id", "chunk").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda r: r["text"]), joint).alias("inner")
+        )
+        return texts.select(
+            "source_id", F.concat(F.lit("https://host.example/feed/"), F.col("chunk").cast("string")).alias("url"), ts(NOW).alias("fetched_at"),
+            (F.col("chunk") * 1_000_000).alias("position"), F.concat(F.lit(head), "inner", F.lit(tail)).alias("body"), "chunk",
+        )

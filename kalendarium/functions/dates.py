@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kalendarium.functions.text import trim_edges
-from kalendarium.functions.times import berlin_wall, day_start
+from kalendarium.functions.times import berlin_wall
 
 # Month names in folded spelling, with their numbers.
 MONTHS = {
@@ -21,13 +22,27 @@ MONTH_NAMES = "Januar Februar März April Mai Juni Juli August September Oktober
 WEEKDAY_NAMES = "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag".split()
 
 
-def _int(c: Column) -> Column:
-    return F.nullif(c, F.lit("")).try_cast("int")
+_SEP = "\x01"
 
 
-def group(c: Column, pattern: str, n: int) -> Column:
-    """Capture group ``n`` of the first match, null when there is none."""
-    return F.nullif(F.regexp_extract(c, pattern, n), F.lit(""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def captures(text: Column, pattern: str) -> Column:
+    """All groups of the first match as one array (one regex run), null when there is no match."""
+    groups = re.compile(pattern).groups
+    whole = rf"^[\s\S]*?(?:{pattern})[\s\S]*$"
+    return F.when(text.rlike(pattern), F.split(F.regexp_replace(text, whole, _SEP.join(f"${n + 1}" for n in range(groups))), _SEP))
+
+
+def text_part(parts: Column, n: int) -> Column:
+    return F.nullif(F.get(parts, F.lit(n - 1)), F.lit(""))
+
+
+def number_part(parts: Column, n: int) -> Column:
+    return text_part(parts, n).try_cast("int")
 
 
 def safe_date(year: Column, month: Column, day: Column, hour: Column | int = 0, minute: Column | int = 0) -> Column:
@@ -56,90 +71,107 @@ def _clamped(c: Column, top: int) -> Column:
     return F.least(F.coalesce(c, F.lit(0)), F.lit(top))
 
 
-def _numeric(day_text: Column, hour: Column, minute: Column) -> Column:
-    shape = r"^(\d{1,2})\.(\d{1,2})\.(\d{2,4})$"
-    part = lambda n: _int(group(day_text, shape, n))
-    return safe_date(_sane(full_year(part(3))), part(2), part(1), _clamped(hour, 23), _clamped(minute, 59))
-
-
 _DAY, _TIME = r"\d{1,2}\.\d{1,2}\.\d{2,4}", r"(?:,?\s*(\d{1,2})[:.](\d{2}))?"
-_LABELLED = rf"Datum:\s*({_DAY}){_TIME}(?:\s*[-–]\s*({_DAY}){_TIME})?"
+_DAY_PARTS = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})"
+_LABELLED = rf"Datum:\s*{_DAY_PARTS}{_TIME}(?:\s*[-–]\s*{_DAY_PARTS}{_TIME})?"
 _SPELLED = r"(\d{1,2})\.\s*([A-Za-zäöüÄÖÜ]+)\s+(\d{4})"
 
 
-def _time_near(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Hour and minute in the text right after the first match: ``HH:MM`` first, then ``HH Uhr``.
-    The window is 60 characters (bytes in ASCII text)."""
-    window = F.left(F.regexp_extract(text, rf"(?s)^.*?(?:{pattern})(.*)$", _groups(pattern) + 1), F.lit(60))
-    clock_h, clock_m = _int(group(window, r"(\d{1,2}):(\d{2})", 1)), _int(group(window, r"(\d{1,2}):(\d{2})", 2))
-    bare = _int(group(window, r"(\d{1,2})\s*Uhr", 1))
-    return F.coalesce(clock_h, bare), F.when(clock_h.isNotNull(), clock_m).when(bare.isNotNull(), 0)
+def _numeric(parts: Column, first: int, hour: Column, minute: Column) -> Column:
+    """Day, month and year from three captures on, with a forgiving time."""
+    year = _sane(full_year(number_part(parts, first + 2)))
+    return safe_date(year, number_part(parts, first + 1), number_part(parts, first), _clamped(hour, 23), _clamped(minute, 59))
+
 
+def _time_near(rest: Column) -> Column:
+    """struct(h, m) within the 60 characters after a date: ``HH:MM`` first, then ``HH Uhr``."""
+    def read(window: Column) -> Column:
+        clock = captures(window, r"(\d{1,2}):(\d{2})")
+        bare = number_part(captures(window, r"(\d{1,2})\s*Uhr"), 1)
+        hour = F.coalesce(number_part(clock, 1), bare)
+        return F.struct(hour.alias("h"), F.coalesce(number_part(clock, 2), F.when(bare.isNotNull(), 0)).alias("m"))
 
-def _groups(pattern: str) -> int:
-    return re.compile(pattern).groups
+    return let(F.left(rest, F.lit(60)), read)
 
 
 def german_dates(text: Column) -> Column:
     """struct(start, end) by ordered strategies: labelled range, numeric date, spelled month."""
-    g = lambda n: group(text, _LABELLED, n)
-    label_start = F.when(g(1).isNotNull(), _numeric(g(1), _int(g(2)), _int(g(3))))
-    label_end = F.when(g(4).isNotNull(), _numeric(g(4), _int(g(5)), _int(g(6))))
-    numeric = _numeric(group(text, f"({_DAY})", 1), *_time_near(text, _DAY))
-    s = lambda n: group(text, _SPELLED, n)
-    hour, minute = _time_near(text, _SPELLED)
-    spelled = safe_date(_sane(_int(s(3))), month_number(s(2)), _int(s(1)), _clamped(hour, 23), _clamped(minute, 59))
-    end = F.when(label_start.isNotNull() & (label_end > label_start), label_end)
-    return F.struct(F.coalesce(label_start, numeric, spelled).alias("start"), end.alias("end"))
+    rest = r"([\s\S]*)"
+
+    def labelled(p: Column) -> Column:
+        start = _numeric(p, 1, number_part(p, 4), number_part(p, 5))
+        end = _numeric(p, 6, number_part(p, 9), number_part(p, 10))
+        return F.struct(start.alias("start"), F.when(end > start, end).alias("end"))
+
+    def numeric(p: Column) -> Column:
+        return let(_time_near(F.get(p, F.lit(3))), lambda t: _numeric(p, 1, t["h"], t["m"]))
+
+    def spelled(p: Column) -> Column:
+        return let(_time_near(F.get(p, F.lit(3))), lambda t: safe_date(
+            _sane(number_part(p, 3)), month_number(text_part(p, 2)), number_part(p, 1), _clamped(t["h"], 23), _clamped(t["m"], 59)
+        ))
+
+    found = let(captures(text, _LABELLED), labelled)
+    other = F.coalesce(let(captures(text, _DAY_PARTS + rest), numeric), let(captures(text, _SPELLED + rest), spelled))
+    return let(found, lambda f: F.struct(F.coalesce(f["start"], other).alias("start"), f["end"].alias("end")))
 
 
 def course_date(text: Column) -> Column:
     """``Mi. 02.09.2026, 17.45 Uhr``: the four-digit year is tried first; time after a comma, else before Uhr."""
-    shape = r"(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})(?!\d)"
-    part = lambda n: _int(group(text, shape, n))
-    comma, uhr = r",\s*(\d{1,2})[.:](\d{2})", r"(\d{1,2})[.:](\d{2})\s*Uhr"
-    hour = F.coalesce(_int(group(text, comma, 1)), _int(group(text, uhr, 1)), F.lit(0))
-    minute = F.coalesce(_int(group(text, comma, 2)), _int(group(text, uhr, 2)), F.lit(0))
-    return safe_date(full_year(part(3)), part(2), part(1), hour, minute)
+    def clock(c: Column, u: Column, n: int) -> Column:
+        return F.coalesce(number_part(c, n), number_part(u, n), F.lit(0))
+
+    comma, uhr = captures(text, r",\s*(\d{1,2})[.:](\d{2})"), captures(text, r"(\d{1,2})[.:](\d{2})\s*Uhr")
+    time = F.struct(comma.alias("c"), uhr.alias("u"))
+    date = captures(text, r"(\d{1,2})\.(\d{1,2})\.(\d{4}|\d{2})(?!\d)")
+    return let(F.struct(date.alias("d"), time.alias("t")), lambda x: safe_date(
+        full_year(number_part(x["d"], 3)), number_part(x["d"], 2), number_part(x["d"], 1), clock(x["t"]["c"], x["t"]["u"], 1), clock(x["t"]["c"], x["t"]["u"], 2)
+    ))
 
 
 def has_clock(text: Column) -> Column:
     return text.rlike(r"\d{2}:\d{2}")
 
 
+_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?"
+
+
+def _iso(p: Column) -> Column:
+    zero = lambda n: F.coalesce(number_part(p, n), F.lit(0))
+    wall = safe_date(number_part(p, 1), number_part(p, 2), number_part(p, 3), zero(4), zero(5)) + F.make_dt_interval(secs=zero(6))
+    zone = text_part(p, 7)
+    offset = F.when(zone == "Z", "+00:00").when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone)
+    timed = number_part(p, 4).isNotNull() & offset.isNotNull()
+    return let(wall, lambda w: F.when(timed, berlin_wall(w, F.coalesce(offset, F.lit("+00:00")))).otherwise(w))
+
+
+def _german(value: Column) -> Column:
+    clock = captures(value, r"(\d{1,2})[:.](\d{2})\s*[Uu][Hh][Rr]?")
+
+    def dated(t: Column) -> Column:
+        hour, minute = (F.coalesce(number_part(t["c"], n), F.lit(0)) for n in (1, 2))
+        dotted = let(captures(value, r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})"), lambda p: safe_date(number_part(p, 3), number_part(p, 2), number_part(p, 1), hour, minute))
+        spelled = let(captures(value, r"(\d{1,2})\.?\s+([A-Za-zäöüÄÖÜ]+)\s+(\d{4})"), lambda p: safe_date(number_part(p, 3), month_number(text_part(p, 2)), number_part(p, 1), hour, minute))
+        return F.coalesce(dotted, spelled)
+
+    return let(F.struct(clock.alias("c")), dated)
+
+
 def iso_or_german_date(text: Column) -> Column:
     """ISO with or without zone (to Berlin), date-only as midnight, German forms as fallback."""
-    value = trim_edges(text)
-    shape = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?"
-    part = lambda n: _int(group(value, shape, n))
-    wall = safe_date(part(1), part(2), part(3), F.coalesce(part(4), F.lit(0)), F.coalesce(part(5), F.lit(0)))
-    wall = wall + F.make_dt_interval(secs=F.coalesce(part(6), F.lit(0)))
-    zone = group(value, shape, 7)
-    offset = F.when(zone == "Z", "+00:00").when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone)
-    moved = F.when(offset.isNotNull(), berlin_wall(wall, F.coalesce(offset, F.lit("+00:00")))).otherwise(wall)
-    iso = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.when(has_clock(value), moved).otherwise(day_start(wall)))
-    clock = r"(?iu)(\d{1,2})[:.](\d{2})\s*Uhr?"
-    hour, minute = (F.coalesce(_int(group(value, clock, n)), F.lit(0)) for n in (1, 2))
-    dotted, spelled = r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})", r"(\d{1,2})\.?\s+([A-Za-zäöüÄÖÜ]+)\s+(\d{4})"
-    d = lambda n: _int(group(value, dotted, n))
-    german = F.coalesce(
-        safe_date(d(3), d(2), d(1), hour, minute),
-        safe_date(_int(group(value, spelled, 3)), month_number(group(value, spelled, 2)), _int(group(value, spelled, 1)), hour, minute),
-    )
-    return F.coalesce(iso, german)
+    return let(trim_edges(text), lambda value: F.coalesce(let(captures(value, _ISO), _iso), _german(value)))
 
 
 def manual_moment(date: Column, time: Column) -> Column:
     """Hand-entered date (ISO or German) and optional ``H:MM``; any other shape is null."""
-    d, t = trim_edges(F.coalesce(date, F.lit(""))), trim_edges(F.coalesce(time, F.lit("")))
-    iso, german = r"^(\d{4})-(\d{2})-(\d{2})$", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$"
-    y = F.coalesce(_int(group(d, iso, 1)), _int(group(d, german, 3)))
-    m = F.coalesce(_int(group(d, iso, 2)), _int(group(d, german, 2)))
-    day = F.coalesce(_int(group(d, iso, 3)), _int(group(d, german, 1)))
-    clock = r"^(\d{1,2}):(\d{2})$"
-    hour = F.when(t == "", 0).otherwise(_int(group(t, clock, 1)))
-    minute = F.when(t == "", 0).otherwise(_int(group(t, clock, 2)))
-    return safe_date(y, m, day, hour, minute)
+    def read(v: Column) -> Column:
+        iso, german = captures(v["d"], r"^(\d{4})-(\d{2})-(\d{2})$"), captures(v["d"], r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$")
+        day = F.coalesce(iso, F.when(german.isNotNull(), F.reverse(german)))
+        clock = F.when(v["t"] == "", F.array(F.lit("0"), F.lit("0"))).otherwise(captures(v["t"], r"^(\d{1,2}):(\d{2})$"))
+        return let(F.struct(day.alias("d"), clock.alias("c")), lambda x: safe_date(*[number_part(x["d"], n) for n in (1, 2, 3)], number_part(x["c"], 1), number_part(x["c"], 2)))
+
+    blank = lambda c: trim_edges(F.coalesce(c, F.lit("")))
+    return let(F.struct(blank(date).alias("d"), blank(time).alias("t")), read)
 
 
 def next_year_if_past(day: Column, month: Column, now: Column, days: int, required: bool = False) -> Column:
@@ -174,27 +206,32 @@ def nearest_year(day: Column, month: Column, weekday: Column, now: Column) -> Co
     return F.array_min(F.array_compact(F.array(scored(-1), scored(0), scored(1))))["moment"]
 
 
-def clock_time(text: Column) -> tuple[Column, Column]:
-    shape = r"(\d{1,2}):(\d{2})"
-    return _int(group(text, shape, 1)), _int(group(text, shape, 2))
+CLOCK = r"(\d{1,2}):(\d{2})"
+_FULL_DAY = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
 
 
 def date_range(from_date: Column, from_time: Column, to_date: Column, to_time: Column) -> Column:
     """struct(start, end, all_day). A date-only end runs to 23:59; on the start day of a timed event
     it is unknown instead; an end before the start is dropped."""
-    shape = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
-
-    def moment(date: Column, hour: Column, minute: Column) -> Column:
-        part = lambda n: _int(group(date, shape, n))
-        return safe_date(part(3), part(2), part(1), hour, minute)
-
-    (fh, fm), (th, tm) = clock_time(from_time), clock_time(to_time)
-    start = moment(from_date, F.coalesce(fh, F.lit(0)), F.coalesce(fm, F.lit(0)))
-    until = moment(to_date, F.coalesce(th, F.lit(23)), F.when(th.isNull(), 59).otherwise(tm))
-    unknown = th.isNull() & fh.isNotNull() & (F.to_date(until) == F.to_date(start))
-    same_day = F.when(F.coalesce(to_time, F.lit("")) != "", moment(from_date, F.coalesce(th, F.lit(0)), F.coalesce(tm, F.lit(0))))
-    end = F.when(F.coalesce(to_date, F.lit("")) != "", F.when(~unknown, until)).otherwise(same_day)
-    return F.struct(start.alias("start"), F.when(end >= start, end).alias("end"), fh.isNull().alias("all_day"))
+    def moment(p: Column, clock: Column, hour: int, minute: int) -> Column:
+        given = clock.isNotNull()
+        return safe_date(number_part(p, 3), number_part(p, 2), number_part(p, 1), F.when(given, number_part(clock, 1)).otherwise(hour), F.when(given, number_part(clock, 2)).otherwise(minute))
+
+    def bounds(v: Column) -> Column:
+        start = moment(v["fd"], v["ft"], 0, 0)
+        until = F.when(v["to_date"] != "", moment(v["td"], v["tt"], 23, 59)).when(v["to_time"] != "", moment(v["fd"], v["tt"], 0, 0))
+        return F.struct(start.alias("start"), until.alias("end"), v["ft"].isNull().alias("all_day"), ((v["to_date"] != "") & v["tt"].isNull()).alias("open"))
+
+    def settle(b: Column) -> Column:
+        unknown = b["open"] & ~b["all_day"] & (F.to_date(b["end"]) == F.to_date(b["start"]))
+        return F.struct(b["start"].alias("start"), F.when(~unknown & (b["end"] >= b["start"]), b["end"]).alias("end"), b["all_day"].alias("all_day"))
+
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    read = F.struct(
+        captures(from_date, _FULL_DAY).alias("fd"), captures(from_time, CLOCK).alias("ft"), captures(to_date, _FULL_DAY).alias("td"),
+        captures(to_time, CLOCK).alias("tt"), blank(to_date).alias("to_date"), blank(to_time).alias("to_time"),
+    )
+    return let(let(read, bounds), settle)
 
 
 def day_label(at: Column, now: Column) -> Column:

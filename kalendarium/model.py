@@ -66,5 +66,5 @@ CAPS = {
 VENUE_NAME_CAP, VENUE_CITY_CAP, VENUE_KEY_CAP = 200, 120, 200
 
 # The event category slugs, in listing order.
-CATEGORY_SLUGS = ["musik", "party", "buehne", "kunst", "familie", "sport", "markt", "genuss", "bildung", "sonstiges"]
+CATEGORY_SLUGS = ["musik", "party", "buehne", "kino", "kunst", "familie", "sport", "markt", "genuss", "bildung", "sonstiges"]
 CATCH_ALL = "sonstiges"

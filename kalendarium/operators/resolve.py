@@ -119,6 +119,7 @@ def _follow(rows: DataFrame, targets: DataFrame) -> DataFrame:
 def rescue(rededuped: DataFrame, sources: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
     """Stranded duplicates judged on the key pass's output: all its rows with ``action`` (promote,
     rehang, refused, keep; null where nothing was judged), ``reason`` and ``new_target``."""
+    rededuped = cut_lineage(rededuped)  # read five times below
     judged = with_source(rededuped, sources)
     info = judged.select(
         F.col("id").alias("ptr"), F.struct("status", "pruned_at", "source_enabled", "dedup_key").alias("t"),
