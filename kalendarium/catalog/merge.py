@@ -10,10 +10,11 @@ from kalendarium.catalog.tables import NOW, Tables, every
 from kalendarium.functions.times import ts
 from kalendarium.operators import merge as M
 from kalendarium.operators import places as P
+from kalendarium.session import cut_lineage
 
 
 def merged(t: Tables) -> M.Merged:
-    return M.upsert(t.events, t.event_categories, t.incoming, t.sources, t.regions, t.venues, t.categories, t.category_decisions, NOW)
+    return M.upsert(t.stored_events, t.event_categories, t.incoming, t.sources, t.regions, t.venues, t.categories, t.category_decisions, NOW)
 
 
 def _prepared(t: Tables):
@@ -64,8 +65,8 @@ _EV = ["id", "title", "slug", "description", "summary", "starts_at", "ends_at",
 QUERIES = {
     "dedupe_batch": _q(lambda t: M.dedupe_batch(_prepared(t)).select("source_id", "run_key", "position", "title")),
     "disambiguate_ids": _q(lambda t: M.disambiguate_ids(_long_ids(t))),
-    "match_existing": _q(lambda t: M.match_existing(_prepared(t), t.events).select("source_id", "run_key", "matched_id")),
-    "change_actions": _q(lambda t: M.resolve_actions(_prepared(t), t.events).select("source_id", "position", "matched_id", "action")),
+    "match_existing": _q(lambda t: M.match_existing(_prepared(t), t.stored_events).select("source_id", "run_key", "matched_id")),
+    "change_actions": _q(lambda t: M.resolve_actions(cut_lineage(_prepared(t)), t.stored_events).select("source_id", "position", "matched_id", "action")),
     "upsert_actions": _q(lambda t: merged(t).actions),
     "upsert_events": _q(lambda t: merged(t).events.select(*_EV)),
     "upsert_venues": _q(lambda t: merged(t).venues.select("id", "region_id", "name", "city", "dedup_key")),

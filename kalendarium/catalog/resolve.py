@@ -77,7 +77,7 @@ def _summary_proposals(t: Tables):
 
 
 def _rescued(t: Tables):
-    return R.rescue(R.rededup(t.events, t.sources, NOW), t.sources, t.decisions, NOW)
+    return R.rescue(R.rededup(t.stored_events, t.sources, NOW), t.sources, t.decisions, NOW)
 
 
 def _slugs(bridge, t: Tables):
@@ -90,7 +90,7 @@ _ROW = ["id", "status", "duplicate_of", "image_url", "description", "organizer",
 QUERIES = {
     "rank_group": _q(lambda t: R.rank_group(t.events, t.sources, NOW).select("region_id", "dedup_key", "group_size", "winner_id")),
     "rededup": _q(lambda t: R.rededup(t.events, t.sources, NOW).select(*_ROW)),
-    "chain_end": _q(lambda t: R.chain_end(t.events)),
+    "chain_end": _q(lambda t: R.chain_end(t.stored_events)),
     "rescue": _q(lambda t: _rescued(t).select("id", "status", "duplicate_of", "action", "reason")),
     "sync_decisions": _q(lambda t: R.sync_decisions(t.decisions, _rescued(t)).select("id", "canonical_event_id", "active")),
     "day_fingerprints": _q(lambda t: V.day_fingerprints(_sets(t))),

@@ -1,6 +1,6 @@
 """Gives the given tables the shape of the event model (orders as events, nations as sources, ...).
 
-Every table here is a lazy projection of a parquet scan; nothing is collected or cached.
+Every table here is a lazy projection of a parquet scan; nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kalendarium.functions import keys
 from kalendarium.functions.times import ts
 from kalendarium.model import CATEGORY_SLUGS
+from kalendarium.session import cut_lineage
 
 NOW = "1998-06-03 12:00:00"
 RUNS_NOW = "2024-01-30 12:00:00"
@@ -31,6 +32,11 @@ class Tables:
     def scan(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def stored_events(self) -> DataFrame:
+        """The event table as a stored snapshot, for operators that read it many times."""
+        return cut_lineage(self.events)
+
     @cached_property
     def occurrences(self) -> DataFrame:
         """Orders as event occurrences with the place and category still inline (the import shape)."""

@@ -39,6 +39,13 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def decode_core(c: Column) -> Column:
+    """The five predefined entities only, without leaving the JVM."""
+    for mark, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(mark), F.lit(plain))
+    return c
+
+
 def decode_entities(c: Column) -> Column:
     return _unescape(c)
 

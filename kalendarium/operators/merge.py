@@ -166,9 +166,9 @@ def upsert(
     events: DataFrame, event_categories: DataFrame, incoming: DataFrame, sources: DataFrame, regions: DataFrame, venues: DataFrame,
     categories: DataFrame, category_decisions: DataFrame, now: str, stage: Callable[[DataFrame], DataFrame] = cut_lineage,
 ) -> Merged:
-    """Merge one batch. ``stage`` materializes (by default: checkpoints) the judged rows and the reduced
-    batch once, since events, venues, categories and actions all derive from them."""
-    prepared = prepare_incoming(incoming.filter(F.coalesce("title", F.lit("")) != ""), sources, regions)
+    """Merge one batch. ``stage`` materializes (by default: checkpoints) the keyed rows, the judged
+    rows and the reduced batch, since each is read several times below."""
+    prepared = stage(prepare_incoming(incoming.filter(F.coalesce("title", F.lit("")) != ""), sources, regions))
     stepped = stage(resolve_actions(prepared, events))
     heads = resolve_heads(stepped)
     touched, all_venues = resolve_venues(heads.filter(F.col("matched_id").isNull() | F.col("changed")), venues, regions)
