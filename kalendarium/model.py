@@ -58,6 +58,13 @@ VISITS = (
     "content_type string, client_ip string, user_agent string"
 )
 
+#: stored tables by name
+TABLES = {
+    "events": EVENTS, "venues": VENUES, "sources": SOURCES, "regions": REGIONS, "categories": CATEGORIES, "event_categories": EVENT_CATEGORIES,
+    "import_runs": IMPORT_RUNS, "dedup_decisions": DEDUP_DECISIONS, "dedup_days": DEDUP_DAYS, "category_decisions": CATEGORY_DECISIONS,
+    "contact_messages": CONTACT_MESSAGES,
+}
+
 # Widths of the stored columns.
 CAPS = {
     "title": 300, "location_text": 255, "source_url": 1024, "image_url": 1024, "price": 120,
