@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from kalendarium.catalog.health import _VIS, DEFAULT_REGION, PV, SECRET
-from kalendarium.catalog.listing import _enriched, _q, _visible
-from kalendarium.catalog.sql import T_NOW, iso, norm, norm_title, relevant, utc, with_tables
+from kalendarium.catalog.listing import _enriched, _q, _shown, _visible
+from kalendarium.catalog.sql import T_NOW, canonical_city, iso, norm, norm_title, relevant, utc, with_tables
 from kalendarium.catalog.tables import NOW, Tables, every
 from kalendarium.functions import classify as K
 from kalendarium.functions import dates as D
@@ -17,6 +17,7 @@ from kalendarium.functions import keys
 from kalendarium.functions.dates import MONTH_NAMES, WEEKDAY_NAMES
 from kalendarium.functions.text import prompt_line
 from kalendarium.functions.times import berlin_wall, display_end, ts, utc_wall
+from kalendarium.model import TABLES
 from kalendarium.operators import dims
 from kalendarium.operators import listing as L
 from kalendarium.operators import places as P
@@ -25,6 +26,8 @@ from kalendarium.operators.review import display_location
 from kalendarium.session import checkpoint_dir
 from kalendarium.sinks import exports as X
 from kalendarium.sources import feeds, ics, jsonld, pages, payloads
+from kalendarium.sources.tables import read_table, write_snapshot
+from kalendarium.streaming import imports
 from kalendarium.streaming import visits as SV
 
 def _id():
@@ -201,11 +204,32 @@ def _ics_rows(t: Tables):
 
 
 def _categories_named(t: Tables):
-    rows = X.with_host(_visible(t), t.regions)
+    rows = X.with_host(_shown(t), t.regions)
     return L.with_categories(rows, t.event_categories, t.categories).withColumn("category_names", F.coalesce("category_slugs", F.array().cast("array<string>")))
 
 
+def _snapshot(t: Tables):
+    root = _folder(t)
+    write_snapshot(t.events, root, "events", 1)
+    return read_table(t.spark, root, "events", 1)
+
+
+def _incremental_import(t: Tables):
+    """The iCalendar bodies arrive as a stream and are merged into an empty state; the run rows."""
+    root = _folder(t)
+    empty = {n: t.spark.createDataFrame([], TABLES[n]) for n in ("events", "event_categories", "venues", "category_decisions")}
+    for name, df in {**empty, "sources": t.sources, "regions": t.regions, "categories": t.categories}.items():
+        write_snapshot(df, root, name, 0, None)
+    bodies = _ics_bodies(t).drop("chunk")
+    bodies.write.parquet(f"{root}/bodies")
+    stream = t.spark.readStream.schema(bodies.schema).parquet(f"{root}/bodies")
+    imports.stream_import(stream, root, f"{root}/progress", NOW, ["ics"]).awaitTermination()
+    return read_table(t.spark, root, "import_runs", 1).select("source_id", "status", "seen", "created", "updated", "unchanged", "duplicates", "errors")
+
+
 QUERIES = {
+    "snapshot_roundtrip": _q(lambda t: _snapshot(t).select("id", "region_id", "title", "starts_at", "status", F.array_join("locked_fields", ",").alias("locks"))),
+    "incremental_import": _q(_incremental_import),
     "extract_ics": _q(lambda t: _in(_ics_rows(t), "external_id", "title", "starts_at", "ends_at", "all_day", "description", "venue_name", "city", F.array_join("category_slugs", ",").alias("slugs"), "booking_status")),
     "extract_feed": _q(lambda t: _in(feeds.extract_feed_items(_feed_bodies(t), t.sources)[0], "title", "starts_at", "ends_at", "venue_name", "image_url", "source_url", F.array_join("category_slugs", ",").alias("slugs"))),
     "extract_feed_errors": _q(lambda t: _in(feeds.extract_feed_items(_feed_bodies(t), t.sources)[1], "url")),
@@ -222,7 +246,7 @@ QUERIES = {
     "patch_config": _q(lambda t: _patched(t).select("id", F.col("config")["city"].alias("config_city"), F.col("config")["max"].alias("config_max"), F.col("config")["category"].alias("config_category"))),
     "calendar_export": _q(lambda t: X.calendar_entries(_categories_named(t)).select("id", "entry")),
     "sitemap_export": _q(lambda t: X.sitemap_entries(_visible(t), t.regions, NOW)),
-    "schema_org_export": _q(lambda t: X.schema_org(X.with_host(_visible(t), t.regions)).select("id", *[F.get_json_object("json", f"$.{p}").alias(a) for a, p in (
+    "schema_org_export": _q(lambda t: X.schema_org(X.with_host(_shown(t), t.regions)).select("id", *[F.get_json_object("json", f"$.{p}").alias(a) for a, p in (
         ("name", "name"), ("start", "startDate"), ("finish", "endDate"), ("state", "eventStatus"), ("place", "location.name"), ("organizer", "organizer.name"), ("home", "organizer.url"),
         ("availability", "offers.availability"), ("price", "offers.price"), ("image", "image"), ("description", "description"))])),
     "region_match": _q(lambda t: P.region_match(_match_rows(t), t.regions, F.array(F.lit("333"))).select("position", "matched_city")),
@@ -293,6 +317,13 @@ def _at(y: str) -> str:
 
 
 ORACLE = {
+    "snapshot_roundtrip": with_tables("ev", "SELECT id, region_id, title, starts_at, status, array_to_string(locked_fields, ',') AS locks FROM ev"),
+    "incremental_import": with_tables("occ", "SELECT source_id, 'ok' AS status, count(*) AS seen, count(*) AS created, 0 AS updated, 0 AS unchanged, 0 AS duplicates, 0 AS errors FROM occ GROUP BY source_id"),
+    "region_match": with_tables("inc src towns reg", f"""SELECT position, coalesce(CASE WHEN n IN (SELECT name FROM towns t WHERE t.region_id = x.region_id) AND n <> default_city THEN n END,
+      CASE WHEN position % 11 = 1 THEN default_city END, (SELECT name FROM towns t WHERE t.region_id = x.region_id AND name <> default_city AND contains({norm('txt')}, t.key) ORDER BY ord LIMIT 1)) AS matched_city
+      FROM (SELECT position, s.region_id, default_city, CASE WHEN position % 5 >= 3 THEN {canonical_city('inc.city', 's.region_id')} END AS n,
+        concat_ws(' ', title, venue_name, CASE WHEN position % 5 = 0 THEN 'bei ' || city END, CASE WHEN position % 5 >= 3 THEN city END, CASE WHEN position % 11 = 1 THEN '33 330' ELSE 'x' END) AS txt
+        FROM inc JOIN src s ON s.id = inc.source_id JOIN reg ON reg.id = s.region_id) x"""),
     "extract_ics": with_tables("occ src", """SELECT source_id, 'ext-' || occ.id AS external_id, title, starts_at, CASE WHEN ends_at > starts_at THEN ends_at END AS ends_at, all_day, 'Gruß, ' || description AS description,
       venue_name, config_city AS city, CASE WHEN occ.id % 6 = 0 THEN 'musik' ELSE 'kunst' END AS slugs, CASE WHEN occ.id % 23 = 0 THEN 'cancelled' END AS booking_status FROM occ JOIN src ON src.id = source_id"""),
     "extract_feed": with_tables("occ", f"""SELECT source_id, title, CASE WHEN id % 4 = 2 THEN date_trunc('hour', {_L}) ELSE {_L} END AS starts_at,

@@ -17,7 +17,12 @@ def _enriched(t: Tables):
 
 
 def _visible(t: Tables, flt=L.Filter(), region=None):
-    return L.visible(_enriched(t), flt, region, t.event_categories, t.categories)
+    return L.visible_events(t.events, t.venues, t.sources, flt, region, t.event_categories, t.categories)
+
+
+def _shown(t: Tables):
+    """Visible events with their venue, for display columns."""
+    return L.visible(_enriched(t))
 
 
 def _q(fn):
@@ -33,11 +38,11 @@ SAVED = L.Filter(only_saved=True, saved_ids=tuple(range(3, 3000, 10)))
 _BIG = 100_000
 
 QUERIES = {
-    "visibility_filter": _q(lambda t: _visible(t).select(*SHOW, "source_key", "venue_name")),
+    "visibility_filter": _q(lambda t: _shown(t).select(*SHOW, "source_key", "venue_name")),
     "relevance_predicate": _q(lambda t: t.events.filter(L.still_relevant(NOW)).select("id", "starts_at", "ends_at", "all_day")),
     "upcoming_window": _q(lambda t: L.upcoming(_visible(t), WEEKEND, NOW).select(*SHOW)),
     "upcoming_saved": _q(lambda t: L.upcoming(_visible(t, SAVED), SAVED, NOW).select(*SHOW)),
-    "search_substring": _q(lambda t: L.search(_visible(t), "Nation_1%").select(*SHOW, "source_name")),
+    "search_substring": _q(lambda t: L.search(_shown(t), "Nation_1%").select(*SHOW, "source_name")),
     "category_filter": _q(lambda t: _visible(t, L.Filter(category_slugs=("musik", "kunst"))).select(*SHOW)),
     "city_filter": _q(lambda t: _visible(t, L.Filter(city="NATION_6"), 1).select(*SHOW)),
     "course_filter": _q(lambda t: _visible(t, L.Filter(course="only")).select("id", "is_course")),
@@ -59,7 +64,7 @@ QUERIES = {
     "calendar_feed": _q(lambda t: L.find_for_feed(_visible(t), NOW).select(*SHOW)),
     "sitemap": _q(lambda t: L.find_for_sitemap(_visible(t), NOW)),
     "teaser_review": _q(lambda t: L.summarized(_visible(t), 500, 20).select(*SHOW, "summary")),
-    "used_cities": _q(lambda t: L.used_cities(_visible(t), t.regions, NOW)),
+    "used_cities": _q(lambda t: L.used_cities(_shown(t), t.regions, NOW)),
     "with_categories": _q(lambda t: L.with_categories(_visible(t), t.event_categories, t.categories).select("id", F.array_join("category_slugs", ",").alias("slugs"))),
     "dimension_order": _q(lambda t: L.ordered(t.venues, "venues").select("id", "name", "city")),
     "source_directory": _q(lambda t: L.source_directory(t.sources, 3).select("id", "name", "url")),

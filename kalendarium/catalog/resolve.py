@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kalendarium.catalog.listing import _q, _visible
+from kalendarium.catalog.listing import _q, _shown, _visible
 from kalendarium.catalog.sql import T_NOW, norm_title, relevant, with_tables
 from kalendarium.catalog.tables import NOW, Tables, every
 from kalendarium.model import CATEGORY_SLUGS
@@ -15,7 +15,7 @@ from kalendarium.operators import review as V
 
 
 def _sets(t: Tables, horizon: int = 60):
-    return V.day_sets(_visible(t), NOW, horizon)
+    return V.day_sets(_shown(t), NOW, horizon)
 
 
 def _reviewed(t: Tables):
@@ -58,7 +58,7 @@ def _category_proposals(t: Tables):
 
 
 def _sent(t: Tables):
-    rows = L.unchecked(_visible(t), t.category_decisions, NOW)
+    rows = L.unchecked(_shown(t), t.category_decisions, NOW)
     return L.with_categories(rows, t.event_categories, t.categories)
 
 

@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: blank, tab, line feed, carriage return, NUL and vertical tab
 _EDGE = r"[ \t\n\r\x00\x0B]+"
@@ -50,6 +50,16 @@ def decode_entities(c: Column) -> Column:
     return _unescape(c)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape_all(arrays: pd.Series) -> pd.Series:
+    return arrays.map(lambda texts: [None if t is None else html.unescape(t) for t in texts], na_action="ignore")
+
+
+def decode_entities_all(c: Column) -> Column:
+    """``decode_entities`` for every element of an array, row-local."""
+    return _unescape_all(c)
+
+
 def html_to_text(c: Column) -> Column:
     """Line breaks at ``<br>`` and block ends, tags dropped, entities decoded, blanks collapsed."""
     broken = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")

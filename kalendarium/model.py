@@ -36,8 +36,8 @@ REGIONS = (
 CATEGORIES = "id long, slug string, name string, sort_order int"
 EVENT_CATEGORIES = "event_id long, category_id long"
 IMPORT_RUNS = (
-    "id long, source_id long, started_at timestamp_ntz, finished_at timestamp_ntz, duration_ms int, "
-    "status string, seen int, created int, updated int, unchanged int, duplicates int, errors int, "
+    "id long, source_id long, started_at timestamp_ntz, finished_at timestamp_ntz, duration_ms long, "
+    "status string, seen long, created long, updated long, unchanged long, duplicates long, errors long, "
     "dry_run boolean, message string"
 )
 DEDUP_DECISIONS = (

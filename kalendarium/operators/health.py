@@ -133,6 +133,6 @@ def import_report(actions: DataFrame, fatal: DataFrame | None = None) -> DataFra
 def close_runs(report: DataFrame, started_at, finished_at) -> DataFrame:
     """Run-log rows for a finished import."""
     begin, end = as_ntz(started_at), as_ntz(finished_at)
-    millis = F.timestamp_diff("MILLISECOND", begin, end).cast("int")
+    millis = F.timestamp_diff("MILLISECOND", begin, end)
     return report.select("source_id", begin.alias("started_at"), end.alias("finished_at"), millis.alias("duration_ms"),
                          "status", "seen", "created", "updated", "unchanged", "duplicates", "errors", F.lit(False).alias("dry_run"), "message")

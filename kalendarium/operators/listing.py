@@ -52,20 +52,38 @@ def period_bounds(now: str) -> dict[str, tuple[dt.date, dt.date]]:
     }
 
 
-def enrich(events: DataFrame, venues: DataFrame, sources: DataFrame) -> DataFrame:
-    """Events with their venue (left) and source. No broadcast hint: the planner broadcasts a
-    dimension whose size it knows to be small and shuffles (with skew splitting) one that is not."""
-    venue = venues.select(
-        F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), F.col("city").alias("venue_city"),
-        F.col("street").alias("venue_street"), F.col("postal_code").alias("venue_postal_code"),
-    )
+def with_source(events: DataFrame, sources: DataFrame) -> DataFrame:
+    """Events with their source. No broadcast hint: the planner broadcasts a dimension whose size it
+    knows to be small and shuffles (with skew splitting) one that is not."""
     source = sources.select(
         F.col("id").alias("source_id"), F.col("key").alias("source_key"), F.col("name").alias("source_name"),
         F.col("type").alias("source_type"), F.col("url").alias("source_home"), F.col("importer").alias("source_importer"),
         F.col("enabled").alias("source_enabled"), F.col("facts_only").alias("source_facts_only"),
         F.col("approved_at").alias("source_approved_at"),
     )
-    return events.join(source, "source_id").join(venue, "venue_id", "left")
+    return events.join(source, "source_id")
+
+
+def with_venue(rows: DataFrame, venues: DataFrame) -> DataFrame:
+    """Venue columns (left). Needed for search, city and display only; cut the rows first where possible."""
+    venue = venues.select(
+        F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), F.col("city").alias("venue_city"),
+        F.col("street").alias("venue_street"), F.col("postal_code").alias("venue_postal_code"),
+    )
+    return rows.join(venue, "venue_id", "left")
+
+
+def enrich(events: DataFrame, venues: DataFrame, sources: DataFrame) -> DataFrame:
+    return with_venue(with_source(events, sources), venues)
+
+
+def visible_events(events: DataFrame, venues: DataFrame, sources: DataFrame, flt: Filter = Filter(), region: int | None = None,
+                   event_categories: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """``visible`` over the bare tables; the venue table is only joined when the filter looks at it."""
+    rows = with_source(events, sources)
+    if flt.q is not None or flt.city is not None:
+        rows = with_venue(rows, venues)
+    return visible(rows, flt, region, event_categories, categories)
 
 
 def matches(q: str) -> Column:

@@ -101,7 +101,9 @@ def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str,
     over the shuffle."""
     values = [c for c in groups.columns if c not in keys]
     hot = groups.filter(F.col(size) > HOT_GROUP)
-    cold = groups.filter(F.col(size) <= HOT_GROUP).withColumn("_salt", F.lit(0).cast("long"))
+    # always 0 here, but written so that the optimizer keeps it as a join key (a literal would be folded
+    # into a residual condition and the salt would no longer take part in the shuffle)
+    cold = groups.filter(F.col(size) <= HOT_GROUP).withColumn("_salt", (F.col(size) > HOT_GROUP).cast("long"))
     hot_side = hot.select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     spread = (

@@ -12,6 +12,8 @@ from kalendarium.catalog.resolve import _chain_proposals, _sets
 from kalendarium.catalog.tables import NOW, Tables
 from kalendarium.functions.similarity import covered
 from kalendarium.operators import enrich, listing, merge, places, resolve, review
+from kalendarium.plans import nightly
+from kalendarium.plans.listing_page import listing_page
 from kalendarium.sources.tables import read_table, write_snapshot
 from kalendarium.streaming import imports, visits
 from tests.helpers import at, events, incoming, regions, rows, sources, table
@@ -224,3 +226,18 @@ def test_stream_import_versions_and_failure_isolation(spark, tmp_path):
         imports.stream_import(spark.readStream.schema(schema).parquet(drop), root, str(tmp_path / "cp"), NOW_T, ["ics", "rss"]).awaitTermination()
     assert rows(read_table(spark, root, "events", 1), "title", "external_id") == [("X", "u")]
     assert rows(read_table(spark, root, "import_runs", 1), "source_id", "status", "created") == [(1, "ok", 1), (2, "failed", 0)]
+
+
+def test_listing_page_plan(t):
+    out = listing_page(t.events, t.venues, t.sources, t.event_categories, t.categories, listing.Filter(), NOW, limit=10).collect()
+    assert len(out) == 10 and [r.effective_start for r in out] == sorted(r.effective_start for r in out)
+    assert all(r.category_slugs for r in out) and any(r.occurrences for r in out)
+
+
+def test_nightly_plan_writes_new_versions(t, tmp_path):
+    root = str(tmp_path)
+    for name, df in {"events": t.events, "dedup_decisions": t.decisions, "sources": t.sources}.items():
+        write_snapshot(df, root, name, 0, "region_id" if name == "events" else None)
+    nightly.rededup(t.spark, root, 0, NOW)
+    before, after = (read_table(t.spark, root, "events", v) for v in (0, 1))
+    assert before.count() == after.count() and before.select("id", "status").exceptAll(after.select("id", "status")).count() > 0

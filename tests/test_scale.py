@@ -48,6 +48,16 @@ def test_join_back(skewed, monkeypatch, hot):
     assert rows(scale.join_back(df, groups, ["key"], "n", "id"), "id", "n", "total") == rows(plain, "id", "n", "total")
 
 
+def test_join_back_shuffles_on_the_salt(skewed, capsys):
+    groups = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scale.join_back(skewed, groups, ["key"], "n", "id").explain()
+    finally:
+        skewed.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("SortMergeJoin" in line and "_salt" in line.split("LeftOuter")[0] for line in capsys.readouterr().out.splitlines())
+
+
 def test_number_keys(skewed):
     numbered = scale.number_keys(skewed.select("id"), F.col("id").cast("string"), "nr", buckets=16)
     assert sorted(r["nr"] for r in numbered.collect()) == list(range(1, 301))
