@@ -42,8 +42,9 @@ def still_relevant(floor: str | Column, starts_at: Column | None = None, ends_at
     starts_at = F.col("starts_at") if starts_at is None else starts_at
     ends_at = F.col("ends_at") if ends_at is None else ends_at
     all_day = F.col("all_day") if all_day is None else all_day
-    timed = ~all_day & ends_at.isNotNull()
-    return F.when(timed, ends_at > at).otherwise(F.coalesce(ends_at, starts_at) >= day_start(at))
+    # plain comparisons, no CASE or coalesce, so that all of it can be pushed to the scan
+    day = day_start(at)
+    return (~all_day & (ends_at > at)) | (all_day & (ends_at >= day)) | (ends_at.isNull() & (starts_at >= day))
 
 
 def display_end(starts_at: Column, ends_at: Column, all_day: Column) -> Column:

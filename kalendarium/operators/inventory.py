@@ -91,14 +91,15 @@ def cross_source_match(incoming: DataFrame, events: DataFrame, sources: DataFram
     source. Candidates are reduced to the two lowest distinct sources per key before the join, which
     is enough to answer for any source and keeps a hot key at two rows."""
     enabled = sources.filter("enabled").select(F.col("id").alias("source_id"))
-    published = events.filter(F.col("status") == "published").join(enabled, "source_id", "left_semi")
+    keys = ["region_id", "dedup_key"]
+    sizes = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    published = events.filter(F.col("status") == "published").select(*keys, "source_id", "id").join(enabled, "source_id", "left_semi").join(sizes.select(*keys), keys, "left_semi")
     per_source = published.groupBy("region_id", "dedup_key", "source_id").agg(F.min("id").alias("id"))
     best = per_source.groupBy("region_id", "dedup_key").agg(F.min(F.struct("id", "source_id")).alias("first"))
     second = (
         per_source.join(best, ["region_id", "dedup_key"]).filter(F.col("source_id") != F.col("first.source_id"))
         .groupBy("region_id", "dedup_key").agg(F.min("id").alias("second_id"))
     )
-    sizes = incoming.groupBy("region_id", "dedup_key").agg(F.count(F.lit(1)).alias("_n"))
     answer = sizes.join(best, ["region_id", "dedup_key"]).join(second, ["region_id", "dedup_key"], "left")
     joined = scale.join_back(incoming, answer, ["region_id", "dedup_key"], "_n", "position")
     match = F.when(F.col("first.source_id") != F.col("source_id"), F.col("first.id")).otherwise(F.col("second_id"))

@@ -227,15 +227,11 @@ def count_by_period(df: DataFrame, now: str) -> DataFrame:
 def around(df: DataFrame, flt: Filter, now: str, event_id: int, k: int = 8) -> DataFrame:
     """The ``k`` list rows before and after one event in (start, id) order."""
     rows = collapsed(df, flt, now)
-    anchor = df.filter(F.col("id") == event_id).select(F.col("starts_at").alias("_at"), F.col("id").alias("_id"))
-    # one anchor row, found by id; every list row is compared with it once
-    pairs = rows.join(F.broadcast(anchor.limit(1)), F.col("id") != F.col("_id"))
-    here, there = F.struct("starts_at", "id"), F.struct(F.col("_at").alias("starts_at"), F.col("_id").alias("id"))
-    after = pairs.filter(here > there).orderBy("starts_at", "id").limit(k)
-    before = pairs.filter(here < there).orderBy(F.desc("starts_at"), F.desc("id")).limit(k)
-    return (
-        before.withColumn("side", F.lit("before")).unionByName(after.withColumn("side", F.lit("after"))).drop("_at", "_id")
-    )
+    start = df.filter(F.col("id") == event_id).agg(F.max("starts_at")).scalar()
+    here, there = F.struct("starts_at", "id"), F.struct(start.alias("starts_at"), F.lit(event_id).cast("long").alias("id"))
+    after = rows.filter(here > there).orderBy("starts_at", "id").limit(k)
+    before = rows.filter(here < there).orderBy(F.desc("starts_at"), F.desc("id")).limit(k)
+    return before.withColumn("side", F.lit("before")).unionByName(after.withColumn("side", F.lit("after")))
 
 
 def neighbours(df: DataFrame, flt: Filter, now: str) -> DataFrame:

@@ -74,13 +74,15 @@ def match_existing(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Stored event per (source, run key): by external id when the row has one, else by the
     cross-source key. Returns one row per key with its size and the stored hash and description."""
     has_id = F.coalesce("external_id", F.lit("")) != ""
-    stored = events.select("id", "source_id", "external_id", "dedup_key")
-    by_id = stored.filter(has_id).select("source_id", F.concat(F.lit("id:"), "external_id").alias("run_key"), "id")
-    by_key = stored.select("source_id", F.concat(F.lit("key:"), "dedup_key").alias("run_key"), "id")
-    known = by_id.unionByName(by_key).groupBy("source_id", "run_key").agg(F.min("id").alias("matched_id"))
+    stored = events.select("source_id", "external_id", "dedup_key", F.struct("id", "content_hash", "description").alias("_stored"))
+    by_id = stored.filter(has_id).select("source_id", F.concat(F.lit("id:"), "external_id").alias("run_key"), "_stored")
+    by_key = stored.select("source_id", F.concat(F.lit("key:"), "dedup_key").alias("run_key"), "_stored")
     asked = rows.groupBy("source_id", "run_key").agg(F.count(F.lit(1)).alias("_n"))
-    state = events.select(F.col("id").alias("matched_id"), F.struct("content_hash", "description").alias("_stored"))
-    return asked.join(known, ["source_id", "run_key"], "left").join(state, "matched_id", "left")
+    # only stored rows the batch asks for go on; a small batch is broadcast and the table not shuffled
+    wanted = by_id.unionByName(by_key).join(asked.select("source_id", "run_key"), ["source_id", "run_key"], "left_semi")
+    known = wanted.groupBy("source_id", "run_key").agg(F.min_by("_stored", F.col("_stored.id")).alias("_stored"))
+    state = F.when(F.col("_stored").isNotNull(), F.struct("_stored.content_hash", "_stored.description"))
+    return asked.join(known, ["source_id", "run_key"], "left").withColumn("matched_id", F.col("_stored.id")).withColumn("_stored", state)
 
 
 def resolve_actions(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -130,7 +132,7 @@ def resolve_venues(rows: DataFrame, venues: DataFrame, regions: DataFrame) -> tu
     fresh = scale.number_keys(
         looked_up.filter(F.col("venue_id").isNull()).drop("venue_id"), F.concat_ws("|", F.col("region_id").cast("string"), "dedup_key"), "_nr"
     )
-    fresh = scale.with_constant(fresh, top).withColumn("venue_id", F.col("_top") + F.col("_nr"))
+    fresh = fresh.withColumn("venue_id", top.scalar() + F.col("_nr"))
     found = looked_up.filter(F.col("venue_id").isNotNull()).select("region_id", "dedup_key", "_n", "venue_id").unionByName(
         fresh.select("region_id", "dedup_key", "_n", "venue_id")
     )
@@ -189,7 +191,7 @@ def upsert(
 def _with_new_ids(created: DataFrame, events: DataFrame) -> DataFrame:
     top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     numbered = scale.number_keys(created, F.concat_ws("|", F.col("source_id").cast("string"), "run_key"), "_nr")
-    return scale.with_constant(numbered, top).withColumn("id", F.col("_top") + F.col("_nr")).drop("_top", "_nr")
+    return numbered.withColumn("id", top.scalar() + F.col("_nr")).drop("_nr")
 
 
 def _apply(events: DataFrame, updates: DataFrame, refreshed: DataFrame, now: str) -> DataFrame:

@@ -129,11 +129,6 @@ def previous_value(df: DataFrame, keys: Sequence[str], position: str, value: Col
     )
 
 
-def with_constant(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row."""
-    return df.join(F.broadcast(one_row.limit(1)))
-
-
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """``withColumns`` whose expressions are not repeated in later filters. The optimizer moves a filter
     on a derived column below the projection by copying the expression; it cannot move one below a

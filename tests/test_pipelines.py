@@ -241,3 +241,26 @@ def test_nightly_plan_writes_new_versions(t, tmp_path):
     nightly.rededup(t.spark, root, 0, NOW)
     before, after = (read_table(t.spark, root, "events", v) for v in (0, 1))
     assert before.count() == after.count() and before.select("id", "status").exceptAll(after.select("id", "status")).count() > 0
+
+
+def _scanned(df):
+    df.collect()
+    found = []
+
+    def walk(plan):
+        if plan.nodeName().startswith("Scan"):
+            found.append(plan.metrics().apply("numOutputRows").value())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(found)
+
+
+def test_stored_events_skip_row_groups_of_the_past(t, tmp_path):
+    write_snapshot(t.events, str(tmp_path), "events", 1)
+    late = "2001-01-01 12:00:00"
+    every = read_table(t.spark, str(tmp_path), "events", 1)
+    pruned = read_table(t.spark, str(tmp_path), "events", 1, relevant_from=late)
+    assert rows(pruned.filter(listing.still_relevant(late)), "id") == rows(every.filter(listing.still_relevant(late)), "id")
+    assert _scanned(read_table(t.spark, str(tmp_path), "events", 1, relevant_from="2030-01-01").select("id")) == 0
