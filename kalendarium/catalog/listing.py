@@ -52,14 +52,14 @@ QUERIES = {
     "work_shard": _q(lambda t: L.shard(_visible(t), 4, 1).select(*SHOW)),
     "needs_summary": _q(lambda t: L.needs_summary(_visible(t), NOW).select(*SHOW)),
     "unchecked_worklist": _q(lambda t: L.unchecked(_visible(t), t.category_decisions, NOW).select(*SHOW)),
-    "visible_point_lookup": _q(lambda t: L.find_visible(_visible(t), 322).select(*SHOW)),
+    "visible_point_lookup": _q(lambda t: L.find_visible(_visible(t), 324).select(*SHOW)),
     "series_collapse": _q(lambda t: L.collapsed(_visible(t), L.Filter(), NOW).select(*SHOW)),
     "series_collapse_filtered": _q(lambda t: L.collapsed(_visible(t, SEARCH), SEARCH, NOW).select(*SHOW)),
     "series_anti_join": _q(lambda t: series_by_anti_join(t)),
     "series_labels": _q(lambda t: L.series_labels(_visible(t), L.Filter(), NOW)),
     "find_upcoming": _q(lambda t: L.find_upcoming(_visible(t), L.Filter(), NOW, limit=40, offset=10).select(*SHOW, "effective_start")),
     "count_upcoming": _q(lambda t: L.count_upcoming(_visible(t), L.Filter(), NOW)),
-    "neighbours_of_event": _q(lambda t: L.around(_visible(t), L.Filter(only_saved=True), NOW, 322, 8).select("side", *SHOW)),
+    "neighbours_of_event": _q(lambda t: L.around(_visible(t), L.Filter(only_saved=True), NOW, 324, 8).select("side", *SHOW)),
     "neighbours_bulk": _q(lambda t: L.neighbours(_visible(t), L.Filter(), NOW)),
     "calendar_feed": _q(lambda t: L.find_for_feed(_visible(t), NOW).select(*SHOW)),
     "sitemap": _q(lambda t: L.find_for_sitemap(_visible(t), NOW)),
@@ -110,7 +110,7 @@ ORACLE = {
     "work_shard": with_tables("vi", f"SELECT {_S} FROM vi WHERE id % 4 = 1"),
     "needs_summary": with_tables("vi", f"SELECT {_S} FROM vi WHERE {relevant(T_NOW)} AND summary IS NULL AND description IS NOT NULL AND description <> '' AND NOT facts_only"),
     "unchecked_worklist": with_tables("vi cdec", f"SELECT {_S} FROM vi WHERE {relevant(T_NOW)} AND id NOT IN (SELECT event_id FROM cdec)"),
-    "visible_point_lookup": with_tables("vi", f"SELECT {_S} FROM vi WHERE id = 322"),
+    "visible_point_lookup": with_tables("vi", f"SELECT {_S} FROM vi WHERE id = 324"),
     "series_collapse": with_tables("vi", f"SELECT {_S} FROM ({COLLAPSED})"),
     "series_collapse_filtered": with_tables("vi evcat", f"""SELECT {_S} FROM (SELECT *, row_number() OVER (PARTITION BY title, venue_id, region_id ORDER BY starts_at, id) AS rn
       FROM vi WHERE {relevant(T_NOW)} AND NOT is_course AND {_HASCAT} AND {_LIKE.format(q='bolt%frei')}) WHERE rn = 1"""),
@@ -122,8 +122,8 @@ ORACLE = {
       FROM vi WHERE {relevant(T_NOW)} GROUP BY title, venue_id HAVING count(*) > 1"""),
     "find_upcoming": with_tables("vi", f"SELECT {_S}, greatest(starts_at, {_DAY}) AS effective_start FROM ({COLLAPSED}) ORDER BY effective_start, starts_at, id LIMIT 40 OFFSET 10"),
     "count_upcoming": with_tables("vi", f"SELECT count(*) AS n FROM ({COLLAPSED})"),
-    "neighbours_of_event": with_tables("vi", f"""(SELECT 'after' AS side, {_S} FROM vi WHERE (starts_at, id) > (SELECT (starts_at, id) FROM vi WHERE id = 322) ORDER BY starts_at, id LIMIT 8)
-      UNION ALL (SELECT 'before' AS side, {_S} FROM vi WHERE (starts_at, id) < (SELECT (starts_at, id) FROM vi WHERE id = 322) ORDER BY starts_at DESC, id DESC LIMIT 8)"""),
+    "neighbours_of_event": with_tables("vi", f"""(SELECT 'after' AS side, {_S} FROM vi WHERE (starts_at, id) > (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at, id LIMIT 8)
+      UNION ALL (SELECT 'before' AS side, {_S} FROM vi WHERE (starts_at, id) < (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at DESC, id DESC LIMIT 8)"""),
     "neighbours_bulk": with_tables("vi", f"""SELECT region_id, starts_at, id, row_number() OVER w AS rank, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id
       FROM ({COLLAPSED}) WINDOW w AS (PARTITION BY region_id ORDER BY starts_at, id)"""),
     "calendar_feed": with_tables("vi", f"SELECT {_S} FROM vi WHERE {relevant(T_NOW)} AND starts_at < {T_NOW} + INTERVAL 1 YEAR ORDER BY starts_at, id LIMIT 2000"),

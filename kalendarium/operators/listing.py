@@ -229,6 +229,7 @@ def around(df: DataFrame, flt: Filter, now: str, event_id: int, k: int = 8) -> D
     rows = collapsed(df, flt, now)
     start = df.filter(F.col("id") == event_id).agg(F.max("starts_at")).scalar()
     here, there = F.struct("starts_at", "id"), F.struct(start.alias("starts_at"), F.lit(event_id).cast("long").alias("id"))
+    rows = rows.filter(start.isNotNull())  # an anchor outside the listing has no neighbours
     after = rows.filter(here > there).orderBy("starts_at", "id").limit(k)
     before = rows.filter(here < there).orderBy(F.desc("starts_at"), F.desc("id")).limit(k)
     return before.withColumn("side", F.lit("before")).unionByName(after.withColumn("side", F.lit("after")))
