@@ -77,8 +77,9 @@ def pipeline_progress(enriched: DataFrame, decisions: DataFrame, now: str) -> Da
         F.count(F.lit(1)).alias("processed"), *[F.count_if(F.col("status") == s).alias(s) for s in states], F.max("created_at").alias("last_at")
     )
     running = F.coalesce(F.col("last_at") > as_ntz(now) - F.expr("INTERVAL 2 MINUTE"), F.lit(False))
-    key = F.lit(1).alias("_one")
-    return counts.select("*", key).join(by_state.select("*", key), "_one").drop("_one").withColumn("running", running)
+    # two one-row results laid over each other; no join needed
+    both = counts.unionByName(by_state, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).withColumn("running", running)
 
 
 def decision_log(decisions: DataFrame, status: str | None, limit: int, offset: int = 0) -> DataFrame:
