@@ -1,8 +1,8 @@
 """Toxicity by the nearest labelled examples (operator 10).
 
 Examples are a seeded sample of about MAX_EXAMPLES labelled rows that aren't held out (crc32 of the
-doc_id's text mod 3 is not 1). Terms that tell the two labels apart among the examples, at most MAX_TERMS,
-span the vector space; their document frequencies are counted over all documents. Each text finds the
+doc_id's text mod 3 is not 1). Terms that speak for the label among the examples' different texts, at most MAX_TERMS by likelihood
+ratio, span the vector space; their document frequencies are counted over all documents. Each text finds the
 K examples of largest TF-IDF cosine exactly, over an inverted index with block maxima: blocks of examples
 are opened in the order of their upper bounds until no unopened block can hold a nearer example. Votes
 weighted by distance give a raw share, which is calibrated on the examples' own leave-one-out shares.
@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kalendarium.llm.common import small_batches, text_of
+from kalendarium.llm.common import run_folder, small_batches, stored, text_of
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 256
-#: a term must stand in this many examples, and differ this much (log odds, standard errors) by label
+MAX_TERMS = 4_096
+#: a term must stand in this many examples, and speak for the label this much (log odds, standard errors)
 LEAST_EXAMPLES, LEAST_LOG_ODDS, LEAST_ERRORS = 5, math.log(3), 3.0
 K = 15
 BLOCK = 64
+FIRST_BLOCKS = 8
 BINS = 20
 THRESHOLD = 0.7
 SEED = 29
@@ -55,16 +56,15 @@ def _term_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums], pa.string()), pa.array([y for _, y in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["term", "label", "n"])
 
 
-def _frequencies(terms: list[str]):
+def _frequencies(space: Space):
     def run(batches):
-        place = {t: i for i, t in enumerate(terms)}
-        totals, documents = [0] * len(terms), 0
+        totals, documents = [0] * len(space.terms), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 documents += 1
-                for term in place.keys() & set(_WORD.findall(text.lower())):
-                    totals[place[term]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(terms))], pa.int32()), pa.array([documents, *totals], pa.int64())], ["term", "n"])
+                for term in set(space.occurrences(text)):
+                    totals[term] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(totals))], pa.int32()), pa.array([documents, *totals], pa.int64())], ["term", "n"])
 
     return run
 
@@ -72,17 +72,34 @@ def _frequencies(terms: list[str]):
 class Space:
     """Unit TF-IDF vectors over the chosen terms: tf is 1 + ln(count)."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.place, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    def __init__(self, terms: list[str], idf: np.ndarray | None = None):
+        self.terms, self.idf, self._automaton = terms, idf, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_automaton": None}
+
+    def occurrences(self, text: str) -> list[int]:
+        """Numbers of the terms that stand in the text as whole words, once per occurrence."""
+        if not self.terms:
+            return []
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for i, term in enumerate(self.terms):
+                self._automaton.add_word(term, (i, len(term)))
+            self._automaton.make_automaton()
+        low, found = text.lower(), []
+        in_word = lambda c: c.isalnum() or c == "_"
+        for last, (i, size) in self._automaton.iter(low):
+            start = last - size + 1
+            if not (start and in_word(low[start - 1])) and not (last + 1 < len(low) and in_word(low[last + 1])):
+                found.append(i)
+        return found
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts: dict[int, int] = {}
-        for word in _WORD.findall(text.lower()):
-            at = self.place.get(word)
-            if at is not None:
-                counts[at] = counts.get(at, 0) + 1
-        at = np.array(sorted(counts), dtype=np.int64)
-        weights = (1 + np.log(np.array([counts[i] for i in at.tolist()], dtype=np.float64))) * self.idf[at]
+        at, counts = np.unique(np.array(self.occurrences(text), dtype=np.int64), return_counts=True)
+        weights = (1 + np.log(counts)) * self.idf[at]
         norm = math.sqrt(float((weights**2).sum()))
         return (at, weights / norm) if norm > 0 else (at[:0], weights[:0])
 
@@ -98,29 +115,35 @@ class BlockMaxIndex:
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], weight[order]
-        slot = term[order] * self.blocks + self.example // BLOCK
-        self.bounds = np.searchsorted(slot, np.arange(n_terms * self.blocks + 1))
+        self.bounds = np.searchsorted(term[order], np.arange(n_terms + 1))
         self.maxima = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.maxima.ravel(), slot, self.weight)
+        np.maximum.at(self.maxima, (term[order], self.example // BLOCK), self.weight)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k largest cosines above 0, ties to the smaller example; exact."""
+        """The k largest cosines above 0, ties to the smaller example; exact. The blocks of largest upper
+        bound are opened first; then all blocks whose bound reaches the k-th cosine found there."""
         if not self.n or not len(at):
             return []
-        upper = (weights[:, None] * self.maxima[at]).sum(axis=0)
-        top: list[tuple[float, int]] = []
-        for block in np.argsort(-upper, kind="stable").tolist():
-            # a bound is a sum in the same order as a cosine, but of other summands: leave room for rounding
-            if upper[block] <= 0 or len(top) == k and upper[block] < -top[-1][0] - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weights.tolist()):
-                a, b = self.bounds[t * self.blocks + block], self.bounds[t * self.blocks + block + 1]
-                sums[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
+        upper = weights @ self.maxima[at]
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in at.tolist()]
+        examples = np.concatenate([self.example[s] for s in spans])
+        parts = np.concatenate([w * self.weight[s] for w, s in zip(weights.tolist(), spans)])
+        blocks = examples // BLOCK
+
+        def opened(chosen: np.ndarray) -> list[tuple[float, int]]:
+            taken = chosen[blocks]
+            sums = np.bincount(examples[taken], parts[taken], self.n)
             hits = np.flatnonzero(sums > 0)
-            top += [(-float(sums[i]), int(i) + block * BLOCK) for i in hits.tolist() if i + block * BLOCK != but]
-            top = sorted(top)[:k]
-        return [(-s, i) for s, i in top]
+            hits = hits[hits != but]
+            best = hits[np.lexsort((hits, -sums[hits]))[:k]]
+            return list(zip(sums[best].tolist(), best.tolist()))
+
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-upper, kind="stable")[:FIRST_BLOCKS]] = True
+        top = opened(first)
+        # bounds and cosines add up in different orders: leave room for rounding
+        reach = upper >= (top[-1][0] if len(top) == k else 0.0) - 1e-9
+        return top if not (reach & ~first).any() else opened(reach | first)
 
 
 class Model:
@@ -169,7 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     unit = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # about max_examples rows, so the broadcast has a bound
     sample = known.filter(unit < min(1.0, max_examples / max(n_known, 1)))
-    examples = rows.join(F.broadcast(sample), "doc_id")
+    # copies count once, so that a group of them doesn't pass for many examples
+    drawn = rows.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"), F.round(F.avg("label")).cast("int").alias("label"), F.min("doc_id").alias("doc_id"))
+    examples = stored(drawn.drop("h"), f"{run_folder(docs.sparkSession, 'toxic')}/examples")
     counts = examples.select("text", "label").mapInArrow(_term_counts, "term string, label int, n long")
     sizes = {int(r["label"]): r["count"] for r in examples.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -177,10 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     cells = [F.col("p") + 0.5, F.col("q") + 0.5, F.lit(pos) - F.col("p") + 0.5, F.lit(neg) - F.col("q") + 0.5]
     odds = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
     error = F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))
-    telling = with_term.filter(F.col("p") + F.col("q") >= LEAST_EXAMPLES).withColumn("odds", odds).withColumn("errors", F.abs("odds") / error)
-    chosen = telling.filter((F.abs("odds") >= LEAST_LOG_ODDS) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("errors"), "term").limit(max_terms)
+    share = pos / max(pos + neg, 1)
+    n = F.col("p") + F.col("q")
+    ratio = F.col("p") * F.log(cells[0] / (n + 1) / max(share, 1e-9)) + F.col("q") * F.log(cells[1] / (n + 1) / max(1 - share, 1e-9))
+    telling = with_term.filter(n >= LEAST_EXAMPLES).select("term", ratio.alias("ratio"), odds.alias("odds"), (odds / error).alias("errors"))
+    chosen = telling.filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("ratio"), "term").limit(max_terms)
     terms = [r["term"] for r in chosen.select("term").collect()]
-    totals = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(Space(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + totals.get(-1, 0)) / (1 + np.array([totals.get(i, 0) for i in range(len(terms))], dtype=np.float64))) + 1
     space = Space(terms, idf)
     # sparse rows of at most max_terms entries; sorted, so that the model doesn't depend on task order
