@@ -145,7 +145,7 @@ def _german_rows(t: Tables):
 
 
 def _texts(t: Tables):
-    return t.scan("documents").select("doc_id", F.left("text", F.lit(60)).alias("title"), "source", F.col("doc_id").alias("n"))
+    return t.scan("documents").select("doc_id", F.col("text").alias("title"), "source", F.col("doc_id").alias("n"))
 
 
 WORDS = [
@@ -239,7 +239,7 @@ QUERIES = {
     "extract_flat_json": _q(lambda t: _in(payloads.extract_flat_json(_flat_bodies(t), t.sources), "external_id", "title", "starts_at", "ends_at", "all_day", "source_url", F.array_join("category_slugs", ",").alias("slugs"))),
     "extract_microdata": _q(lambda t: _in(pages.extract_microdata(_micro_bodies(t), t.sources, '<div class="row">'), "title", "starts_at", "ends_at", "source_url")),
     "table_rows": _q(lambda t: pages.extract_table_rows(_marked_pages(t)).select("page_id", "row_no", "link", F.array_join("cells", "|").alias("cells"))),
-    "discover_links": _q(lambda t: pages.discover_links(t.scan("pages"), r"^/[a-z]", 5)),
+    "discover_links": _q(lambda t: pages.discover_links(t.scan("pages"), r"^/[a-z]")),
     "page_text": _q(lambda t: pages.page_text(t.scan("pages"))),
     "lead_image": _q(lambda t: pages.lead_images(_marked_pages(t))),
     "seed_dimension": _q(lambda t: _seed(t).select("region_id", "key", "name", "importer", "enabled", "facts_only", F.col("config")["city"].alias("config_city"), F.col("config")["category"].alias("config_category"), F.col("config")["neu"].alias("config_neu"))),
@@ -261,7 +261,7 @@ QUERIES = {
     "normalize_text": _q(lambda t: _texts(t).select("doc_id", keys.normalize(F.col("title")).alias("plain"), keys.normalize_title(F.col("title")).alias("title_key"), keys.strip_to_ascii(F.col("title")).alias("venue_form"))),
     "content_hash": _q(lambda t: t.events.select("id", "content_hash", "slug", "dedup_key")),
     "location_tokens": _q(lambda t: _texts(t).select("doc_id", F.array_join(keys.location_tokens(F.col("title")), " ").alias("tokens"))),
-    "prompt_text": _q(lambda t: t.scan("pages").select("page_id", F.left(prompt_line(F.col("html")), F.lit(1200)).alias("line"))),
+    "prompt_text": _q(lambda t: t.scan("pages").select("page_id", prompt_line(F.col("html")).alias("line"))),
     "berlin_wall": _q(lambda t: t.scan("events").select("event_id", berlin_wall(F.col("ts"), "UTC").alias("wall"))),
     "course_date": _q(lambda t: _german_rows(t).select("id", D.course_date(F.col("text")).alias("at"))),
     "german_dates": _q(lambda t: _german_rows(t).select("id", D.german_dates(F.col("text"))["start"].alias("at"))),
@@ -347,7 +347,7 @@ ORACLE = {
     "table_rows": f"""SELECT page_id, n AS row_no, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/t/' || page_id || '-' || n AS link, '0' || (page_id % 9 + 1) || '.0' || n || '.2026|Abend & Fest' AS cells
       FROM pages, (VALUES (1), (2), (3)) AS g(n) WHERE page_id % 3 <> n % 3""",
     "discover_links": """SELECT page_id, rn - 1 AS pos, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY p) AS rn FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || h AS url, min(p) AS p FROM (
-      SELECT page_id, url, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS hs FROM pages)) WHERE regexp_matches(h, '^/[a-z]') GROUP BY ALL)) WHERE rn <= 5""",
+      SELECT page_id, url, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS hs FROM pages)) WHERE regexp_matches(h, '^/[a-z]') GROUP BY ALL))""",
     "page_text": f"""SELECT page_id, text, CASE WHEN length(l) <= 600 THEN nullif(l, '') ELSE rtrim(left(l, 600)) || '…' END AS teaser FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS l FROM (SELECT page_id, {_PTEXT} AS text FROM pages))""",
     "lead_image": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+') || '://cdn.example/a.png' WHEN 1 THEN o || replace(regexp_replace(d, '[^/]*/$', '') || '/b/c.png', '//', '/') WHEN 3 THEN o || '/d.png' END AS image_url
       FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS o, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS d FROM pages)""",
@@ -380,11 +380,11 @@ ORACLE = {
     "price_amount": with_tables("occ", "SELECT id, CASE WHEN regexp_matches(lower(text), 'frei|kostenlos|gratis|umsonst') THEN '0' ELSE nullif(replace(regexp_extract(text, '[0-9]+([.,][0-9]{1,2})?'), ',', '.'), '') END AS amount FROM w", w=_W),
     "keyword_category": with_tables("occ", "SELECT id, " + _case(K.COURSE_CATEGORIES, "'bildung'") + " AS slug FROM w", w=_W),
     "course_flag": with_tables("occ", f"SELECT id, regexp_matches(lower(text), '{_B}({_regex(K.COURSE_WORDS)}){_E}') AS course FROM w", w=_W),
-    "normalize_text": "SELECT doc_id, " + norm("left(text, 60)") + " AS plain, " + norm_title("left(text, 60)") + " AS title_key, regexp_replace(lower(left(text, 60)), '[^a-z0-9]+', '', 'g') AS venue_form FROM documents",
+    "normalize_text": "SELECT doc_id, " + norm("text") + " AS plain, " + norm_title("text") + " AS title_key, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS venue_form FROM documents",
     "content_hash": with_tables("ev", "SELECT id, content_hash, slug, dedup_key FROM ev"),
     "location_tokens": """SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY p), '') AS tokens FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
-      SELECT doc_id, string_split(regexp_replace(lower(left(text, 60)), '[^a-z0-9äöüß]+', ' ', 'g'), ' ') AS ws FROM documents)) WHERE length(w) >= 4 GROUP BY doc_id, w) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id""",
-    "prompt_text": "SELECT page_id, left(trim(regexp_replace(translate(html, '<>', '  '), '\\s+', ' ', 'g')), 1200) AS line FROM pages",
+      SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9äöüß]+', ' ', 'g'), ' ') AS ws FROM documents)) WHERE length(w) >= 4 GROUP BY doc_id, w) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id""",
+    "prompt_text": "SELECT page_id, trim(regexp_replace(translate(html, '<>', '  '), '\\s+', ' ', 'g')) AS line FROM pages",
     "berlin_wall": "SELECT event_id, timezone('Europe/Berlin', timezone('UTC', ts)) AS wall FROM events",
     "course_date": with_tables("occ", """SELECT id, CASE WHEN id % 97 <> 0 THEN CASE WHEN id % 4 = 0 THEN date_trunc('day', starts_at) ELSE starts_at END + CASE WHEN id % 3 = 0 AND starts_at < TIMESTAMP '2000-01-01' THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END END AS at FROM occ"""),
     "german_dates": with_tables("occ", """SELECT id, CASE WHEN id % 97 <> 0 AND y BETWEEN 2000 AND 2100 THEN make_timestamp(y, month(starts_at), day(starts_at), CASE WHEN id % 4 = 1 THEN minute(starts_at) ELSE hour(starts_at) END, 0, 0) END AS at FROM (

@@ -59,7 +59,7 @@ QUERIES = {
     "series_labels": _q(lambda t: L.series_labels(_visible(t), L.Filter(), NOW)),
     "find_upcoming": _q(lambda t: L.find_upcoming(_visible(t), L.Filter(), NOW, limit=40, offset=10).select(*SHOW, "effective_start")),
     "count_upcoming": _q(lambda t: L.count_upcoming(_visible(t), L.Filter(), NOW)),
-    "neighbours_of_event": _q(lambda t: L.around(_visible(t), L.Filter(only_saved=True), NOW, 324, 8).select("side", *SHOW)),
+    "neighbours_of_event": _q(lambda t: L.around(_visible(t), L.Filter(), NOW, 324, 8).select("side", *SHOW)),
     "neighbours_bulk": _q(lambda t: L.neighbours(_visible(t), L.Filter(), NOW)),
     "calendar_feed": _q(lambda t: L.find_for_feed(_visible(t), NOW).select(*SHOW)),
     "sitemap": _q(lambda t: L.find_for_sitemap(_visible(t), NOW)),
@@ -122,11 +122,12 @@ ORACLE = {
       FROM vi WHERE {relevant(T_NOW)} GROUP BY title, venue_id HAVING count(*) > 1"""),
     "find_upcoming": with_tables("vi", f"SELECT {_S}, greatest(starts_at, {_DAY}) AS effective_start FROM ({COLLAPSED}) ORDER BY effective_start, starts_at, id LIMIT 40 OFFSET 10"),
     "count_upcoming": with_tables("vi", f"SELECT count(*) AS n FROM ({COLLAPSED})"),
-    "neighbours_of_event": with_tables("vi", f"""(SELECT 'after' AS side, {_S} FROM vi WHERE (starts_at, id) > (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at, id LIMIT 8)
-      UNION ALL (SELECT 'before' AS side, {_S} FROM vi WHERE (starts_at, id) < (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at DESC, id DESC LIMIT 8)"""),
+    "neighbours_of_event": with_tables("vi", f"""(SELECT 'after' AS side, {_S} FROM ({COLLAPSED}) WHERE (starts_at, id) > (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at, id LIMIT 8)
+      UNION ALL (SELECT 'before' AS side, {_S} FROM ({COLLAPSED}) WHERE (starts_at, id) < (SELECT (starts_at, id) FROM vi WHERE id = 324) ORDER BY starts_at DESC, id DESC LIMIT 8)"""),
     "neighbours_bulk": with_tables("vi", f"""SELECT region_id, starts_at, id, row_number() OVER w AS rank, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id
       FROM ({COLLAPSED}) WINDOW w AS (PARTITION BY region_id ORDER BY starts_at, id)"""),
-    "calendar_feed": with_tables("vi", f"SELECT {_S} FROM vi WHERE {relevant(T_NOW)} AND starts_at < {T_NOW} + INTERVAL 1 YEAR ORDER BY starts_at, id LIMIT 2000"),
+    "calendar_feed": with_tables("vi", f"""SELECT {_S} FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY starts_at, id) AS place FROM vi
+      WHERE {relevant(T_NOW)} AND starts_at < {T_NOW} + INTERVAL 1 YEAR) WHERE place <= 2000"""),
     "sitemap": with_tables("vi", f"""SELECT * FROM (SELECT region_id, id, slug, last_seen_at, starts_at, row_number() OVER (PARTITION BY region_id ORDER BY starts_at, id) AS rank
       FROM vi WHERE {relevant(T_NOW)}) WHERE rank <= 20000"""),
     "teaser_review": with_tables("vi", f"SELECT {_S}, summary FROM vi WHERE coalesce(summary, '') <> '' AND NOT facts_only ORDER BY starts_at, id LIMIT 500 OFFSET 20"),

@@ -99,7 +99,7 @@ QUERIES = {
     "candidate_contained_titles": _q(lambda t: V.days_with_contained_title(_sets(t).withColumn("title", F.when(every(3), F.concat(F.lit("Großes "), "title")).otherwise(F.col("title"))))),
     "candidate_similar_titles": _q(lambda t: V.days_with_similar_titles(_sets(t))),
     "candidate_days": _q(lambda t: V.candidate_days(_sets(t))),
-    "review_worklist": _q(lambda t: V.worklist(_sets(t), _reviewed(t), budget=100, similarity=False)),
+    "review_worklist": _q(lambda t: V.worklist(_sets(t), _reviewed(t), None)),
     "remaining_fingerprints": _q(lambda t: V.remaining_fingerprints(_sets(t), _chain_proposals(t))),
     "veto_pairs": _q(lambda t: V.veto_pairs(t.decisions)),
     "valid_proposals": _q(lambda t: V.valid_proposals(_day_proposals(t), _sets(t), t.events, V.veto_pairs(t.decisions)).select("day", "position", "duplicate_id", "canonical_id")),
@@ -116,13 +116,20 @@ QUERIES = {
     "reset_categories": _q(lambda t: E.reset_categories(t.event_categories, t.categories, t.category_decisions, t.events, 1, NOW)[1].select("id")),
     "apply_summaries": _q(lambda t: E.apply_summaries(t.events, L.needs_summary(_visible(t), NOW), _summary_proposals(t)).select("id", "summary")),
     "summary_batches": _q(lambda t: E.prompt_batches(L.needs_summary(_visible(t), NOW), E.summary_line(), E.SUMMARY_BATCH).select("region_id", "batch_no", F.array_join("ids", ",").alias("ids"), "prompt")),
-    "category_batches": _q(lambda t: E.prompt_batches(_sent(t), E.category_line(), E.CATEGORY_BATCH, 40).select("region_id", "batch_no", F.array_join("ids", ",").alias("ids"), "prompt")),
+    "category_batches": _q(lambda t: E.prompt_batches(_sent(t), E.category_line(), E.CATEGORY_BATCH).select("region_id", "batch_no", F.array_join("ids", ",").alias("ids"), "prompt")),
     "dedup_lines": _q(lambda t: _sets(t).select("region_id", "day", "id", E.dedup_line().alias("line"))),
 }
 
 _SETS = f"""SELECT region_id, CAST(d AS DATE) AS day, vi.* EXCLUDE (region_id) FROM vi, generate_series(DATE '1998-06-03', DATE '1998-08-01', INTERVAL 1 DAY) g(d)
   WHERE starts_at < d + INTERVAL 1 DAY AND {relevant('CAST(d AS TIMESTAMP)')}"""
-_FP = "SELECT region_id, day, count(*) AS n, sha1(string_agg(id, ',' ORDER BY id)) AS fingerprint FROM sets GROUP BY region_id, day"
+
+
+def _fp(rows: str) -> str:
+    return f"""SELECT region_id, day, CAST(sum(n) AS BIGINT) AS n, sha1(string_agg(digest, ',' ORDER BY r)) AS fingerprint FROM (
+  SELECT region_id, day, id // {V.ID_RANGE} AS r, count(*) AS n, sha1(string_agg(id, ',' ORDER BY id)) AS digest FROM {rows} GROUP BY ALL) GROUP BY region_id, day"""
+
+
+_FP = _fp("sets")
 _LOC = "CASE WHEN venue_name IS NOT NULL THEN venue_name || ' · ' || venue_city ELSE location_text END"
 _TT = f"SELECT DISTINCT region_id, day, id, {norm_title('title')} AS t FROM sets"
 _TOK = f"""SELECT DISTINCT region_id, day, id, CASE WHEN all_day THEN 'allday' ELSE strftime(starts_at, '%H:%M') END AS clock,
@@ -131,6 +138,20 @@ _EQ = "SELECT DISTINCT region_id, day FROM (SELECT region_id, day, t FROM tt WHE
 _PL = "SELECT DISTINCT region_id, day FROM (SELECT region_id, day, clock, token FROM tok WHERE length(token) >= 4 GROUP BY ALL HAVING count(*) > 1)"
 _CO = """SELECT DISTINCT a.region_id, a.day FROM (SELECT DISTINCT region_id, day, t FROM tt WHERE length(t) >= 5) a
   JOIN (SELECT DISTINCT region_id, day, t FROM tt) b ON a.region_id = b.region_id AND a.day = b.day AND a.t <> b.t AND contains(b.t, a.t)"""
+_SIMS = """SELECT region_id, day, t, min({'s': starts_at, 'i': id}) AS first, max({'s': starts_at, 'i': id}) AS last FROM (
+  SELECT region_id, day, id, starts_at, """ + norm_title("title") + """ AS t FROM sets) WHERE t <> '' GROUP BY region_id, day, t"""
+_SIMP = """SELECT row_number() OVER () AS pid, a.region_id, a.day, a.t AS x, b.t AS y FROM simt a JOIN simt b
+  ON a.region_id = b.region_id AND a.day = b.day AND a.t <> b.t AND a.first < b.last"""
+# the longest common run of a piece (leftmost in x, then in y), then the pieces left and right of it
+_SIMW = """SELECT pid, x, y, 0 AS got, '' AS place FROM simp
+  UNION ALL SELECT pid, CASE side WHEN 0 THEN left(x, i - 1) ELSE substr(x, i + n) END, CASE side WHEN 0 THEN left(y, j - 1) ELSE substr(y, j + n) END,
+    CASE side WHEN 0 THEN n ELSE 0 END, place || side FROM (
+    SELECT pid, x, y, place, r.n AS n, -r.i AS i, strpos(y, substr(x, -r.i, r.n)) AS j FROM (
+      SELECT *, list_max(flatten([[{'n': n, 'i': -i} for n in range(1, least(length(x) - i + 1, length(y)) + 1) if contains(y, substr(x, i, n))] for i in range(1, length(x) + 1)])) AS r
+      FROM simw WHERE x <> '' AND y <> '') WHERE r IS NOT NULL), (VALUES (0), (1)) v(side)"""
+_SIM = """SELECT DISTINCT region_id, day FROM (SELECT pid, sum(got) AS common FROM simw GROUP BY pid) JOIN simp USING (pid)
+  WHERE common * 200 >= (length(x) + length(y)) * 60"""
+_RSIM = {"simt": _SIMS, "simp": _SIMP, "simw": _SIMW}
 _GRP = f"""SELECT e.*, s.enabled, s.facts_only, s.approved_at, s.type, count(*) OVER g AS n, first_value(e.id) OVER r AS winner_id, row_number() OVER r AS pos
   FROM ev e JOIN src s ON s.id = e.source_id WHERE status IN ('published', 'duplicate') AND {relevant(T_NOW)}
   WINDOW g AS (PARTITION BY e.region_id, dedup_key), r AS (PARTITION BY e.region_id, dedup_key
@@ -226,10 +247,11 @@ ORACLE = {
     "candidate_equal_titles": with_tables("vi", _EQ, **_RSETS, tt=_TT),
     "candidate_shared_place": with_tables("vi", _PL, **_RSETS, tok=_TOK),
     "candidate_contained_titles": with_tables("vi", _CO, **_RSETS, tt=f"SELECT DISTINCT region_id, day, id, {norm_title(_BIG)} AS t FROM sets"),
-    "review_worklist": with_tables("vi", f"""SELECT region_id, day, n, fingerprint, state FROM (SELECT *, sum(CASE WHEN state = 'review' THEN 1 ELSE 0 END) OVER (ORDER BY region_id, day) AS calls FROM (
-      SELECT fp.*, CASE WHEN (region_id, day) IN (SELECT (region_id, day) FROM ({_EQ} UNION {_PL} UNION {_CO})) THEN 'review' ELSE 'store' END AS state FROM fp WHERE n > 1 AND day(day) % 3 <> 0)) WHERE calls <= 100""",
-      **_RSETS, tt=_TT, tok=_TOK, fp=_FP),
-    "remaining_fingerprints": with_tables("vi", "SELECT region_id, day, count(*) AS n, sha1(string_agg(id, ',' ORDER BY id)) AS fingerprint FROM sets WHERE id NOT IN (SELECT d FROM chainp) GROUP BY region_id, day",
+    "candidate_similar_titles": with_tables("vi", _SIM, recursive=True, **_RSETS, **_RSIM),
+    "candidate_days": with_tables("vi", f"{_EQ} UNION {_PL} UNION {_CO} UNION {_SIM}", recursive=True, **_RSETS, tt=_TT, tok=_TOK, **_RSIM),
+    "review_worklist": with_tables("vi", f"""SELECT fp.*, CASE WHEN (region_id, day) IN (SELECT (region_id, day) FROM ({_EQ} UNION {_PL} UNION {_CO} UNION {_SIM})) THEN 'review' ELSE 'store' END AS state
+      FROM fp WHERE n > 1 AND day(day) % 3 <> 0""", recursive=True, **_RSETS, tt=_TT, tok=_TOK, fp=_FP, **_RSIM),
+    "remaining_fingerprints": with_tables("vi", _fp("(SELECT * FROM sets WHERE id NOT IN (SELECT d FROM chainp))"),
       **_RSETS, prop=_PROP, chainp=_CHAINP),
     "veto_pairs": with_tables("dec", """SELECT duplicate_event_id AS duplicate_id, canonical_event_id AS canonical_id FROM dec WHERE undone_by_admin_at IS NOT NULL
       UNION SELECT canonical_event_id, duplicate_event_id FROM dec WHERE undone_by_admin_at IS NOT NULL"""),
@@ -259,6 +281,6 @@ ORACLE = {
     "reset_categories": with_tables("cdec", "SELECT cdec.id FROM cdec JOIN ev ON ev.id = event_id WHERE region_id <> 1"),
     "apply_summaries": with_tables("vi", "SELECT id, CASE WHEN id IN (SELECT id FROM need) THEN CASE WHEN id % 3 = 0 AND id % 9 <> 0 THEN left(repeat(title, 40), 400) ELSE '' END ELSE summary END AS summary FROM ev", need=_NEED),
     "summary_batches": with_tables("vi", _batches("need", _SUMLINE, 20), need=_NEED),
-    "category_batches": with_tables("vi evcat cdec", _batches("sent", _CATLINE, 25, "ORDER BY region_id, batch_no LIMIT 40"), sent=_SENT),
+    "category_batches": with_tables("vi evcat cdec", _batches("sent", _CATLINE, 25), sent=_SENT),
     "dedup_lines": with_tables("vi", f"SELECT region_id, day, id, {_DEDLINE} AS line FROM sets", **_RSETS),
 }

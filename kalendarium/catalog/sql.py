@@ -72,7 +72,7 @@ _SEG = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'bildung' WHEN 'BUILDING' THEN '
 
 OCC = f"""occ AS (
   SELECT o_orderkey AS id,
-    p_name || CASE (o_orderkey // 20) % 3 WHEN 1 THEN ' - Eintritt frei' WHEN 2 THEN ' (Open Air)' ELSE '' END AS title,
+    coalesce(p_name, 'Ohne Titel') || CASE (o_orderkey // 20) % 3 WHEN 1 THEN ' - Eintritt frei' WHEN 2 THEN ' (Open Air)' ELSE '' END AS title,
     CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate ELSE o_orderdate + to_hours(8 + o_orderkey % 12) END AS starts_at,
     CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INT))
       ELSE o_orderdate + to_days(CAST(o_orderkey % 2 AS INT)) + to_hours(10 + o_orderkey % 12) END AS ends_at,
@@ -93,8 +93,9 @@ OCC = f"""occ AS (
     o_orderkey % 6 = 0 AS is_course,
     CASE WHEN o_orderkey % 23 = 0 THEN 'cancelled' WHEN o_orderkey % 19 = 0 THEN 'full' END AS booking_status,
     CASE WHEN o_orderpriority = '1-URGENT' THEN [{_SEG}, 'musik'] ELSE [{_SEG}] END AS category_slugs
-  FROM orders JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = o_orderkey % 20
-    JOIN supplier ON s_suppkey = o_orderkey % 10 JOIN nation ON n_nationkey = s_nationkey)"""
+  FROM orders JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN (SELECT l_orderkey, min({{'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}}) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+    LEFT JOIN part ON p_partkey = l.p LEFT JOIN supplier ON s_suppkey = l.s JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey))"""
 
 EV = f"""ev AS (
   SELECT id, title, {slug('starts_at', 'title')} AS slug, description, summary, starts_at, ends_at, all_day, venue_id, location_text,

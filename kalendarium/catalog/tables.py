@@ -42,14 +42,18 @@ class Tables:
         """Orders as event occurrences with the place and category still inline (the import shape)."""
         orders = self.scan("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         customer = self.scan("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey", "c_mktsegment")
-        part = self.scan("part").filter("p_partkey < 20").select("p_partkey", "p_name", "p_type", "p_brand")
-        supplier = self.scan("supplier").filter("s_suppkey < 10").select("s_suppkey", "s_name", "s_nationkey")
-        nation = self.scan("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
-        place = supplier.join(nation, "s_nationkey")
+        part = self.scan("part").select("p_partkey", "p_name", "p_type", "p_brand")
+        supplier = self.scan("supplier").select("s_suppkey", "s_name", "s_nationkey")
+        nation = self.scan("nation").select("n_nationkey", "n_name", "n_regionkey")
+        # an order's first line gives the title and the venue; orders without lines have neither
+        first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+        line = self.scan("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(first.alias("l"))
         rows = (
             orders.join(customer, "o_custkey")
-            .join(part, F.col("p_partkey") == F.col("o_orderkey") % 20)
-            .join(place, F.col("s_suppkey") == F.col("o_orderkey") % 10)
+            .join(line.select("o_orderkey", F.col("l.l_partkey").alias("p_partkey"), F.col("l.l_suppkey").alias("s_suppkey")), "o_orderkey", "left")
+            .join(part, "p_partkey", "left")
+            .join(supplier, "s_suppkey", "left")
+            .join(nation, F.col("n_nationkey") == F.coalesce("s_nationkey", "c_nationkey"))
             .withColumn("id", F.col("o_orderkey"))
             .withColumn("all_day", every(4))
         )
@@ -60,7 +64,7 @@ class Tables:
         segment = F.create_map(*[F.lit(v) for pair in SEGMENT_SLUG.items() for v in pair])
         return rows.select(
             "id",
-            F.concat("p_name", suffix).alias("title"),
+            F.concat(F.coalesce("p_name", F.lit("Ohne Titel")), suffix).alias("title"),
             F.when(F.col("all_day"), day).otherwise(day + hours(8 + i % 12)).alias("starts_at"),
             F.when(every(3), F.lit(None).cast("timestamp_ntz"))
             .when(F.col("all_day"), day + days(i % 5))

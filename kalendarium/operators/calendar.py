@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from kalendarium.functions.times import as_ntz, day_start, display_end
 from kalendarium.operators.listing import in_range, month_bounds
 
-MAX_CELLS = 60
-
 
 def group_by_day(df: DataFrame, floor: str | None = None) -> DataFrame:
     """Each event under its start day; earlier starts under the floor day."""
@@ -47,7 +45,7 @@ def month_grid(df: DataFrame, year: int, month: int) -> DataFrame:
     low, high = first - dt.timedelta(days=6), last + dt.timedelta(days=6)
     until = F.to_date(F.coalesce(display_end(day_start(F.col("starts_at")), F.col("ends_at"), F.col("all_day")), F.col("starts_at")))
     span_from = F.greatest(F.to_date("starts_at"), F.lit(low))
-    span_to = F.least(until, F.lit(high), F.date_add(span_from, MAX_CELLS - 1))
+    span_to = F.least(until, F.lit(high))  # the window bounds a span below 44 days
     cells = (
         in_range(df, start, end)
         .withColumn("_from", span_from).withColumn("_to", span_to).filter("_from <= _to")

@@ -246,8 +246,10 @@ def neighbours(df: DataFrame, flt: Filter, now: str) -> DataFrame:
 
 
 def find_for_feed(df: DataFrame, now: str, limit: int = FEED_LIMIT) -> DataFrame:
+    """Soonest ``limit`` rows of the coming year per region."""
     year_on = as_ntz(now) + F.expr("INTERVAL 1 YEAR")
-    return df.filter(still_relevant(now) & (F.col("starts_at") < year_on)).orderBy("starts_at", "id").limit(limit)
+    rows = df.filter(still_relevant(now) & (F.col("starts_at") < year_on))
+    return scale.top_per_group(rows, ["region_id"], [F.col("starts_at"), F.col("id")], limit, "id").drop("rank")
 
 
 def find_for_sitemap(df: DataFrame, now: str, limit: int = SITEMAP_LIMIT) -> DataFrame:

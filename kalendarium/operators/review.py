@@ -20,7 +20,8 @@ from kalendarium.functions.times import as_ntz
 from kalendarium.session import cut_lineage
 
 DAY = ["region_id", "day"]
-LISTED_IDS = 50_000
+#: ids per range of a day's digest
+ID_RANGE = 65_536
 SHORT = 5
 # rarest letters first; any fixed order is exact, this one keeps candidate groups small
 _RARE_FIRST = "qxyj0123456789vpzkwofbmgculhdstraine"
@@ -42,25 +43,14 @@ def day_sets(visible: DataFrame, now: str, horizon: int = 60) -> DataFrame:
     return visible.withColumns({"_low": low, "_high": high}).filter("_low <= _high").withColumn("day", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
 
 
-def _digest_number(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c.cast("string")), 1, 12), 16, 10).cast("long")
-
-
 def day_fingerprints(sets: DataFrame) -> DataFrame:
-    """Digest of the id set per (region, day): sha1 of the sorted, comma-joined ids. Sets above
-    LISTED_IDS are digested from order-free aggregates instead, so no task holds all ids of a day."""
-    sums = day_sums(sets.withColumn("_h", _digest_number(F.col("id"))))
-    large = sums.filter(F.col("n") > LISTED_IDS).select(*DAY, "n", F.sha1(F.concat_ws("|", "n", "x", "s")).alias("fingerprint"))
-    small = sums.filter(F.col("n") <= LISTED_IDS).select(*DAY)
-    ids = sets.select(*DAY, "id").join(small, DAY, "left_semi").groupBy(*DAY).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    listed = ids.select(*DAY, F.size("ids").cast("long").alias("n"), F.sha1(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("fingerprint"))
-    return listed.unionByName(large)
-
-
-def day_sums(sets: DataFrame) -> DataFrame:
-    return sets.groupBy(*DAY).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("_h").alias("x"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("s")
-    )
+    """Digest of the id set per (region, day) in two levels: sha1 of the sorted, comma-joined ids of each
+    range of ID_RANGE ids, then sha1 of the comma-joined range digests in order. No task holds all ids of
+    a day; unlike a digest of the plain list it needs no bound on their number."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")
+    ranges = sets.groupBy(*DAY, F.floor(F.col("id") / ID_RANGE).alias("_range")).agg(F.count(F.lit(1)).alias("_n"), F.sha1(ids).alias("_digest"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("_range", "_digest"))), lambda r: r["_digest"])
+    return ranges.groupBy(*DAY).agg(F.sum("_n").alias("n"), F.sha1(F.array_join(digests, ",")).alias("fingerprint"))
 
 
 def _titled(sets: DataFrame) -> DataFrame:
@@ -142,32 +132,30 @@ def days_with_similar_neighbours(sets: DataFrame, percent: int = 60) -> DataFram
     return pairs.filter(similar(F.col("_p"), F.col("_t"), percent)).select(*DAY).distinct()
 
 
-def candidate_days(sets: DataFrame, similarity: bool = True) -> DataFrame:
+def candidate_days(sets: DataFrame) -> DataFrame:
     """(region, day) sets holding at least one candidate pair. Each test only sees days the cheaper
     ones have not settled."""
     counts = sets.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*DAY)
     busy = sets.join(counts, DAY, "left_semi")
     found = cut_lineage(days_with_equal_titles(busy).unionByName(days_with_shared_place(busy)).distinct())
-    tests = [days_with_contained_title]
-    if similarity:
-        tests += [days_with_similar_neighbours, days_with_similar_titles]
-    for test in tests:
+    for test in (days_with_contained_title, days_with_similar_neighbours, days_with_similar_titles):
         rest = busy.join(found, DAY, "left_anti")
         found = cut_lineage(found.unionByName(test(rest)))
     return found
 
 
-def worklist(sets: DataFrame, reviewed_days: DataFrame, budget: int = 200, force: bool = False, similarity: bool = True) -> DataFrame:
-    """Days to act on: ``review`` (within the budget) or ``store`` (nothing to judge: checkpoint only).
-    Regions then days in order; once the budget is spent nothing further is touched."""
+def worklist(sets: DataFrame, reviewed_days: DataFrame, budget: int | None = None, force: bool = False) -> DataFrame:
+    """Days to act on: ``review`` (within the budget, if there is one) or ``store`` (nothing to judge:
+    checkpoint only). Regions then days in order; once the budget is spent nothing further is touched."""
     prints = day_fingerprints(sets).filter("n > 1")
     if not force:
         prints = prints.join(reviewed_days.select(*DAY, "fingerprint"), [*DAY, "fingerprint"], "left_anti")
-    flagged = prints.join(candidate_days(sets, similarity).withColumn("_candidate", F.lit(True)), DAY, "left")
+    flagged = prints.join(candidate_days(sets).withColumn("_candidate", F.lit(True)), DAY, "left")
     # at most regions x horizon rows from here on
     calls = F.sum(F.when(F.col("_candidate"), 1).otherwise(0)).over(W.orderBy(*DAY).rowsBetween(W.unboundedPreceding, 0))
     state = F.when(F.col("_candidate"), "review").otherwise("store")
-    return flagged.withColumn("_calls", calls).filter(F.col("_calls") <= budget).select(*DAY, "n", "fingerprint", state.alias("state"))
+    kept = flagged if budget is None else flagged.withColumn("_calls", calls).filter(F.col("_calls") <= budget)
+    return kept.select(*DAY, "n", "fingerprint", state.alias("state"))
 
 
 def remaining_fingerprints(sets: DataFrame, merges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Merge, resolution, review, places and streaming behaviour: literals, idempotence, invariants, brute force."""
 
+import hashlib
 import itertools
 import random
 
@@ -174,17 +175,25 @@ def test_similar_titles_against_all_pairs(t):
     assert got == expected
 
 
-def test_large_day_fingerprint_is_order_free(t, monkeypatch):
-    monkeypatch.setattr(review, "LISTED_IDS", 0)
-    sets = _sets(t)
-    a, b = (rows(review.day_fingerprints(s), "region_id", "day", "n", "fingerprint") for s in (sets, sets.repartition(7)))
-    assert a == b and len({r[3] for r in a}) > 1
+@pytest.mark.parametrize("id_range", [65_536, 100])
+def test_day_fingerprints_by_hand(t, monkeypatch, id_range):
+    monkeypatch.setattr(review, "ID_RANGE", id_range)
+    sets, days = _sets(t), {}
+    for r in sets.select("region_id", "day", "id").collect():
+        days.setdefault((r["region_id"], r["day"]), []).append(r["id"])
+    digest = lambda parts: hashlib.sha1(",".join(parts).encode()).hexdigest()
+    expected = []
+    for (region, day), ids in days.items():
+        ranges = [digest(map(str, part)) for _, part in itertools.groupby(sorted(ids), lambda i: i // id_range)]
+        expected.append((region, day, len(ids), digest(ranges)))
+    for given in (sets, sets.repartition(7)):
+        assert rows(review.day_fingerprints(given), "region_id", "day", "n", "fingerprint") == sorted(expected, key=repr)
 
 
 def test_budget_stops_the_worklist(t):
     none = t.spark.createDataFrame([], "region_id long, day date, fingerprint string")
-    full = review.worklist(_sets(t), none, budget=10_000, similarity=False)
-    short = review.worklist(_sets(t), none, budget=3, similarity=False)
+    full = review.worklist(_sets(t), none, budget=10_000)
+    short = review.worklist(_sets(t), none, budget=3)
     assert short.filter("state = 'review'").count() == min(3, full.filter("state = 'review'").count())
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -22,13 +23,16 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+#: the corpus operators are compared with brute force in tests/llm, and with their twins there
+CORPUS = re.compile(r"op\d+_|pipeline$")
+
+
+@pytest.mark.parametrize("name", [n for n in entry.queries() if not CORPUS.match(n)])
 def test_matches_sql(spark, duck, name):
+    assert name in ORACLES, "a query without a twin needs a test of its own"
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     ours = Counter(tuple(norm(r[c]) for c in columns) for r in df.collect())
-    if name not in ORACLES:
-        return
     cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
