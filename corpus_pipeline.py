@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def _first_of_key(rows: DataFrame, *more: str) -> DataFrame:
     """One of rows that agree in doc_id and text (and ``more``)."""
     again = F.row_number().over(W.partitionBy(*KEY, *more).orderBy(F.lit(0)))
-    return rows.withColumn("_again", again).filter("_again = 1").drop("_again")
+    return rows.withColumn("__corpus_again", again).filter("__corpus_again = 1").drop("__corpus_again")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prepare(spark)
     groups = simhash_groups.simhash_groups(docs)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    kept = keyed(groups.groupBy("root").agg(least.alias("l")).select("l.doc_id", "l.text_hash")).select(*KEY)
+    kept = keyed(groups.groupBy("root").agg(least.alias("l")).select("l.doc_id", "l.text_hash"), F.col("text_hash")).select(*KEY)
     return _first_of_key(keyed(docs).join(kept, KEY, "left_semi")).select(*docs.columns)
 
 
@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a passage similar to a benchmark item go."""
     prepare(spark)
     leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
-    bad = stored(keyed(leaks).select(*KEY).distinct(), f"{run_folder(spark, 'leaking')}/keys")
+    bad = stored(keyed(leaks, F.col("text_hash")).select(*KEY).distinct(), f"{run_folder(spark, 'leaking')}/keys")
     return keyed(docs).join(bad, KEY, "left_anti").select(*docs.columns)
 
 
@@ -50,9 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     small_batches(spark)
     source = F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit("-"))
-    taken = keyed(mixing.mix(docs)).withColumn("_source", source).groupBy(*KEY, "_source").agg(F.sum("epochs").alias("_times")).filter("_times > 0")
-    rows = _first_of_key(keyed(docs).withColumn("_source", source).join(taken, [*KEY, "_source"]), "_source")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    taken = keyed(mixing.mix(docs), F.col("text_hash")).withColumn("__corpus_source", source).groupBy(*KEY, "__corpus_source").agg(F.sum("epochs").alias("__corpus_times")).filter("__corpus_times > 0")
+    rows = _first_of_key(keyed(docs).withColumn("__corpus_source", source).join(taken, [*KEY, "__corpus_source"]), "__corpus_source")
+    return rows.withColumn("__corpus_copy", F.explode(F.sequence(F.lit(1), F.col("__corpus_times").cast("int")))).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,11 +48,12 @@ def per_worker(name: str, make: Callable):
     return registry[name]
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """Adds the identity of a row of documents as plain equality keys (also where doc_id is missing)."""
-    hashed = F.col("text_hash") if "text_hash" in df.columns else F.xxhash64(text_of())
-    doc_id = F.col("doc_id").cast("long")
-    return df.withColumns({"_key_id": F.coalesce(doc_id, F.lit(0)), "_key_none": doc_id.isNull(), "_key_text": hashed})
+#: names that tables of documents won't hold
+KEY = ["__corpus_id", "__corpus_no_id", "__corpus_text"]
 
 
-KEY = ["_key_id", "_key_none", "_key_text"]
+def keyed(df: DataFrame, text_hash: Column | None = None) -> DataFrame:
+    """Adds the identity of a row of documents as plain equality keys (also where doc_id is missing)."""
+    doc_id = F.col("doc_id").cast("long")
+    hashed = F.xxhash64(text_of()) if text_hash is None else text_hash
+    return df.withColumns(dict(zip(KEY, [F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), hashed])))
