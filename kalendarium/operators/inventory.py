@@ -102,6 +102,6 @@ def cross_source_match(incoming: DataFrame, events: DataFrame, sources: DataFram
         .groupBy("region_id", "dedup_key").agg(F.min("id").alias("second_id"))
     )
     answer = sizes.join(best, ["region_id", "dedup_key"]).join(second, ["region_id", "dedup_key"], "left")
-    joined = scale.join_back(incoming, answer, ["region_id", "dedup_key"], "_n", "position")
+    joined = scale.join_back(incoming, answer, ["region_id", "dedup_key"], "position")
     match = F.when(F.col("first.source_id") != F.col("source_id"), F.col("first.id")).otherwise(F.col("second_id"))
     return joined.withColumn("matched_id", match).drop("first", "second_id", "_n")

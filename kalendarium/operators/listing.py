@@ -249,13 +249,13 @@ def find_for_feed(df: DataFrame, now: str, limit: int = FEED_LIMIT) -> DataFrame
     """Soonest ``limit`` rows of the coming year per region."""
     year_on = as_ntz(now) + F.expr("INTERVAL 1 YEAR")
     rows = df.filter(still_relevant(now) & (F.col("starts_at") < year_on))
-    return scale.top_per_group(rows, ["region_id"], [F.col("starts_at"), F.col("id")], limit, "id").drop("rank")
+    return scale.top_per_group(rows, ["region_id"], [F.col("starts_at"), F.col("id")], limit, "id", bucket=F.to_date("starts_at")).drop("rank")
 
 
 def find_for_sitemap(df: DataFrame, now: str, limit: int = SITEMAP_LIMIT) -> DataFrame:
     """Soonest ``limit`` rows per region."""
     rows = df.filter(still_relevant(now)).select("region_id", "id", "slug", "last_seen_at", "starts_at")
-    return scale.top_per_group(rows, ["region_id"], [F.col("starts_at"), F.col("id")], limit, "id")
+    return scale.top_per_group(rows, ["region_id"], [F.col("starts_at"), F.col("id")], limit, "id", bucket=F.to_date("starts_at"))
 
 
 def find_visible(df: DataFrame, event_id: int) -> DataFrame:

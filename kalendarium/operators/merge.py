@@ -63,7 +63,7 @@ def disambiguate_ids(incoming: DataFrame, external_id: str = "external_id") -> D
     short = cap(F.col(external_id), "external_id")
     rows = incoming.withColumn("_short", short)
     counts = rows.filter(F.col("_short").isNotNull()).groupBy("source_id", "_short").agg(F.count(F.lit(1)).alias("_n"))
-    counted = scale.join_back(rows, counts.withColumn("_copies", F.col("_n")), ["source_id", "_short"], "_n", "position")
+    counted = scale.join_back(rows, counts.withColumn("_copies", F.col("_n")), ["source_id", "_short"], "position")
     suffix = F.concat(F.lit("#"), F.date_format("starts_at", "yyyy-MM-dd-HHmm"))
     base = F.left(F.col("_short"), F.lit(CAPS["external_id"]) - F.length(suffix))
     fixed = F.when(F.col("_copies") > 1, F.concat(base, suffix)).otherwise(F.col(external_id))
@@ -88,7 +88,7 @@ def match_existing(rows: DataFrame, events: DataFrame) -> DataFrame:
 def resolve_actions(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Rows with ``matched_id``, ``entity`` and the step action: rows of one entity apply in arrival
     order, each compared with the state the one before it left."""
-    matched = scale.join_back(rows, match_existing(rows, events), ["source_id", "run_key"], "_n", "position")
+    matched = scale.join_back(rows, match_existing(rows, events), ["source_id", "run_key"], "position")
     entity = F.when(F.col("matched_id").isNotNull(), F.concat(F.lit("ev:"), F.col("matched_id").cast("string"))).otherwise(F.col("run_key"))
     stepped = scale.previous_value(
         matched.withColumn("entity", entity), ["source_id", "entity"], "position", F.struct("content_hash", "description"), "_before"
@@ -136,7 +136,7 @@ def resolve_venues(rows: DataFrame, venues: DataFrame, regions: DataFrame) -> tu
     found = looked_up.filter(F.col("venue_id").isNotNull()).select("region_id", "dedup_key", "_n", "venue_id").unionByName(
         fresh.select("region_id", "dedup_key", "_n", "venue_id")
     )
-    attached = scale.join_back(keyed, found.withColumnRenamed("dedup_key", "_venue_key"), ["region_id", "_venue_key"], "_n", "position")
+    attached = scale.join_back(keyed, found.withColumnRenamed("dedup_key", "_venue_key"), ["region_id", "_venue_key"], "position")
     added = fresh.select(F.col("venue_id").alias("id"), "region_id", "_v.*", "dedup_key")
     return attached.select(*rows.columns, "venue_id"), venues.unionByName(added, allowMissingColumns=True)
 

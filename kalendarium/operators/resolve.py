@@ -64,7 +64,7 @@ def rededup(events: DataFrame, sources: DataFrame, now: str) -> DataFrame:
     promoted, demoted, or null."""
     marked = with_source(events, sources).withColumn("_key", F.when(_relevant(now), F.col("dedup_key")))
     facts = group_facts(marked.filter(F.col("_key").isNotNull())).withColumnRenamed("dedup_key", "_key").withColumn("_n", F.col("group_size"))
-    joined = scale.join_back(marked, facts, ["region_id", "_key"], "_n", "id")
+    joined = scale.join_back(marked, facts, ["region_id", "_key"], "id")
     grouped = F.coalesce(F.col("group_size") >= 2, F.lit(False))
     wins = grouped & (F.col("winner_id") == F.col("id"))
     loses = grouped & (F.col("winner_id") != F.col("id"))
@@ -161,7 +161,7 @@ def rescue(rededuped: DataFrame, sources: DataFrame, decisions: DataFrame, now:
 
 def _attach(rows: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     sizes = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return scale.join_back(rows, sizes.join(targets, key), [key], "_n", "id").drop("_n")
+    return scale.join_back(rows, sizes.join(targets, key), [key], "id").drop("_n")
 
 
 def sync_decisions(decisions: DataFrame, rescued: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def days_with_contained_title(sets: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(1), F.length("_t") - (SHORT - 1))
     pieces = titles.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("_t", i, F.lit(SHORT))))))
     usage = pieces.groupBy(*DAY, "piece").agg(F.count(F.lit(1)).alias("uses"))
-    counted = scale.join_back(pieces, usage.withColumn("_n", F.col("uses")), [*DAY, "piece"], "_n", "_t")
+    counted = scale.join_back(pieces, usage.withColumn("_n", F.col("uses")), [*DAY, "piece"], "_t")
     rarest = counted.groupBy(*DAY, "_t").agg(F.min(F.struct("uses", "piece")).alias("r"))
     short = rarest.filter(F.col("r.uses") > 1).select(*DAY, F.col("r.piece").alias("piece"), F.col("_t").alias("short"))
     hits = short.join(pieces, [*DAY, "piece"]).filter((F.col("short") != F.col("_t")) & F.contains("_t", F.col("short")))
@@ -201,7 +201,7 @@ def accept_in_order(proposals: DataFrame) -> DataFrame:
         for side in ("duplicate", "canonical"):
             sizes = open_rows.groupBy(F.col(f"{side}_id").alias("event")).agg(F.count(F.lit(1)).alias("_n")).join(firsts, "event")
             named = sizes.select(F.col("event").alias(f"{side}_id"), "_n", F.col("m").alias(f"{side}_first"))
-            open_rows = scale.join_back(open_rows, named, [f"{side}_id"], "_n", "position").drop("_n")
+            open_rows = scale.join_back(open_rows, named, [f"{side}_id"], "position").drop("_n")
         d, c, own = F.col("duplicate_first"), F.col("canonical_first"), F.col("seq")
         earlier = lambda m: F.coalesce(m["seq"] < own, F.lit(False))
         verdict = (

@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: groups above this size get their per-group values by broadcast instead of by shuffle; N rows hold
-#: at most N / HOT_GROUP such groups, which bounds the broadcast side (1e11 rows: 1e5 groups)
-HOT_GROUP = 1_000_000
 #: ids per block when rows of one instant are numbered
 ID_BLOCK = 65_536
 SPLITS = 32
@@ -31,10 +28,18 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column], larges
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_on: str, rank: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread_on: str, rank: str = "rank", bucket: Column | None = None
 ) -> DataFrame:
     """The first ``k`` rows per key with their rank. Each of the SPLITS slices of a group is cut to
-    ``k`` rows first, so the task that ranks the group sees at most ``SPLITS * k`` rows."""
+    ``k`` rows first, so the task that ranks the group sees at most ``SPLITS * k`` rows. With a large
+    ``k``, give a ``bucket`` that ascends with the order (a day): buckets that begin after the k-th row
+    are dropped by their counts before anything is ranked."""
+    if bucket is not None:
+        marked = df.withColumn("_bucket", bucket)
+        counts = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        # one row per key and bucket
+        needed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(_before(keys, ["_bucket"])), F.lit(0))).filter(F.col("_before") < k)
+        df = marked.join(needed.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi").select(*df.columns)
     slice_no = F.pmod(F.xxhash64(F.col(spread_on)), F.lit(SPLITS))
     sliced = (
         df.withColumn("_slice", slice_no)
@@ -95,24 +100,19 @@ def number_keys(df: DataFrame, key: Column, out: str = "rank", buckets: int = 40
     )
 
 
-def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, spread_on: str) -> DataFrame:
-    """Left-join per-group values onto the rows of each group. Groups above HOT_GROUP rows are
-    broadcast (their number is bounded by the total); their rows, and rows without a key, are spread
-    over the shuffle."""
+def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str], spread_on: str) -> DataFrame:
+    """Left-join per-group values onto the rows of each group. Rows without a key are spread over the
+    shuffle; the rows of a huge group meet one group row in a sort-merge join, whose skewed partitions
+    adaptive execution splits (``session.prepare`` makes it do so even before an aggregation). No side
+    is broadcast by a hint, and groups of every size take the same way."""
     values = [c for c in groups.columns if c not in keys]
-    hot = groups.filter(F.col(size) > HOT_GROUP)
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     # always 0 here, but written so that the optimizer keeps it as a join key (a literal would be folded
     # into a residual condition and the salt would no longer take part in the shuffle)
-    cold = groups.filter(F.col(size) <= HOT_GROUP).withColumn("_salt", (F.col(size) > HOT_GROUP).cast("long"))
-    hot_side = hot.select(*keys, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = (
-        df.join(F.broadcast(hot_side), list(keys), "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, F.xxhash64(spread_on)).otherwise(F.lit(0).cast("long")))
-    )
-    joined = spread.join(cold, [*keys, "_salt"], "left")
-    picked = [F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
-    return joined.select(*df.columns, *picked)
+    never = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    once = groups.withColumn("_salt", never.cast("long"))
+    spread = df.withColumn("_salt", F.when(no_key, F.xxhash64(spread_on)).otherwise(F.lit(0).cast("long")))
+    return spread.join(once, [*keys, "_salt"], "left").select(*df.columns, *values)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], position: str, value: Column, out: str) -> DataFrame:

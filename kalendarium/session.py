@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: runtime settings that change results; everything else is left to the cluster's own tuning
+#: runtime settings that change results; sizes are left to the cluster's own tuning
 SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
@@ -15,25 +15,31 @@ SEMANTIC_CONF = {
 }
 
 
+#: how skewed joins are dealt with: split huge groups even where that costs another shuffle
+SKEW_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
 def build(app_name: str = "kalendarium", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; ``master`` only for local runs."""
     builder = (
         SparkSession.builder.appName(app_name)
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
         builder = builder.master(master)
-    for key, value in {**SEMANTIC_CONF, **conf}.items():
+    for key, value in {**SEMANTIC_CONF, **SKEW_CONF, **conf}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the result-relevant settings to a session somebody else built."""
-    for key, value in SEMANTIC_CONF.items():
+    """Apply the settings the operators rely on to a session somebody else built."""
+    for key, value in {**SEMANTIC_CONF, **SKEW_CONF}.items():
         spark.conf.set(key, value)
     return spark
 

@@ -34,25 +34,50 @@ def test_top_per_group(skewed):
     assert rows(scale.top_per_group(skewed, ["key"], [F.desc("v"), F.col("id")], 9, "id"), "id", "rank") == rows(plain, "id", "rank")
 
 
+@pytest.mark.parametrize("k", [1, 40, 120, 1000])
+def test_top_per_group_by_buckets(skewed, k):
+    plain = skewed.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("ts", "id"))).filter(F.col("rank") <= k)
+    got = scale.top_per_group(skewed, ["key"], [F.col("ts"), F.col("id")], k, "id", bucket=F.to_date("ts"))
+    assert rows(got, "id", "rank") == rows(plain, "id", "rank")
+
+
+def test_skewed_join_back_is_split(spark):
+    """A group with most of the rows is dealt to several tasks by adaptive execution."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for key, v in small.items():
+        spark.conf.set(key, v)
+    try:
+        df = spark.range(0, 200_000, 1, 8).select("id", F.when(F.col("id") % 5 > 0, "hot").otherwise((F.col("id") % 97).cast("string")).alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("pad"))
+        groups = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        joined = scale.join_back(df, groups, ["key"], "id")
+        assert joined.filter("n is null").isEmpty()
+        counted = joined.groupBy("pad").agg(F.max("n"))
+        counted.count()
+        rdd = joined._jdf.queryExecution().executedPlan()
+        joined.collect()
+        assert "skewed" in rdd.toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+
+
 def test_pick_one(skewed):
     plain = skewed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("v", "id"))).filter("n = 1")
     assert rows(scale.pick_one(skewed, ["key"], [F.col("v"), F.col("id")]), "id", "v") == rows(plain, "id", "v")
 
 
-@pytest.mark.parametrize("hot", [3, 60, 10_000])
-def test_join_back(skewed, monkeypatch, hot):
-    monkeypatch.setattr(scale, "HOT_GROUP", hot)
+def test_join_back(skewed):
     df = skewed.withColumn("key", F.when(F.col("id") % 10 != 0, F.col("key")))
     groups = df.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).filter("key <> 'k1'")
     plain = df.join(groups, "key", "left")
-    assert rows(scale.join_back(df, groups, ["key"], "n", "id"), "id", "n", "total") == rows(plain, "id", "n", "total")
+    assert rows(scale.join_back(df, groups, ["key"], "id"), "id", "n", "total") == rows(plain, "id", "n", "total")
 
 
 def test_join_back_shuffles_on_the_salt(skewed, capsys):
     groups = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        scale.join_back(skewed, groups, ["key"], "n", "id").explain()
+        scale.join_back(skewed, groups, ["key"], "id").explain()
     finally:
         skewed.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert any("SortMergeJoin" in line and "_salt" in line.split("LeftOuter")[0] for line in capsys.readouterr().out.splitlines())
