@@ -1,6 +1,7 @@
 """Table schemas as DDL strings, in the column order the operators emit."""
 
-BODIES = "source_id long, url string, fetched_at timestamp_ntz, body string"
+#: ``position``: place of a body among all bodies; rows of one body follow it, so leave room between two
+BODIES = "source_id long, url string, fetched_at timestamp_ntz, position long, body string"
 
 INCOMING = (
     "source_id long, position long, title string, starts_at timestamp_ntz, ends_at timestamp_ntz, "

@@ -111,14 +111,18 @@ def set_source_flags(sources: DataFrame, changes: DataFrame, now: str) -> DataFr
     return sources.join(delta, "id", "left").withColumns({"enabled": F.coalesce("_enabled", "enabled"), "approved_at": approved}).select(*sources.columns)
 
 
-def import_report(actions: DataFrame, fatal: DataFrame | None = None) -> DataFrame:
+def import_report(actions: DataFrame, fatal: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
     """Tallies per source from the merge's action column (``error`` for rejected rows). A run is failed
-    when its body could not be read (``fatal``: source_id, message) or when every row was rejected."""
+    when its body could not be read (``fatal``: source_id, message) or when every row was rejected.
+    Sources that were asked (``asked``: source_id) but yielded nothing get a row of zeros."""
     per = lambda name: F.count_if(F.col("action") == name)
     tally = actions.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("seen"), per("created").alias("created"), per("updated").alias("updated"),
         per("unchanged").alias("unchanged"), per("duplicate").alias("duplicates"), per("error").alias("errors"),
     )
+    if asked is not None:
+        counts = [c for c in tally.columns if c != "source_id"]
+        tally = tally.join(asked, "source_id", "full").fillna(0, counts)
     if fatal is None:
         rows = tally.withColumn("message", F.lit(None).cast("string"))
     else:

@@ -15,6 +15,7 @@ from kalendarium.functions.similarity import covered
 from kalendarium.operators import enrich, listing, merge, places, resolve, review
 from kalendarium.plans import nightly
 from kalendarium.plans.listing_page import listing_page
+from kalendarium.sources.state import current
 from kalendarium.sources.tables import read_table, write_snapshot
 from kalendarium.streaming import imports, visits
 from tests.helpers import at, events, incoming, regions, rows, sources, table
@@ -214,21 +215,83 @@ def test_stream_state_is_evicted(t, tmp_path):
     assert state["numRowsRemoved"] > 0 or state["numRowsTotal"] < 600
 
 
-def test_stream_import_versions_and_failure_isolation(spark, tmp_path):
-    root = str(tmp_path / "state")
-    cats = spark.createDataFrame([(1, "musik")], "id long, slug string")
-    src = sources(spark, [{"id": 1, "importer": "ics"}, {"id": 2, "importer": "rss", "key": "r"}])
-    for name, df in {"events": events(spark, []), "event_categories": spark.createDataFrame([], model.EVENT_CATEGORIES), "venues": table(spark, model.VENUES, []), "sources": src,
-                     "regions": regions(spark), "categories": cats, "category_decisions": table(spark, model.CATEGORY_DECISIONS, [])}.items():
-        write_snapshot(df, root, name, 0, "region_id" if name == "events" else None)
-    ics = "BEGIN:VEVENT\nSUMMARY:X\nUID:u\nDTSTART:20260720T200000\nEND:VEVENT"
-    schema = "source_id long, url string, position long, body string"
-    drop = str(tmp_path / "bodies")
-    spark.createDataFrame([(1, "u", 0, ics), (2, "v", 0, "<html>weg")], schema).write.parquet(drop)
-    for _ in range(2):  # a restart finds nothing new
-        imports.stream_import(spark.readStream.schema(schema).parquet(drop), root, str(tmp_path / "cp"), NOW_T, ["ics", "rss"]).awaitTermination()
-    assert rows(read_table(spark, root, "events", 1), "title", "external_id") == [("X", "u")]
-    assert rows(read_table(spark, root, "import_runs", 1), "source_id", "status", "created") == [(1, "ok", 1), (2, "failed", 0)]
+ICS = "BEGIN:VEVENT\nSUMMARY:{0}\nUID:{0}\nDTSTART:20260720T200000\nEND:VEVENT\n"
+BODY = "source_id long, url string, position long, body string"
+
+
+def _started(spark, root):
+    src = sources(spark, [{"id": 1, "importer": "ics"}, {"id": 2, "importer": "rss", "key": "r"}, {"id": 3, "importer": "ics", "key": "q"}])
+    cats = spark.createDataFrame([(1, "musik"), (2, "sonstiges")], "id long, slug string").withColumns({"name": F.col("slug"), "sort_order": F.col("id").cast("int")})
+    return current(spark, root).commit("start", {"sources": src, "regions": regions(spark), "categories": cats})
+
+
+def _arrive(spark, folder, bodies):
+    spark.createDataFrame(bodies, BODY).write.mode("append").parquet(folder)
+
+
+def test_imports_and_nightly_passes_lose_nothing(spark, tmp_path):
+    """Import, key pass, import, prune, import, with restarts and a replayed batch between."""
+    root, drop = str(tmp_path / "state"), str(tmp_path / "bodies")
+    _started(spark, root)
+
+    def run(now):
+        imports.stream_import(spark.readStream.schema(BODY).parquet(drop), root, str(tmp_path / "cp"), now, ["ics", "rss"]).awaitTermination()
+
+    _arrive(spark, drop, [(1, "u", 0, ICS.format("X")), (2, "v", 0, "<html>weg"), (3, "w", 0, "BEGIN:VCALENDAR\nEND:VCALENDAR")])
+    run("2026-07-01 12:00:00")
+    run("2026-07-01 12:00:00")  # a restart finds nothing new
+    state = current(spark, root)
+    assert rows(state.read("events"), "title", "external_id") == [("X", "X")]
+    assert rows(state.read("import_runs"), "source_id", "status", "seen", "created") == [(1, "ok", 1, 1), (2, "failed", 0, 0), (3, "ok", 0, 0)]
+    number = state.number
+    again = imports.import_batch(spark, root, spark.createDataFrame([(1, "u", 0, ICS.format("X"))], BODY), "2026-07-01 12:00:00", ["ics", "rss"], str(tmp_path / "cp") + "#0")
+    assert rows(again, "source_id") == [1, 2, 3] and current(spark, root).number == number
+
+    nightly.rededup(spark, root, "2026-07-02 03:00:00")
+    impossible = "BEGIN:VEVENT\nSUMMARY:Alt\nUID:a\nDTSTART:09990101T100000\nEND:VEVENT\n"
+    _arrive(spark, drop, [(1, "u", 0, ICS.format("X") + impossible + ICS.format("Y"))])
+    run("2026-07-02 12:00:00")
+    nightly.prune(spark, root, "2026-07-03 03:00:00")
+    _arrive(spark, drop, [(1, "u", 0, ICS.format("Z"))])
+    run("2026-07-03 12:00:00")
+
+    state = current(spark, root)
+    assert rows(state.read("events"), "title", "status") == [("X", "published"), ("Y", "published"), ("Z", "published")]
+    log = rows(state.read("import_runs"), "source_id", "status", "seen", "created", "unchanged", "errors")
+    assert log == [(1, "ok", 1, 1, 0, 0), (1, "ok", 1, 1, 0, 0), (1, "partial", 3, 1, 1, 1), (2, "failed", 0, 0, 0, 0), (3, "ok", 0, 0, 0, 0)]
+    assert len({r["id"] for r in state.read("import_runs").collect()}) == 5
+    # ten days later the log begins anew, the state stays
+    nightly.prune(spark, root, "2026-10-15 03:00:00")
+    assert current(spark, root).read("import_runs").isEmpty() and current(spark, root).read("events").count() == 3
+
+
+def test_an_uncommitted_step_leaves_no_trace(spark, tmp_path):
+    root = str(tmp_path)
+    state = _started(spark, root)
+    write_snapshot(events(spark, [{"id": 9}]), root, "events", state.number + 1)  # what a failed step left
+    assert current(spark, root).read("events").isEmpty()
+    state.commit("retry", {"events": events(spark, [{"id": 1}])})
+    assert rows(current(spark, root).read("events"), "id") == [1]
+
+
+def test_passes_over_the_state(spark, tmp_path):
+    root, now = str(tmp_path), "2026-07-01 12:00:00"
+    day = at("2026-07-20").date()
+    rows_ = [{"id": 1, "title": "Sommerfest im Park", "description": "lang"}, {"id": 2, "title": "Sommerfest Park", "description": "lang", "dedup_key": "b"}]
+    _started(spark, root).commit("rows", {"events": events(spark, [{**r, "starts_at": at("2026-07-20 20:00")} for r in rows_])})
+    pairs = spark.createDataFrame([(1, day, 1, 2, 1, "gleich")], "region_id long, day date, position long, duplicate_id long, canonical_id long, reason string")
+    nightly.review_duplicates(spark, root, pairs, now, "m")
+    state = current(spark, root)
+    assert rows(state.read("events"), "id", "status", "duplicate_of") == [(1, "published", None), (2, "duplicate", 1)]
+    assert rows(state.read("dedup_decisions"), "duplicate_event_id", "canonical_event_id", "active") == [(2, 1, True)]
+    assert state.read("dedup_days").count() == 1
+    proposals = spark.createDataFrame([(1, 1, "musik", None, "passt"), (2, 2, "musik", None, "")], "event_id long, position long, primary string, secondary string, reason string")
+    nightly.categorize(spark, root, proposals, now, "m")
+    nightly.summarize(spark, root, spark.createDataFrame([(1, 1, "Ein Fest.")], "event_id long, position long, summary string"), now)
+    state = current(spark, root)
+    assert rows(state.read("event_categories"), "event_id", "category_id") == [(1, 1)]
+    assert rows(state.read("category_decisions"), "event_id", "status") == [(1, "applied")]
+    assert rows(state.read("events"), "id", "summary") == [(1, "Ein Fest."), (2, None)]
 
 
 def test_listing_page_plan(t):
@@ -239,10 +302,8 @@ def test_listing_page_plan(t):
 
 def test_nightly_plan_writes_new_versions(t, tmp_path):
     root = str(tmp_path)
-    for name, df in {"events": t.events, "dedup_decisions": t.decisions, "sources": t.sources}.items():
-        write_snapshot(df, root, name, 0, "region_id" if name == "events" else None)
-    nightly.rededup(t.spark, root, 0, NOW)
-    before, after = (read_table(t.spark, root, "events", v) for v in (0, 1))
+    before = current(t.spark, root).commit("start", {"events": t.events, "dedup_decisions": t.decisions, "sources": t.sources}).read("events")
+    after = nightly.rededup(t.spark, root, NOW).read("events")
     assert before.count() == after.count() and before.select("id", "status").exceptAll(after.select("id", "status")).count() > 0
 
 
