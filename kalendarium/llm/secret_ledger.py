@@ -105,14 +105,14 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
 
 
 def findings(versions: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The given rows (without the text) with blob and the spans of the current rule versions, by start,
+    """The given rows (without the text, and columns of these names) with blob and the spans of the current rule versions, by start,
     then in the order of the rules. A blob under a third of all paths is a skewed join, which adaptive
     execution splits; its ledger side is one short row per batch."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (_tag(r), i)])
     tag = lambda f: F.concat(f["rule"], F.lit("@"), f["version"].cast("string"))
     current = ledger.select("blob", F.explode("findings").alias("f")).filter(order[tag(F.col("f"))].isNotNull())
     spans = current.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(F.col("f.start"), order[tag(F.col("f"))].alias("place"), F.col("f.end"), F.col("f.rule")))).alias("spans"))
-    rest = [c for c in versions.columns if c != text]
+    rest = [c for c in versions.columns if c not in (text, "blob", "spans")]
     keyed = versions.select(*rest, F.sha2(text_of(text), 256).alias("blob"))
     empty = F.array().cast("array<struct<start:int,place:int,end:int,rule:string>>")
     return keyed.join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", empty))

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -28,10 +29,15 @@ def test_offsets_take_near_minimal_space():
     assert len(token_store.EliasFano.of(ends).to_bytes()) * 8 / len(ends) < 12.5  # 64 in a table of offsets
 
 
-def whole_ids(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(catalog.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(catalog.tokenizer_path())
+
+
+def whole_ids(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["", " ", "a", " a b", "a  b   c", "a\n b", "it's  'quoted' \n\n x", "w1*** w2%%% <|endoftext|> z", "é è ç̧ ŝ", "漢字 \U0001f600 x", "x\x1c y  z", "a\tb c\r\n d ", "don't can't I'll !!! ?? ...", "\n \nfoo \n bar"])
