@@ -50,8 +50,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.ran
     taken = np.array([int(c) * budget // total if total else 0 for c in counts.tolist()], dtype=np.int64)
     rest = budget - int((taken * lengths).sum())
     order = rng.permutation(len(lengths))
-    for i in order:
-        if taken[i] < counts[i] and rest - int(lengths[i]) >= dp_words // 2:
+    # long documents from the longest on, then the others in a seeded order, down to a budget for the programme
+    long = lengths > dp_words // 4
+    for i in [*np.flatnonzero(long)[::-1], *order[~long[order]]]:
+        if taken[i] < counts[i] and rest - int(lengths[i]) >= (0 if long[i] else dp_words // 2):
             taken[i] += 1
             rest -= int(lengths[i])
     while rest > dp_words:  # only lengths near the rest are left

@@ -170,7 +170,8 @@ class Plan:
 
     @classmethod
     def of(cls, sample: np.ndarray, n: int, radius: int) -> Plan:
-        plans = [cls(sample, n, m, radius) for m in range(2, radius + 2)]
+        sample = sample if len(sample) else np.zeros(1, dtype=np.uint64)
+        plans = [cls(sample, n, m, radius) for m in range(1, radius + 2)]
         return min(plans, key=lambda p: p.thresholds(sample)[1])
 
 
