@@ -31,8 +31,9 @@ from kalendarium.llm.common import run_folder, small_batches, stored, text_of
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 4_096
-#: a term must stand in this many examples, and speak for the label this much (log odds, standard errors)
-LEAST_EXAMPLES, LEAST_LOG_ODDS, LEAST_ERRORS = 5, math.log(3), 3.0
+#: a term must stand in this many examples, have these log odds of the label, and a log likelihood ratio
+#: this much above what the best of as many terms reaches by chance
+LEAST_EXAMPLES, LEAST_LOG_ODDS, MARGIN = 5, math.log(3), 3.0
 K = 15
 BLOCK = 64
 FIRST_BLOCKS = 8
@@ -194,19 +195,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     sample = known.filter(unit < min(1.0, max_examples / max(n_known, 1)))
     # copies count once, so that a group of them doesn't pass for many examples
     drawn = rows.join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.any_value("text").alias("text"), F.round(F.avg("label")).cast("int").alias("label"), F.min("doc_id").alias("doc_id"))
-    examples = stored(drawn.drop("h"), f"{run_folder(docs.sparkSession, 'toxic')}/examples")
+    folder = run_folder(docs.sparkSession, "toxic")
+    examples = stored(drawn.drop("h"), f"{folder}/examples")
     counts = examples.select("text", "label").mapInArrow(_term_counts, "term string, label int, n long")
     sizes = {int(r["label"]): r["count"] for r in examples.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     with_term = counts.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
     cells = [F.col("p") + 0.5, F.col("q") + 0.5, F.lit(pos) - F.col("p") + 0.5, F.lit(neg) - F.col("q") + 0.5]
     odds = F.log(cells[0]) - F.log(cells[1]) - F.log(cells[2]) + F.log(cells[3])
-    error = F.sqrt(sum((1 / c for c in cells[1:]), 1 / cells[0]))
     share = pos / max(pos + neg, 1)
     n = F.col("p") + F.col("q")
     ratio = F.col("p") * F.log(cells[0] / (n + 1) / max(share, 1e-9)) + F.col("q") * F.log(cells[1] / (n + 1) / max(1 - share, 1e-9))
-    telling = with_term.filter(n >= LEAST_EXAMPLES).select("term", ratio.alias("ratio"), odds.alias("odds"), (odds / error).alias("errors"))
-    chosen = telling.filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("errors") >= LEAST_ERRORS)).orderBy(F.desc("ratio"), "term").limit(max_terms)
+    tested = stored(with_term.filter(n >= LEAST_EXAMPLES).select("term", ratio.alias("ratio"), odds.alias("odds")), f"{folder}/terms")
+    by_chance = math.log(max(tested.count(), 1))
+    chosen = tested.filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= by_chance + MARGIN)).orderBy(F.desc("ratio"), "term").limit(max_terms)
     terms = [r["term"] for r in chosen.select("term").collect()]
     totals = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(Space(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.log((1 + totals.get(-1, 0)) / (1 + np.array([totals.get(i, 0) for i in range(len(terms))], dtype=np.float64))) + 1
