@@ -20,6 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kalendarium import scale
 from kalendarium.llm.common import text_of
 
 #: fixed values: sentences of public licences and of the usual notices
@@ -82,7 +83,8 @@ def _normal(sentence: Column) -> Column:
 def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, list[str]]] = RULES, max_gap: int = MAX_GAP) -> DataFrame:
     """doc_id, licence, rule, first_sentence (number of the first matching sentence, from 0), n_matches."""
     known = {normal_words(text): name for name, text in sentences.items()}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text_of()).alias("low"))
+    # computed_once: the optimizer would copy these expressions into every cue test and every lambda
+    rows = scale.computed_once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), low=F.lower("text")).drop("text")
     # the longest word of a known sentence stands in every text that holds the sentence
     cues = sorted({max(text.split(), key=len) for text in known})
     any_cue = F.lit(False)
@@ -91,11 +93,11 @@ def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     cut = rows.filter(any_cue).select("doc_id", F.split("low", SENTENCE_END).alias("parts"))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     numbered = F.transform("parts", lambda s, i: F.struct(i.alias("at"), names[_normal(s)].alias("name")))
-    found = cut.select("doc_id", F.filter(numbered, lambda s: s["name"].isNotNull()).alias("hits")).filter(F.size("hits") > 0)
+    found = scale.computed_once(cut, hits=F.filter(numbered, lambda s: s["name"].isNotNull())).filter(F.size("hits") > 0)
     # one string per text: identifiers between bars, a double bar where a run breaks
     at = lambda i: F.col("hits")[i]["at"]
     marked = F.transform("hits", lambda h, i: F.concat(F.when((i > 0) & (h["at"] - at(F.greatest(i - 1, F.lit(0))) > max_gap + 1), F.lit("|")).otherwise(""), h["name"]))
-    runs = found.select("doc_id", "hits", F.concat(F.lit("|"), F.array_join(marked, "|"), F.lit("|")).alias("run"))
+    runs = scale.computed_once(found, run=F.concat(F.lit("|"), F.array_join(marked, "|"), F.lit("|")))
     table = F.array(*[
         F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), F.lit("|" + "|".join(ids) + "|").alias("ids"), F.lit(ids[0]).alias("first"), F.lit(len(ids)).alias("n"))
         for rule, (licence, ids) in rules.items()
