@@ -45,7 +45,7 @@ def _day_proposals(t: Tables):
 def _chain_proposals(t: Tables):
     """Proposals valid for applying: both sides visible; no day restriction, so chains are long."""
     ids = _visible(t).select("id")
-    rows = _proposals(t).withColumn("day", F.lit("1998-06-03").cast("date"))
+    rows = _proposals(t).withColumns({"day": F.lit("1998-06-03").cast("date"), "region_id": F.col("position") % 10})  # chains of ids ten apart
     for side in ("duplicate_id", "canonical_id"):
         rows = rows.join(ids.withColumnRenamed("id", side), side, "left_semi")
     return rows
@@ -199,7 +199,7 @@ _RESC = f"""SELECT r.id, CASE WHEN action = 'promote' THEN 'published' ELSE r.st
     WHERE r.status = 'duplicate' AND r.group_size < 2)) v ON v.id = r.id"""
 _PROP = """SELECT position, CASE WHEN position % 3 = 0 THEN b ELSE a END AS d, CASE WHEN position % 3 = 0 THEN a ELSE b END AS c, region_id, day FROM (
   SELECT id AS position, id AS a, id + 10 AS b, region_id, CAST(starts_at AS DATE) AS day FROM ev)"""
-_CHAINP = "SELECT *, row_number() OVER (PARTITION BY position % 10, region_id ORDER BY position) AS step, position % 10 AS lane FROM prop WHERE d IN (SELECT id FROM vi) AND c IN (SELECT id FROM vi)"
+_CHAINP = "SELECT *, row_number() OVER (PARTITION BY position % 10 ORDER BY position) AS step, position % 10 AS lane FROM prop WHERE d IN (SELECT id FROM vi) AND c IN (SELECT id FROM vi)"
 # proposals only link ids ten apart, so lanes (id mod 10) are independent and each is applied in order
 _APPLY = """SELECT lane, 0 AS step, CAST(-1 AS BIGINT) AS recent, CAST(-1 AS BIGINT) AS position, false AS ok FROM (SELECT DISTINCT lane FROM chainp)
   UNION ALL SELECT p.lane, p.step, CASE WHEN p.d <> a.recent AND p.c <> a.recent THEN p.d ELSE CASE WHEN a.recent IN (p.d, p.c) THEN a.recent ELSE -1 END END, p.position, p.d <> a.recent AND p.c <> a.recent
