@@ -1,10 +1,12 @@
 """Licence scans by sentence rules (operator 9), in DataFrame functions only.
 
 Known licence sentences have identifiers; a rule is an ordered sequence of identifiers. A text is cut into
-sentences, each sentence normalised (lower case, letters and digits, single blanks) and mapped to the
-identifier of its first known sentence; runs of identifiers with at most MAX_GAP other sentences between
-two of them are matched against the rules as sequences. A match that a longer matching rule of the same
-text contains isn't reported.
+pieces at line ends and stops and normalised (lower case, letters and digits, single blanks). A known
+sentence is one piece, or goes on over line ends as in wrapped files and headers, but not over a stop or a
+blank line; at one place the longest counts, and a list number before it is passed over. Runs of
+identifiers with at most MAX_GAP other sentences between two of them are matched against the rules as
+sequences; wrapped lines are one sentence there, and blank lines and bare list marks none. A match that a
+longer matching rule of the same text contains isn't reported.
 
 All of it happens within the row: no shuffle, so hot sources or copies don't matter. Texts that hold none
 of the known sentences' longest words are passed over before anything is cut.
@@ -66,18 +68,32 @@ RULES = {
     "cc-by-sa-work": ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
 }
 MAX_GAP = 3
-#: a sentence ends at a line end, or at a stop that white space follows; the header of a licence may go
+#: a piece ends at a line end, or at a stop that white space follows; the header of a licence may go
 #: on after a semicolon, so that isn't a stop
-SENTENCE_END = r"\n|[.!?][\x20\x09-\x0D]"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+STOP = r"[.!?][\x20\x09-\x0D]"
+#: in normalised texts a newline stands for a line end, \x01 for a stop, and \x02 and \x03 enclose a known sentence
+NOT_WORD = r"[^\p{L}\p{N}\n\x01]+"
+END, NO_END = r"[\n\x01]", r"[^\n\x01]"
+#: other text between known sentences counts as going on in the next line from this many characters on
+WRAPPED = 40
+LIST_MARK = r"(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})"
 
 
 def normal_words(sentence: str) -> str:
     return " ".join(w for w in re.split(r"[\W_]+", sentence.lower()) if w)
 
 
-def _normal(sentence: Column) -> Column:
-    return F.btrim(F.regexp_replace(sentence, NOT_WORD, " "))
+def _normal(low: Column) -> Column:
+    """The pieces of a lower-cased text as words with single blanks, each between two marks of its ends."""
+    stops = F.regexp_replace(F.translate(low, "\x01\x02\x03", "   "), STOP, "\x01")
+    return F.concat(F.lit("\x01"), F.btrim(F.regexp_replace(F.regexp_replace(stops, NOT_WORD, " "), f" ?({END}) ?", "$1"), F.lit(" ")), F.lit("\x01"))
+
+
+def _others(between: Column) -> Column:
+    """Number of sentences in the text between two known ones."""
+    bare = F.regexp_replace(between, f"(?<={END}){LIST_MARK}(?={END})", "")
+    joined = F.regexp_replace(bare, f"({NO_END}{{{WRAPPED},}})\\n(?={NO_END})", "$1 ")
+    return F.size(F.filter(F.split(joined, END), lambda x: x != ""))
 
 
 def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, list[str]]] = RULES, max_gap: int = MAX_GAP) -> DataFrame:
@@ -90,13 +106,22 @@ def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     any_cue = F.lit(False)
     for cue in cues:
         any_cue = any_cue | F.contains("low", F.lit(cue))
-    cut = rows.filter(any_cue).select("doc_id", F.split("low", SENTENCE_END).alias("parts"))
+    # the longest first, so that no shorter one is taken where it begins
+    either = "|".join(text.replace(" ", "[ \\n]") for text in sorted(known, key=len, reverse=True))
+    cut = scale.computed_once(rows.filter(any_cue), marked=F.regexp_replace(_normal(F.col("low")), f"(?<={END})(?:[0-9]{{1,3}} )?({either})(?={END})", "\x02$1\x03")).drop("low")
+    cut = cut.filter(F.contains("marked", F.lit("\x02")))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    numbered = F.transform("parts", lambda s, i: F.struct(i.alias("at"), names[_normal(s)].alias("name")))
-    found = scale.computed_once(cut, hits=F.filter(numbered, lambda s: s["name"].isNotNull())).filter(F.size("hits") > 0)
+    # piece numbers from 0: one more piece begins at each mark
+    numbered = F.transform(F.split("marked", END), lambda s, i: F.struct((i - 1).alias("at"), F.startswith(s, F.lit("\x02")).alias("known")))
+    found = scale.computed_once(
+        cut,
+        places=F.transform(F.filter(numbered, lambda s: s["known"]), lambda s: s["at"]),
+        names=F.transform(F.regexp_extract_all("marked", F.lit("\x02([^\x03]*)\x03")), lambda s: names[F.translate(s, "\n", " ")]),
+        gaps=F.transform(F.split("marked", "\x02[^\x03]*\x03"), _others),
+    ).drop("marked")
+    found = scale.computed_once(found, hits=F.arrays_zip(F.col("places").alias("at"), F.col("names").alias("name"), F.slice("gaps", 1, F.size("names")).alias("gap"))).select("doc_id", "hits")
     # one string per text: identifiers between bars, a double bar where a run breaks
-    at = lambda i: F.col("hits")[i]["at"]
-    marked = F.transform("hits", lambda h, i: F.concat(F.when((i > 0) & (h["at"] - at(F.greatest(i - 1, F.lit(0))) > max_gap + 1), F.lit("|")).otherwise(""), h["name"]))
+    marked = F.transform("hits", lambda h, i: F.concat(F.when((i > 0) & (h["gap"] > max_gap), F.lit("|")).otherwise(""), h["name"]))
     runs = scale.computed_once(found, run=F.concat(F.lit("|"), F.array_join(marked, "|"), F.lit("|")))
     table = F.array(*[
         F.struct(F.lit(licence).alias("licence"), F.lit(rule).alias("rule"), F.lit("|" + "|".join(ids) + "|").alias("ids"), F.lit(ids[0]).alias("first"), F.lit(len(ids)).alias("n"))

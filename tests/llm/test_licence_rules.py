@@ -1,3 +1,7 @@
+import textwrap
+
+import pytest
+
 from kalendarium.llm import licence_rules
 from tests.llm.tables import documents, odd_rows, prose, rows
 
@@ -42,3 +46,64 @@ def test_odd_rows(spark):
     assert licence_rules.find_licences(documents(spark, [])).collect() == []
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+{mit-grant}
+
+{mit-keep}.
+
+{mit-as-is}. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Copyright 2020 Some Body
+
+{apache-header}.
+{apache-copy}
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+{apache-as-is}.
+See the License for the specific language governing permissions and limitations under the License."""
+GPL = """{gpl-free}.
+
+{gpl-hope}.  See the GNU General Public License for more details.
+
+{gpl-received}.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Copyright (c) 2020, Some Body
+
+{bsd-redistribution}
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. {bsd-endorse}.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"."""
+STANDARD = [(MIT, "MIT", "mit-text"), (APACHE, "Apache-2.0", "apache-full-header"), (GPL, "GPL-3.0-or-later", "gpl3-or-later-full"), (BSD, "BSD-3-Clause", "bsd-3")]
+
+
+@pytest.mark.parametrize("width", [70, 79, 10_000])
+def test_standard_texts_wrapped(spark, width):
+    for comment in ("", " * ", "# "):
+        texts = []
+        for form, *_ in STANDARD:
+            lines = [line for part in form.format(**S).split("\n") for line in textwrap.wrap(part, width) or [""]]
+            texts.append("\n".join((comment + line).rstrip() for line in lines))
+        texts.append(texts[3].replace("3. Neither", "3) Neither").replace("\n", "\r\n"))
+        got = found(spark, *texts)
+        assert [(i, licence, rule, n) for i, licence, rule, _, n in got] == [(i, licence, rule, 1) for i, (_, licence, rule) in enumerate(STANDARD + STANDARD[3:])]
+        # the piece in which the sequence begins
+        assert got[0][3] == 4 and texts[0].split("\n")[4].strip(" *#").startswith("Permission")
+
+
+def test_wrapping_ends_at_stops_and_blank_lines(spark):
+    half = S["gpl3-notice"].index(" under")
+    texts = [S["gpl3-notice"][:half] + end + S["gpl3-notice"][half + 1:] for end in ("\n", "\r\n * ", "\n\n", ". ", "\n *\n")]
+    assert [r[0] for r in found(spark, *texts)] == [0, 1]
+    # wrapped sentences between two known ones count one each
+    other = "\n".join(textwrap.wrap("This is some other sentence that goes on over several lines of the file. " * 4, 60))
+    near, far = (S["bsd-redistribution"] + "\n" + "\n".join([other] * n) + "\n" + S["bsd-endorse"] for n in (0, 1))
+    assert [r[2] for r in found(spark, near.replace("\n\n", "\n"), far)] == ["bsd-3", "bsd-2"]
