@@ -67,6 +67,33 @@ RULES = {
     "cc-by-work": ("CC-BY-4.0", ["cc-by-work"]),
     "cc-by-sa-work": ("CC-BY-SA-4.0", ["cc-by-sa-work"]),
 }
+#: sentences and rules the SQL twin doesn't know; identifiers of the SPDX list, where GPL-2.0 and its kin (without
+#: -only or -or-later, also written with a plus that normalising drops) leave open whether later versions are meant
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    *[f"{name}{end}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("", "-only", "-or-later")],
+)
+_FREE = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation"
+_LATER = _FREE + ", either version {version} of the License, or (at your option) any later version"
+#: licence and the one sentence that shows it
+COMMON = {f"spdx-{name.lower()}": (name, f"SPDX-License-Identifier: {name}") for name in SPDX} | {
+    "gpl2-or-later": ("GPL-2.0-or-later", _LATER.format(what="program", name="General Public License", version="2")),
+    "gpl2-only": ("GPL-2.0-only", _FREE.format(what="program", name="General Public License version 2")),
+    "gpl2-notice": ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2"),
+    "lgpl21-or-later": ("LGPL-2.1-or-later", _LATER.format(what="library", name="Lesser General Public License", version="2.1")),
+    "lgpl21-program": ("LGPL-2.1-or-later", _LATER.format(what="program", name="Lesser General Public License", version="2.1")),
+    "lgpl3-or-later": ("LGPL-3.0-or-later", _LATER.format(what="library", name="Lesser General Public License", version="3")),
+    "lgpl3-program": ("LGPL-3.0-or-later", _LATER.format(what="program", name="Lesser General Public License", version="3")),
+    "agpl3-or-later": ("AGPL-3.0-or-later", _LATER.format(what="program", name="Affero General Public License", version="3")),
+    # a stop and a blank follow the v; only version 2.0 speaks of a Source Code Form
+    "mpl2-header": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    "isc-grant": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "isc-grant-old": ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "0bsd-grant": ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain"),
+}
+ALL_SENTENCES = SENTENCES | {rule: sentence for rule, (_, sentence) in COMMON.items()}
+ALL_RULES = RULES | {rule: (licence, [rule]) for rule, (licence, _) in COMMON.items()}
 MAX_GAP = 3
 #: a piece ends at a line end, or at a stop that white space follows; the header of a licence may go
 #: on after a semicolon, so that isn't a stop
@@ -92,11 +119,11 @@ def _normal(low: Column) -> Column:
 def _others(between: Column) -> Column:
     """Number of sentences in the text between two known ones."""
     bare = F.regexp_replace(between, f"(?<={END}){LIST_MARK}(?={END})", "")
-    joined = F.regexp_replace(bare, f"({NO_END}{{{WRAPPED},}})\\n(?={NO_END})", "$1 ")
+    joined = F.regexp_replace(bare, f"(?<={END})({NO_END}{{{WRAPPED},}}+)\\n(?={NO_END})", "$1 ")
     return F.size(F.filter(F.split(joined, END), lambda x: x != ""))
 
 
-def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict[str, tuple[str, list[str]]] = RULES, max_gap: int = MAX_GAP) -> DataFrame:
+def find_licences(docs: DataFrame, sentences: dict[str, str] = ALL_SENTENCES, rules: dict[str, tuple[str, list[str]]] = ALL_RULES, max_gap: int = MAX_GAP) -> DataFrame:
     """doc_id, licence, rule, first_sentence (number of the first matching sentence, from 0), n_matches."""
     known = {normal_words(text): name for name, text in sentences.items()}
     # computed_once: the optimizer would copy these expressions into every cue test and every lambda
@@ -117,9 +144,10 @@ def find_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
         cut,
         places=F.transform(F.filter(numbered, lambda s: s["known"]), lambda s: s["at"]),
         names=F.transform(F.regexp_extract_all("marked", F.lit("\x02([^\x03]*)\x03")), lambda s: names[F.translate(s, "\n", " ")]),
-        gaps=F.transform(F.split("marked", "\x02[^\x03]*\x03"), _others),
+        gaps=F.transform(F.regexp_extract_all("marked", F.lit("\x03([^\x02]*+)\x02")), _others),
     ).drop("marked")
-    found = scale.computed_once(found, hits=F.arrays_zip(F.col("places").alias("at"), F.col("names").alias("name"), F.slice("gaps", 1, F.size("names")).alias("gap"))).select("doc_id", "hits")
+    hits = F.arrays_zip(F.col("places").alias("at"), F.col("names").alias("name"), F.concat(F.array(F.lit(0)), "gaps").alias("gap"))
+    found = scale.computed_once(found, hits=hits).select("doc_id", "hits")
     # one string per text: identifiers between bars, a double bar where a run breaks
     marked = F.transform("hits", lambda h, i: F.concat(F.when((i > 0) & (h["gap"] > max_gap), F.lit("|")).otherwise(""), h["name"]))
     runs = scale.computed_once(found, run=F.concat(F.lit("|"), F.array_join(marked, "|"), F.lit("|")))

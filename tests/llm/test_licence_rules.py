@@ -107,3 +107,15 @@ def test_wrapping_ends_at_stops_and_blank_lines(spark):
     other = "\n".join(textwrap.wrap("This is some other sentence that goes on over several lines of the file. " * 4, 60))
     near, far = (S["bsd-redistribution"] + "\n" + "\n".join([other] * n) + "\n" + S["bsd-endorse"] for n in (0, 1))
     assert [r[2] for r in found(spark, near.replace("\n\n", "\n"), far)] == ["bsd-3", "bsd-2"]
+
+
+def test_spdx_lines_and_other_common_licences(spark):
+    for rule, (licence, sentence) in licence_rules.COMMON.items():
+        assert licence in licence_rules.SPDX, rule
+    common = list(licence_rules.COMMON.items())
+    texts = ["x\n" + "\n".join(" * " + line for line in textwrap.wrap(sentence + ".", 72)) + "\nMore text." for _, (_, sentence) in common]
+    texts += ["/* SPDX-License-Identifier: GPL-2.0+ */", "// SPDX-License-Identifier: MIT-0"]
+    expected = [(i, licence, rule, 1, 1) for i, (rule, (licence, _)) in enumerate(common)] + [(len(common), "GPL-2.0", "spdx-gpl-2.0", 0, 1)]
+    assert found(spark, *texts) == sorted(expected, key=repr)
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    assert [r[1] for r in found(spark, mpl)] == ["MPL-2.0"]
