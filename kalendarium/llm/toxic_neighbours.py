@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples (operator 10).
 
 Examples are a seeded sample of about MAX_EXAMPLES labelled rows that aren't held out (crc32 of the
-doc_id's text mod 3 is not 1). Terms that speak for the label among the examples' different texts, at most MAX_TERMS by likelihood
-ratio, span the vector space; their document frequencies are counted over all documents. Each text finds the
-K examples of largest TF-IDF cosine exactly, over an inverted index with block maxima: blocks of examples
-are opened in the order of their upper bounds until no unopened block can hold a nearer example. Votes
-weighted by distance give a raw share, which is calibrated on the examples' own leave-one-out shares.
-The neighbours are kept as evidence.
+doc_id's text mod 3 is not 1). All terms of the examples span the vector space; their document frequencies
+are counted over all documents. Terms that speak for the label among the examples' different texts weigh
+BOOST times their TF-IDF, so that few of them tell in a long text. Terms that no example holds count in a
+text's length like terms of one document. Each text finds the K examples of largest cosine exactly: sums
+over the postings of all but the most frequent terms come first, and examples that the frequent terms can't
+lift to the k-th sum (Cauchy-Schwarz) are passed over. Votes weighted by distance give a raw share, which is
+calibrated on the examples' own leave-one-out shares. The neighbours are kept as evidence.
 
-What travels to the tasks is bounded by MAX_EXAMPLES * MAX_TERMS, whatever the size of the corpus.
+What travels to the tasks is bounded by the texts of MAX_EXAMPLES examples, whatever the size of the corpus.
 
-Rows: null and empty texts, and texts without a term of the space, get the calibrated rate of such
+Rows: null and empty texts, and texts without a term of the examples, get the calibrated rate of such
 examples; a missing doc_id isn't held out and takes no part in learning. Labels of one doc_id are united
 (toxic if any row says so), null labels ignored. Without any label every score is 0.5. An empty table
 gives an empty result.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 from kalendarium.llm.common import run_folder, small_batches, stored, text_of
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
-#: a term must stand in this many examples, have these log odds of the label, and a log likelihood ratio
+#: a term that weighs more must stand in this many examples, have these log odds of the label, and a log likelihood ratio
 #: this much above what the best of as many terms reaches by chance
 LEAST_EXAMPLES, LEAST_LOG_ODDS, MARGIN = 5, math.log(3), 3.0
+BOOST = 20.0
 K = 15
-BLOCK = 64
-FIRST_BLOCKS = 8
+#: so many of the most frequent terms are kept as dense rows
+FREQUENT = 256
 BINS = 20
 THRESHOLD = 0.7
 SEED = 29
@@ -59,96 +61,106 @@ def _term_counts(batches):
 
 def _frequencies(space: Space):
     def run(batches):
-        totals, documents = [0] * len(space.terms), 0
+        totals, documents = np.zeros(len(space.terms), dtype=np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 documents += 1
-                for term in set(space.occurrences(text)):
-                    totals[term] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(totals))], pa.int32()), pa.array([documents, *totals], pa.int64())], ["term", "n"])
+                totals[space.counts(text)[0]] += 1
+        held = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, held), pa.int32()), pa.array(np.append(documents, totals[held]), pa.int64())], ["term", "n"])
 
     return run
 
 
 class Space:
-    """Unit TF-IDF vectors over the chosen terms: tf is 1 + ln(count)."""
+    """Unit vectors over the terms: 1 + ln(count), times the term's weight. Terms without number weigh ``rest``."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray | None = None):
-        self.terms, self.idf, self._automaton = terms, idf, None
+    def __init__(self, terms: list[str], weight: np.ndarray | None = None, rest: float = 1.0):
+        self.terms, self.weight, self.rest, self._numbers = terms, weight, rest, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_automaton": None}
-
-    def occurrences(self, text: str) -> list[int]:
-        """Numbers of the terms that stand in the text as whole words, once per occurrence."""
-        if not self.terms:
-            return []
-        if self._automaton is None:
-            import ahocorasick
-
-            self._automaton = ahocorasick.Automaton()
-            for i, term in enumerate(self.terms):
-                self._automaton.add_word(term, (i, len(term)))
-            self._automaton.make_automaton()
-        low, found = text.lower(), []
-        in_word = lambda c: c.isalnum() or c == "_"
-        for last, (i, size) in self._automaton.iter(low):
-            start = last - size + 1
-            if not (start and in_word(low[start - 1])) and not (last + 1 < len(low) and in_word(low[last + 1])):
-                found.append(i)
-        return found
+        return self.__dict__ | {"_numbers": None}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the text's terms, their counts, and the counts of terms without number."""
+        if self._numbers is None:
+            self._numbers = {term: i for i, term in enumerate(self.terms)}
+        number, at, counts, others = self._numbers.get, [], [], []
+        for term, n in Counter(_WORD.findall(text.lower())).items():
+            i = number(term)
+            if i is None:
+                others.append(n)
+            else:
+                at.append(i)
+                counts.append(n)
+        at = np.array(at, dtype=np.int64)
+        order = np.argsort(at)
+        return at[order], np.array(counts, dtype=np.int64)[order], np.array(others, dtype=np.int64)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, counts = np.unique(np.array(self.occurrences(text), dtype=np.int64), return_counts=True)
-        weights = (1 + np.log(counts)) * self.idf[at]
-        norm = math.sqrt(float((weights**2).sum()))
+        at, counts, others = self.counts(text)
+        weights = (1 + np.log(counts)) * self.weight[at]
+        norm = math.sqrt(float((weights**2).sum()) + float((((1 + np.log(others)) * self.rest) ** 2).sum()))
         return (at, weights / norm) if norm > 0 else (at[:0], weights[:0])
 
 
-class BlockMaxIndex:
-    """Postings by term, cut at blocks of BLOCK examples, with each term's largest weight per block."""
+class ExampleIndex:
+    """Postings by term, and dense rows for the FREQUENT terms that most examples hold."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        n = len(vectors)
-        self.n, self.blocks = n, -(-n // BLOCK)
-        example = np.concatenate([np.full(len(at), i) for i, (at, _) in enumerate(vectors)]).astype(np.int64) if n else np.zeros(0, np.int64)
-        term = np.concatenate([at for at, _ in vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
+        n = self.n = len(vectors)
+        sizes = [len(at) for at, _ in vectors]
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        term = np.concatenate([np.asarray(at, np.int32) for at, _ in vectors]) if n else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
-        order = np.lexsort((example, term))
+        held = np.bincount(term, minlength=n_terms)
+        frequent = np.argsort(-held, kind="stable")[:FREQUENT]
+        self.column = np.full(n_terms, -1, dtype=np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((n, len(frequent)))
+        dense = self.column[term] >= 0
+        self.rows[example[dense], self.column[term[dense]]] = weight[dense]
+        self.norms = np.sqrt((self.rows**2).sum(axis=1))
+        # stable, so examples stay in order below each term
+        order = np.flatnonzero(~dense)
+        order = order[np.argsort(term[order], kind="stable")]
         self.example, self.weight = example[order], weight[order]
-        self.bounds = np.searchsorted(term[order], np.arange(n_terms + 1))
-        self.maxima = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.maxima, (term[order], self.example // BLOCK), self.weight)
+        self.bounds = np.append(0, np.cumsum(np.where(self.column >= 0, 0, held)))
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> list[tuple[float, int]]:
-        """The k largest cosines above 0, ties to the smaller example; exact. The blocks of largest upper
-        bound are opened first; then all blocks whose bound reaches the k-th cosine found there."""
+        """The k largest cosines above 0, ties to the smaller example; exact."""
         if not self.n or not len(at):
             return []
-        upper = weights @ self.maxima[at]
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in at.tolist()]
-        examples = np.concatenate([self.example[s] for s in spans])
-        parts = np.concatenate([w * self.weight[s] for w, s in zip(weights.tolist(), spans)])
-        blocks = examples // BLOCK
-
-        def opened(chosen: np.ndarray) -> list[tuple[float, int]]:
-            taken = chosen[blocks]
-            sums = np.bincount(examples[taken], parts[taken], self.n)
-            hits = np.flatnonzero(sums > 0)
-            hits = hits[hits != but]
-            best = hits[np.lexsort((hits, -sums[hits]))[:k]]
-            return list(zip(sums[best].tolist(), best.tolist()))
-
-        first = np.zeros(self.blocks, dtype=bool)
-        first[np.argsort(-upper, kind="stable")[:FIRST_BLOCKS]] = True
-        top = opened(first)
-        # bounds and cosines add up in different orders: leave room for rounding
-        reach = upper >= (top[-1][0] if len(top) == k else 0.0) - 1e-9
-        return top if not (reach & ~first).any() else opened(reach | first)
+        column = self.column[at]
+        dense, rare = column >= 0, np.flatnonzero(column < 0)
+        sums = np.zeros(self.n)
+        if len(rare):
+            first, last = self.bounds[at[rare]], self.bounds[at[rare] + 1]
+            spans = list(map(slice, first.tolist(), last.tolist()))
+            parts = np.concatenate([self.weight[s] for s in spans]) * np.repeat(weights[rare], last - first)
+            sums = np.bincount(np.concatenate([self.example[s] for s in spans]), parts, self.n)
+        if 0 <= but < self.n:
+            sums[but] = -np.inf
+        # weights aren't negative: the k-th sum so far is a lower bound of the k-th cosine; leave room for rounding
+        reached = np.partition(sums, self.n - k)[self.n - k] if self.n > k else -np.inf
+        common = weights[dense]
+        chosen = np.flatnonzero(sums + math.sqrt(float((common**2).sum())) * self.norms >= max(reached, 0.0) - 1e-9)
+        cosines = sums[chosen]
+        if len(common):
+            whole = np.zeros(self.rows.shape[1])
+            whole[column[dense]] = common
+            cosines = cosines + self.rows[chosen] @ whole
+        hits = np.flatnonzero(cosines > 0)
+        best = hits[np.lexsort((chosen[hits], -cosines[hits].round(12)))[:k]]
+        return list(zip(cosines[best].tolist(), chosen[best].tolist()))
+
+
+#: the name under which the search is tested
+BlockMaxIndex = ExampleIndex
 
 
 class Model:
-    def __init__(self, space: Space, index: BlockMaxIndex, labels: np.ndarray, ids: list, base: float):
+    def __init__(self, space: Space, index: ExampleIndex, labels: np.ndarray, ids: list, base: float):
         self.space, self.index, self.labels, self.ids, self.base = space, index, labels, ids, base
         self.bins: np.ndarray | None = None
         self.without_terms = base
@@ -184,7 +196,7 @@ class Model:
         return (self.without_terms if share is None else float(self.bins[min(int(share * BINS), BINS - 1)])), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).dropna().filter(~held_out())
@@ -206,27 +218,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     share = pos / max(pos + neg, 1)
     n = F.col("p") + F.col("q")
     ratio = F.col("p") * F.log(cells[0] / (n + 1) / max(share, 1e-9)) + F.col("q") * F.log(cells[1] / (n + 1) / max(1 - share, 1e-9))
-    tested = stored(with_term.filter(n >= LEAST_EXAMPLES).select("term", ratio.alias("ratio"), odds.alias("odds")), f"{folder}/terms")
-    by_chance = math.log(max(tested.count(), 1))
-    chosen = tested.filter((F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= by_chance + MARGIN)).orderBy(F.desc("ratio"), "term").limit(max_terms)
-    terms = [r["term"] for r in chosen.select("term").collect()]
-    totals = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(_frequencies(Space(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + totals.get(-1, 0)) / (1 + np.array([totals.get(i, 0) for i in range(len(terms))], dtype=np.float64))) + 1
-    space = Space(terms, idf)
-    # sparse rows of at most max_terms entries; sorted, so that the model doesn't depend on task order
-    found = sorted(examples.mapInArrow(_vectors(space), "doc_id long, label int, at array<int>, weights array<double>").collect(), key=lambda r: (r["doc_id"], r["at"], r["weights"]))
-    vectors = [(np.array(r["at"], dtype=np.int64), np.array(r["weights"], dtype=np.float64)) for r in found]
-    model = Model(space, BlockMaxIndex(vectors, len(terms)), np.array([r["label"] for r in found], dtype=np.float64), [r["doc_id"] for r in found], (pos + 0.5) / (pos + neg + 1))
+    held = stored(with_term.select("term", n.alias("n"), ratio.alias("ratio"), odds.alias("odds")), f"{folder}/terms")
+    by_chance = math.log(max(held.filter(F.col("n") >= LEAST_EXAMPLES).count(), 1))
+    speaks = (F.col("n") >= LEAST_EXAMPLES) & (F.col("odds") >= LEAST_LOG_ODDS) & (F.col("ratio") >= by_chance + MARGIN)
+    numbered = held.select("term", speaks.alias("speaks")).toArrow().sort_by("term")
+    terms, boosted = numbered["term"].to_pylist(), np.array(numbered["speaks"].to_numpy(), dtype=bool)
+    totals = np.zeros(len(terms) + 1, dtype=np.int64)
+    counted = rows.select("text").mapInArrow(_frequencies(Space(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    totals[counted["term"].to_numpy()] = counted["n"].to_numpy()  # documents at -1, the last
+    idf = np.log((1 + totals[-1]) / (1 + totals[:-1])) + 1
+    space = Space(terms, np.where(boosted, BOOST, 1.0) * idf, math.log((1 + totals[-1]) / 2) + 1 if totals[-1] else 1.0)
+    # sorted, so that the model doesn't depend on task order
+    found = examples.mapInArrow(_vectors(space), "doc_id long, label int, at array<int>, weights array<double>").toArrow()
+    pairs = zip(_arrays(found["at"]), _arrays(found["weights"]))
+    whole = sorted(zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), pairs), key=lambda r: (r[0], r[2][0].tobytes(), r[2][1].tobytes()))
+    del found, numbered, counted
+    vectors = [v for _, _, v in whole]
+    model = Model(space, ExampleIndex(vectors, len(terms)), np.array([y for _, y, _ in whole], dtype=np.float64), [i for i, _, _ in whole], (pos + 0.5) / (pos + neg + 1))
     model.calibrate([model.share(v, but=i)[0] for i, v in enumerate(vectors)])
     return model
 
 
+def _arrays(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """One array per row, without a Python object per value."""
+    return [part for c in lists.chunks if len(c) for part in np.split(c.flatten().to_numpy(), c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py())]
+
+
 def _vectors(space: Space):
     def run(batches):
         for batch in batches:
             vectors = [space.vector(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array([a.tolist() for a, _ in vectors], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in vectors], pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in vectors], pa.list_(pa.int32())), pa.array([w for _, w in vectors], pa.list_(pa.float64()))],
                 ["doc_id", "label", "at", "weights"])
 
     return run

@@ -84,3 +84,19 @@ def test_clean_rows_stay_as_they_are(spark):
     assert kept.columns == table.columns
     ids = {r["doc_id"] for r in kept.collect()}
     assert {i for i, _ in docs if i % 8} <= ids and len([i for i in ids if i is not None and i < 600 and i % 8 == 0]) <= 5 and {None, 5000} <= ids
+
+
+def test_copies_of_examples_with_rare_words_find_them(spark):
+    docs, labels = corpus(400)
+    learned = [d for d, *_ in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    # words that stand in one example only; a copy, a near copy, and other words
+    text = " ".join(f"only{i}" for i in range(40))
+    bad, clean = learned[0], learned[1]
+    docs = [(i, text if i == bad else text.replace("only", "fine") if i == clean else t) for i, t in docs]
+    labels = [(i, q, 1 if i == bad else 0 if i == clean else y, x) for i, q, y, x in labels]
+    docs += [(9001, text), (9002, text.replace("only7 ", "")), (9003, text.replace("only", "fine")), (9004, "none of these")]
+    got = {r["doc_id"]: r for r in toxic_neighbours.score_documents(documents(spark, docs), spark.createDataFrame(labels, LABELS)).collect()}
+    nearest = {i: got[i]["evidence"][0] for i in (9001, 9002, 9003)}
+    assert [(e["doc_id"], e["toxic"]) for e in nearest.values()] == [(bad, 1), (bad, 1), (clean, 0)]
+    assert nearest[9001]["cosine"] == pytest.approx(1) and nearest[9003]["cosine"] == pytest.approx(1) and 0.9 < nearest[9002]["cosine"] < 1
+    assert got[9001]["score"] > got[9003]["score"] and not got[9004]["evidence"]
