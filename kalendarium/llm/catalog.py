@@ -1,11 +1,14 @@
-"""Registered queries of the ten operators, and SQL twins where SQL can express them."""
+"""Registered queries of the operators, and SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalendarium.llm import decontamination, hamming_ann, licence_rules, line_index, mixing, pii_anchors, secret_ledger, simhash_groups, token_store, toxic_neighbours
+from kalendarium.llm import (
+    bit_importance, decontamination, hamming_ann, jaccard_join, licence_rules, line_index, mixing, norm_buckets, pii_anchors, secret_ledger,
+    simhash_groups, token_store, toxic_neighbours,
+)
 from kalendarium.llm.common import run_folder
 
 #: a vocabulary file of the installed tokenizers
@@ -74,9 +77,23 @@ def op10_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_bit_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = bit_importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op13_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_store, op2_line_index, op3_hamming_ann, op4_mixing, op5_decontamination, op6_secret_ledger,
     op7_pii_anchors, op8_simhash_groups, op9_licence_rules, op10_toxic_neighbours,
+    op11_bit_importance, op12_jaccard_join, op13_norm_buckets,
 )}
 
 

@@ -57,3 +57,33 @@ def keyed(df: DataFrame, text_hash: Column | None = None) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     hashed = F.xxhash64(text_of()) if text_hash is None else text_hash
     return df.withColumns(dict(zip(KEY, [F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), hashed])))
+
+
+#: bytes of the plain word rule: A-Z in lower case, digits, a-z and all beyond ASCII stay, others part words
+_WORD_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
+)
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """The words of a UTF-8 text: runs of digits, ASCII letters (in lower case) and code points beyond ASCII."""
+    return text.translate(_WORD_BYTES).split()
+
+
+def text_bytes(name: str = "text") -> Column:
+    """The whole text as UTF-8 bytes; a missing one counts as empty."""
+    return text_of(name).cast("binary")
+
+
+class Memo(dict):
+    """Remembers ``make(key)`` for the first ``room`` keys."""
+
+    def __init__(self, make: Callable, room: int = 300_000):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.room:
+            self[key] = value
+        return value
