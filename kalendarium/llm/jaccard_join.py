@@ -38,8 +38,8 @@ from kalendarium.llm.components import components
 SHINGLE = 4
 PERCENT = 85
 MIN_SKETCH, MAX_SKETCH = 1 << 16, 1 << 24
-#: shingles per counter of the sketch
-PER_COUNTER = 128
+#: bytes of text per counter of the sketch
+BYTES_PER_COUNTER = 768
 SLICE = 1 << 12
 #: columns per step when the whole rows of a cell are multiplied
 PANEL = 4096
@@ -59,47 +59,76 @@ def word_hashes(seed: int) -> Memo:
     return Memo(lambda word: xxh3_64_intdigest(word, seed))
 
 
-def shingle_set(text: bytes, words: Memo, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    # bytes.lower() and bytes.split() touch exactly A-Z and the six white-space characters
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    width = min(shingle, len(parts))
-    sums = np.full(len(hashes) - width + 1, width, dtype=np.uint64)
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash per run of ``width`` neighbours."""
+    n = len(hashes) - width + 1
+    sums = np.full(n, width, dtype=np.uint64)
     for i in range(width):
         # each place has a multiplier of its own, so order counts
-        sums = _mixed(sums + hashes[i:len(hashes) - width + 1 + i] * (_ODD[i % 4] + np.uint64(2 * (i // 4))))
-    return np.unique(sums)
+        sums = _mixed(sums + hashes[i:n + i] * (_ODD[i % 4] + np.uint64(2 * (i // 4))))
+    return sums
+
+
+def shingle_sets(texts: list[bytes], words: Memo, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    # bytes.lower() and bytes.split() touch exactly A-Z and the six white-space characters
+    parts = [t.lower().split() for t in texts]
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    hashes = np.fromiter((words[w] for p in parts for w in p), np.uint64, ends[-1] if ends else 0)
+    runs = _rolled(hashes, shingle) if len(hashes) >= shingle else hashes[:0]  # those over a text's end are not used
+    out = []
+    for p, end in zip(parts, ends):
+        start = end - len(p)
+        out.append(np.unique(runs[start:end - shingle + 1]) if len(p) >= shingle else _rolled(hashes[start:end], len(p)) if p else hashes[:0])
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
 
+def _sets(shingle: int, seed: int, size: int):
+    """A narrow row per document, and at a task's end its part of the column sketch, in slices."""
 
-def _sets(shingle: int, seed: int):
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
         words = per_worker(f"shingle-words:{seed}", lambda: word_hashes(seed))
-        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        counts = np.zeros(size, dtype=np.uint32)
+        names = ["doc_id", "text_hash", "n_shingles", "set_id", "proof", "slice", "counts"]
         for batch in batches:
-            rows = [shingle_set(t, words, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            rows = shingle_sets(batch.column("text").to_pylist(), words, shingle)
+            flat = np.concatenate([*rows, np.zeros(0, dtype=np.uint64)])
+            # columns of a row are distinct, their counters need not be
+            np.add.at(counts, (flat & np.uint64(size - 1)).astype(np.int64), 1)
+            packed = [r.tobytes() for r in rows]
+            none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(r) // 8 for r in rows], pa.int64()), pa.array([signed(xxh3_64_intdigest(r, seed)) for r in rows], pa.int64()),
-                 pa.array([signed(xxh3_64_intdigest(r, seed + 1)) for r in rows], pa.int64()), pa.array(rows, pa.binary())],
-                ["doc_id", "text_hash", "n_shingles", "set_id", "proof", "columns"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(r) for r in rows], pa.int64()), pa.array([_signed(xxh3_64_intdigest(r, seed)) for r in packed], pa.int64()),
+                 pa.array([_signed(xxh3_64_intdigest(r, seed + 1)) for r in packed], pa.int64()), *none], names)
+        held = [a for a in range(0, size, SLICE) if counts[a:a + SLICE].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(held), pa.int64())] * 5 + [pa.array([a // SLICE for a in held], pa.int32()), pa.array([counts[a:a + SLICE].tobytes() for a in held], pa.binary())], names)
 
     return run
 
 
-def _sketch(size: int):
+def _columns(shingle: int, seed: int):
+    """set_id and columns of texts, once per task."""
+
     def run(batches):
-        counts = np.zeros(size, dtype=np.uint32)
+        from xxhash import xxh3_64_intdigest
+
+        words, seen = per_worker(f"shingle-words:{seed}", lambda: word_hashes(seed)), set()
         for batch in batches:
-            for row in batch.column("columns").to_pylist():
-                # columns of a row are distinct, their counters need not be
-                np.add.at(counts, (np.frombuffer(row, "<u8") & np.uint64(size - 1)).astype(np.int64), 1)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(size // SLICE), pa.int32()), pa.array([counts[a:a + SLICE].tobytes() for a in range(0, size, SLICE)], pa.binary())], ["slice", "counts"])
+            rows = {}
+            for row in shingle_sets(batch.column("text").to_pylist(), words, shingle):
+                packed = row.tobytes()
+                set_id = _signed(xxh3_64_intdigest(packed, seed))
+                if packed and set_id not in seen:
+                    seen.add(set_id)
+                    rows[set_id] = packed
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["set_id", "columns"])
 
     return run
 
@@ -113,14 +142,18 @@ def _summed(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
 
 
-def column_sketch(rows: DataFrame, total: int) -> np.ndarray:
-    """Counts of columns by their low bits; a power of two of counters that grows with the input up to a bound."""
+def sketch_size(text_bytes: int) -> int:
+    """Counters for so many bytes of text: a power of two that grows with the input up to a bound."""
     size = MIN_SKETCH
-    while size < MAX_SKETCH and size * PER_COUNTER < total:
+    while size < MAX_SKETCH and size * BYTES_PER_COUNTER < text_bytes:
         size *= 2
-    parts = rows.select("columns").mapInArrow(_sketch(size), "slice int, counts binary").repartition("slice").mapInArrow(_summed, "slice int, counts binary").collect()
+    return size
+
+
+def column_sketch(parts: DataFrame, size: int) -> np.ndarray:
+    """Counts of columns by their low bits, summed over the tasks' parts."""
     out = np.zeros(size, dtype=np.uint32)
-    for part in parts:
+    for part in parts.repartition("slice").mapInArrow(_summed, "slice int, counts binary").collect():
         out[part["slice"] * SLICE:(part["slice"] + 1) * SLICE] = np.frombuffer(part["counts"], "<u4")
     return out
 
@@ -135,26 +168,23 @@ def size_block(n: int, percent: int = PERCENT) -> int:
     return int(np.log(n) / -np.log(percent / 100 - 0.01))
 
 
-def _leading_panel(sketch, percent: int):
+def _leading_panel(sketch, percent: int, shingle: int, seed: int):
+    whole = _columns(shingle, seed)
+
     def run(batches):
-        counts, seen = sketch.value, set()
-        for batch in batches:
-            out = []
-            for set_id, row in zip(batch.column("set_id").to_pylist(), batch.column("columns").to_pylist()):
-                # copies within a task are one row
-                if row and set_id not in seen:
-                    seen.add(set_id)
-                    columns = np.frombuffer(row, "<u8")
-                    often = counts[(columns & np.uint64(len(counts) - 1)).astype(np.int64)]
-                    first = np.lexsort((columns, often))[: leading(len(columns), percent)]
-                    out.append((set_id, len(columns), columns[first]))
-            sizes = np.array([n for _, n, _ in out], dtype=np.int64)
-            times = [len(c) for _, _, c in out]
-            blocks = np.array([size_block(n, percent) for n in sizes.tolist()], dtype=np.int32)
-            flat = np.concatenate([c for _, _, c in out]).view(np.int64) if out else np.zeros(0, dtype=np.int64)
+        counts = sketch.value
+        for batch in whole(batches):
+            firsts, sizes = [], [len(c) // 8 for c in batch.column("columns").to_pylist()]
+            for row in batch.column("columns").to_pylist():
+                columns = np.frombuffer(row, "<u8")
+                often = counts[(columns & np.uint64(len(counts) - 1)).astype(np.int64)]
+                firsts.append(columns[np.lexsort((columns, often))[: leading(len(columns), percent)]])
+            times = [len(c) for c in firsts]
+            blocks = np.array([size_block(n, percent) for n in sizes], dtype=np.int32)
+            flat = np.concatenate([*firsts, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            spread = lambda values, kind: pa.array(np.repeat(np.asarray(values), times), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), pa.array(np.repeat(np.array([s for s, _, _ in out], dtype=np.int64), times)), pa.array(np.repeat(sizes, times)), pa.array(np.repeat(blocks, times), pa.int32())],
-                ["column", "set_id", "n", "block"])
+                [pa.array(flat), spread(batch.column("set_id").to_numpy(), pa.int64()), spread(np.array(sizes, dtype=np.int64), pa.int64()), spread(blocks, pa.int32())], ["column", "set_id", "n", "block"])
 
     return run
 
@@ -205,24 +235,65 @@ def _verified(percent: int):
     return run
 
 
-def _links(cells: DataFrame, rows: DataFrame, folder: str, percent: int) -> DataFrame:
-    """The (a, b) cells whose rows really link; only rows that take part in a cell travel, each text once."""
-    cells = stored(cells, f"{folder}/cells")
-    part = cells.select(F.col("a").alias("set_id")).unionByName(cells.select(F.col("b").alias("set_id"))).distinct()
-    whole = stored(rows.join(part, "set_id", "left_semi").groupBy("set_id").agg(F.any_value("columns").alias("columns")), f"{folder}/rows")
-    side = lambda c: whole.select(F.col("set_id").alias(c), F.col("columns").alias(f"columns_{c}"))
-    met = cells.join(side("a"), "a").join(side("b"), "b").select("a", "b", "columns_a", "columns_b")
-    return stored(met.mapInArrow(_verified(percent), "a long, b long"), f"{folder}/links")
+class Matrix:
+    """The rows of the incidence matrix: narrow in the run folder, their columns made again from the texts
+    where they are asked for (written out they would take more room than the texts)."""
+
+    def __init__(self, docs: DataFrame, folder: str, shingle: int = SHINGLE, percent: int = PERCENT):
+        small_batches(docs.sparkSession)
+        self.folder, self.shingle, self.percent = folder, shingle, percent
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+        size = sketch_size(self.texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        layout = "doc_id long, text_hash long, n_shingles long, set_id long, proof long, slice int, counts binary"
+        for self.seed in count(7, 2):
+            made = stored(self.texts.mapInArrow(_sets(shingle, self.seed, size), layout), f"{folder}/sets-{self.seed}")
+            self.rows = made.filter(F.col("slice").isNull()).drop("slice", "counts")
+            if self.rows.groupBy("set_id").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).filter("lo <> hi").isEmpty():
+                break
+        self.sketch = docs.sparkSession.sparkContext.broadcast(column_sketch(made.filter(F.col("slice").isNotNull()).select("slice", "counts"), size))
+
+    def panel(self) -> DataFrame:
+        """column, set_id, n, block of the leading panel, without columns of one row."""
+        entries = self.texts.select("text").mapInArrow(_leading_panel(self.sketch, self.percent, self.shingle, self.seed), "column long, set_id long, n long, block int")
+        return stored(entries.repartition("column").sortWithinPartitions("column", "set_id").mapInArrow(_shared, entries.schema), f"{self.folder}/panel")
+
+    def columns(self, set_ids: DataFrame, folder: str) -> DataFrame:
+        """set_id, columns of some rows; one text of each is read again."""
+        # both are written first, so that the planner knows their size before texts would be shuffled for them
+        some = stored(set_ids, f"{folder}/taking-part")
+        texts = stored(self.rows.join(some, "set_id").groupBy("set_id").agg(F.min("text_hash").alias("text_hash")).select("text_hash").distinct(), f"{folder}/texts")
+        made = self.texts.join(texts, "text_hash", "left_semi").select("text").mapInArrow(_columns(self.shingle, self.seed), "set_id long, columns binary")
+        return stored(made.groupBy("set_id").agg(F.any_value("columns").alias("columns")), f"{folder}/rows")
+
+    def links(self, cells: DataFrame, folder: str) -> DataFrame:
+        """The (a, b) cells whose rows really link; only rows that take part in a cell travel, each text once."""
+        cells = stored(cells, f"{folder}/cells")
+        whole = self.columns(cells.select(F.col("a").alias("set_id")).unionByName(cells.select(F.col("b").alias("set_id"))).distinct(), folder)
+        side = lambda c: whole.select(F.col("set_id").alias(c), F.col("columns").alias(f"columns_{c}"))
+        met = cells.join(side("b"), "b").join(side("a"), "a").select("a", "b", "columns_a", "columns_b")
+        return stored(met.mapInArrow(_verified(self.percent), "a long, b long"), f"{folder}/links")
 
 
 def _may_link(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _leader_cells(panel: DataFrame) -> DataFrame:
-    """Each row with the smallest row of its column and block."""
+def _lifted(counted: DataFrame, percent: int) -> DataFrame:
+    """Cells (a, b, n, m, found) whose leading overlap the rest of the rows can lift to the bound: they add at
+    most what lies beyond the leading columns of one of the two."""
+    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
+    beyond = lambda c: F.ceil(F.lit(percent) * F.col(c) / F.lit(100)) - 1
+    return counted.filter(F.col("found") + F.greatest(beyond("n"), beyond("m")) >= least).select("a", "b")
+
+
+def _leader_cells(panel: DataFrame, percent: int) -> DataFrame:
+    """Each row with the smallest row of its column and block, where the leading panel allows a link."""
     leaders = panel.groupBy("column", "block").agg(F.min("set_id").alias("b"))
-    return panel.join(leaders, ["column", "block"]).filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    met = panel.join(leaders, ["column", "block"]).filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    of_a = panel.select("column", F.col("set_id").alias("a"), "n")
+    of_b = panel.select("column", F.col("set_id").alias("b"), F.col("n").alias("m"))
+    found = met.join(of_a, "a").join(of_b, ["b", "column"]).filter(_may_link("n", "m", percent)).groupBy("a", "b")
+    return _lifted(found.agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.any_value("m").alias("m")), percent)
 
 
 def _group_cells(panel: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -238,39 +309,23 @@ def _group_cells(panel: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     rows = lambda c, n: still.select("column", F.col("root").alias(f"root_{c}"), F.col("block").alias(f"block_{c}"), F.col("set_id").alias(c), F.col("n").alias(n))
     cells = pairs.join(rows("a", "n"), ["column", "root_a", "block_a"]).join(rows("b", "m"), ["column", "root_b", "block_b"]).filter(_may_link("n", "m", percent))
     counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.any_value("m").alias("m"))
-    # whole rows can add at most what lies beyond the leading columns of one of the two
-    least = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100 + percent))
-    beyond = lambda c: F.ceil(F.lit(percent) * F.col(c) / F.lit(100)) - 1
-    return counted.filter(F.col("found") + F.greatest(beyond("n"), beyond("m")) >= least).select("a", "b")
-
-
-def _numbered(docs: DataFrame, folder: str, shingle: int) -> DataFrame:
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
-    for seed in count(7, 2):
-        rows = stored(texts.mapInArrow(_sets(shingle, seed), "doc_id long, text_hash long, n_shingles long, set_id long, proof long, columns binary"), f"{folder}/sets-{seed}")
-        if rows.groupBy("set_id").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).filter("lo <> hi").isEmpty():
-            return rows
+    return _lifted(counted, percent)
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, n_shingles, set_id, root (a set_id, one per group) and component_id of every row."""
     folder = run_folder(docs.sparkSession, "jaccard")
-    every = _numbered(docs, folder, shingle)
-    rows = every.filter("n_shingles > 0").select("set_id", "columns")
-    total = every.agg(F.sum("n_shingles")).first()[0] or 0
-    sketch = docs.sparkSession.sparkContext.broadcast(column_sketch(rows, total))
-    entries = rows.mapInArrow(_leading_panel(sketch, percent), "column long, set_id long, n long, block int")
-    panel = stored(entries.repartition("column").sortWithinPartitions("column", "set_id").mapInArrow(_shared, entries.schema), f"{folder}/panel")
-    led = _links(_leader_cells(panel), rows, f"{folder}/leaders", percent)
+    matrix = Matrix(docs, folder, shingle, percent)
+    panel = matrix.panel()
+    led = matrix.links(_leader_cells(panel, percent), f"{folder}/leaders")
     groups = stored(components(led, f"{folder}/led").select(F.col("node").alias("set_id"), "root"), f"{folder}/groups")
-    between = _links(_group_cells(panel, groups, percent), rows, f"{folder}/between", percent)
+    between = matrix.links(_group_cells(panel, groups, percent), f"{folder}/between")
     whole = components(led.unionByName(between), f"{folder}/all").select(F.col("node").alias("set_id"), "root")
-    least = every.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    narrow = matrix.rows.select("doc_id", "text_hash", "n_shingles", "set_id")
+    least = narrow.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     placed = stored(least.join(whole, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), f"{folder}/placed")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     resolved = placed.join(smallest, "root").select("set_id", "root", "component_id")
-    narrow = every.select("doc_id", "text_hash", "n_shingles", "set_id")
     linked = narrow.filter("n_shingles > 0").join(resolved, "set_id")
     alone = narrow.filter("n_shingles = 0").select("*", F.col("set_id").alias("root"), F.col("doc_id").alias("component_id"))
     columns = ["doc_id", "text_hash", "n_shingles", "set_id", "root", "component_id"]

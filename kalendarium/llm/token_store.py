@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from kalendarium.llm.common import per_worker, small_batches, text_of
 SEGMENT_TOKENS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 SAMPLE = 64
-#: entries of the per-worker memo of encoded words
+#: words of a generation of the per-worker memo; it keeps two, and words met again move to the younger one
 MEMO = 300_000
 
 FILE_SCHEMA = (
@@ -100,8 +101,9 @@ class EliasFano:
 
 class Encoder:
     """Whole texts to ids. A blank that follows no white space always begins a piece of a byte-level
-    vocabulary, so texts are cut there and each different word is encoded once (kept in a bounded memo);
-    texts without such cuts go through the tokenizer whole."""
+    vocabulary, so texts are cut there and each different word of a batch is encoded once (frequent ones
+    are kept in a bounded memo); words become numbers, and numbers ids, in Arrow. Other tokenizers take the
+    texts whole."""
 
     def __init__(self, path: str):
         import os
@@ -114,7 +116,9 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.blank_after_space = re.compile(r"\s ")
+        self.blank_after_word = re.compile(r"(?<=\S) ")
         # letters, then marks that never join them: a sure cut between the two
         self.word_and_marks = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$&#|]+)")
         from tokenizers.pre_tokenizers import ByteLevel
@@ -130,33 +134,46 @@ class Encoder:
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of words as they stand after a blank. Words are encoded many at a time: the ids of the
         joined text are dealt out where a token begins with the blank."""
-        simple, split = set(), []
-        for word in missing:
+        simple = {w for w in missing if w and w[-1].isalnum() and not w[0].isspace()}
+        split, whole = [], []
+        for word in missing - simple:
             cut = self.word_and_marks.fullmatch(word)
             if cut:
                 split.append((word, cut[1], cut[2]))
                 simple.add(cut[1])
+            elif not word or word[0].isspace():  # a blank before it wouldn't begin its piece among others
+                whole.append(word)
             else:
                 simple.add(word)
-        learned = {w: self.words[w] for w in simple if w in self.words}
+        learned = {}
+        for w in simple:
+            ids = self.words.get(w) or self.older.get(w)
+            if ids:
+                learned[w] = ids
         new = [w for w in simple if w not in learned]
-        for at in range(0, len(new), 512):
-            part = new[at:at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(" " + w for w in part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        parts = [new[at:at + 4096] for at in range(0, len(new), 4096)]
+        while parts:
+            part = parts.pop()
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             starts = np.flatnonzero(self.begins[ids])
             if len(starts) == len(part):
-                bounds = [*starts.tolist(), len(ids)]
-                learned.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, bounds, bounds[1:]))
+                data, bounds = ids.tobytes(), [*(starts * self.width).tolist(), len(ids) * self.width]
+                learned.update(zip(part, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+            elif len(part) > 64:  # some word has blanks of its own
+                parts += [part[: len(part) // 2], part[len(part) // 2:]]
             else:
                 learned.update(zip(part, self.whole([" " + w for w in part])))
         marks = sorted({m for _, _, m in split})
         mark_ids = dict(zip(marks, self.whole(marks)))
-        learned.update((word, learned[letters] + mark_ids[m]) for word, letters, m in split)
-        room = MEMO - len(self.words)
-        if room > 0:
-            self.words.update(list(learned.items())[:room])
+        learned.update([(word, learned[letters] + mark_ids[m]) for word, letters, m in split])
+        learned.update(zip(whole, self.whole([" " + w for w in whole])))
         return learned
 
+    def _remember(self, words: dict[str, bytes]) -> None:
+        if len(self.words) > MEMO:
+            self.older, self.words = self.words, {}
+        self.words.update(words)
+
     @property
     def begins(self) -> np.ndarray:
         """For each id, whether its token begins with a blank."""
@@ -166,21 +183,33 @@ class Encoder:
         return self._begins
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [i for i, t in enumerate(texts) if self.by_word and " " in t and not self.blank_after_space.search(t)]
-        out: list[bytes | None] = [None] * len(texts)
-        if cut:
-            parts = {i: texts[i].split(" ") for i in cut}
-            heads = self.whole([parts[i][0] for i in cut])
-            missing = {w for p in parts.values() for w in p[1:] if w not in self.words}
-            learned = self._learn(missing) if missing else {}
-            known = self.words.get
-            for i, head in zip(cut, heads):
-                out[i] = head + b"".join([known(w) or learned[w] for w in parts[i][1:]])
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for at in range(0, len(rest), 64):
-            for i, ids in zip(rest[at:at + 64], self.whole([texts[i] for i in rest[at:at + 64]])):
-                out[i] = ids
-        return out
+        if not self.by_word:
+            return [ids for at in range(0, len(texts), 64) for ids in self.whole(texts[at:at + 64])]
+        return self._joined([self.blank_after_word.split(t) if self._has_odd_blank(t) else t.split(" ") for t in texts])
+
+    def _has_odd_blank(self, text: str) -> bool:
+        if text.isascii():  # str.find is faster than the pattern
+            return any(pair in text for pair in ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))
+        return self.blank_after_space.search(text) is not None
+
+    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are given as lists of at least one word."""
+        heads = self.whole([words[0] for words in cut])
+        words = pa.array([w for words in cut for w in islice(words, 1, None)], pa.large_string()).dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, older = self.words.get, self.older.get
+        found = [known(w) or older(w) for w in different]
+        missing = {w for w, ids in zip(different, found) if ids is None}
+        learned = self._learn(missing) if missing else {}
+        self._remember(learned | {w: ids for w, ids in zip(different, found) if ids is not None and w not in self.words})
+        ids = pa.array([learned[w] if ids is None else ids for w, ids in zip(different, found)], pa.large_binary())
+        spread = ids.take(words.indices)
+        if not len(spread):
+            return heads
+        # the words' ids follow each other in one buffer, so a text is a range of it
+        places, data = np.frombuffer(spread.buffers()[1], np.int64, len(spread) + 1), memoryview(spread.buffers()[2] or b"")
+        bounds = places[np.cumsum([0] + [len(words) - 1 for words in cut])].tolist()
+        return [head + bytes(data[a:b]) for head, a, b in zip(heads, bounds, bounds[1:])]
 
 
 def _segment(shard: int, number: int, doc_ids: list, ids: list[bytes], width: int) -> dict:

@@ -81,15 +81,12 @@ def test_rows_of_a_dense_group_meet_their_leader_only(spark):
     text = " ".join(words(3, 150, 10**6))
     rows = [(i, changed(text, i, 1)) for i in range(120)]
     folder = jaccard_join.run_folder(spark, "dense")
-    every = jaccard_join._numbered(documents(spark, rows), folder, 4)
-    sketch = spark.sparkContext.broadcast(jaccard_join.column_sketch(every, 10_000))
-    panel = every.mapInArrow(jaccard_join._leading_panel(sketch, 85), "column long, set_id long, n long, block int")
-    shared = jaccard_join.stored(panel.repartition("column").sortWithinPartitions("column", "set_id").mapInArrow(jaccard_join._shared, panel.schema), f"{folder}/panel")
-    leaders = jaccard_join._leader_cells(shared)
-    assert 0 < leaders.count() <= shared.count() < 120 * 119 // 2
-    led = jaccard_join._links(leaders, every, f"{folder}/l", 85)
-    groups = jaccard_join.components(led, f"{folder}/c").selectExpr("node as set_id", "root")
-    assert jaccard_join._group_cells(shared, groups, 85).count() < 120
+    matrix = jaccard_join.Matrix(documents(spark, rows), folder)
+    panel = matrix.panel()
+    leaders = jaccard_join._leader_cells(panel, 85)
+    assert 0 < leaders.count() <= panel.count() < 120 * 119 // 2
+    groups = jaccard_join.components(matrix.links(leaders, f"{folder}/l"), f"{folder}/c").selectExpr("node as set_id", "root")
+    assert jaccard_join._group_cells(panel, groups, 85).count() < 120
 
 
 def test_columns_of_one_row_go_over_batch_ends():
