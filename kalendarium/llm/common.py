@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import importlib
+import sys
+import types
 import uuid
 from collections.abc import Callable
 
@@ -41,8 +42,8 @@ def text_of(name: str = "text") -> Column:
 
 def per_worker(name: str, make: Callable):
     """An object kept for all tasks of a Python worker. Functions of this package travel by value, so
-    their module globals live for one task only; the registry hangs on a module that is imported."""
-    registry = importlib.import_module("pyarrow").__dict__.setdefault("_kept_for_tasks", {})
+    their module globals live for one task only; the registry is a module that only lives in the worker."""
+    registry = sys.modules.setdefault("_kalendarium_worker", types.ModuleType("_kalendarium_worker")).__dict__
     if name not in registry:
         registry[name] = make()
     return registry[name]

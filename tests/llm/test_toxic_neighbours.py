@@ -100,3 +100,43 @@ def test_copies_of_examples_with_rare_words_find_them(spark):
     assert [(e["doc_id"], e["toxic"]) for e in nearest.values()] == [(bad, 1), (bad, 1), (clean, 0)]
     assert nearest[9001]["cosine"] == pytest.approx(1) and nearest[9003]["cosine"] == pytest.approx(1) and 0.9 < nearest[9002]["cosine"] < 1
     assert got[9001]["score"] > got[9003]["score"] and not got[9004]["evidence"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_is_exact_with_a_real_vocabulary(seed):
+    rng = np.random.default_rng(seed)
+    n, n_terms = 700, 6000
+    draw = lambda size: np.unique(np.minimum(rng.zipf(1.3, size), n_terms) - 1)  # noqa: E731  some terms in nearly all, most in one or two
+    vectors = []
+    for i in range(n):
+        at = draw(rng.integers(0, 400)) if i % 9 else (vectors[i - 1][0] if i else draw(50))
+        w = (1 + np.log(rng.integers(1, 6, len(at)))) * (1 + np.log1p(at))
+        vectors.append((at, w / np.sqrt((w**2).sum()) if len(at) else w))
+    index = toxic_neighbours.BlockMaxIndex(vectors, n_terms)
+    assert (index.column < 0).sum() > 5000 and len(index.maxima) > 1000  # lists and block maxima are really used
+    dense = np.zeros((n, n_terms))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for q in range(0, n, 13):
+        cosines = dense @ dense[q]
+        order = [i for i in np.lexsort((np.arange(n), -cosines.round(12))) if cosines[i] > 0 and i != q][:15]
+        got = index.nearest(*vectors[q], 15, but=q)
+        assert [round(s, 9) for s, _ in got] == [round(cosines[i], 9) for i in order]
+        assert sorted(i for _, i in got) == sorted(order) or len({round(s, 9) for s, _ in got}) < 15
+
+
+def test_blocks_below_the_bound_are_not_visited(monkeypatch):
+    rng = np.random.default_rng(3)
+    groups = [rng.choice(np.arange(g * 200, g * 200 + 200), 30, replace=False) for g in range(30) for _ in range(64)]
+    vectors = [(np.sort(at), np.full(30, 30 ** -0.5)) for at in groups]
+    index = toxic_neighbours.BlockMaxIndex(vectors, 6000, frequent=0)
+    visited = []
+    ragged = toxic_neighbours._ragged
+    monkeypatch.setattr(toxic_neighbours, "_ragged", lambda a, b: visited.append(len(a)) or ragged(a, b))
+    index.nearest(*vectors[70], 5)
+    assert sum(visited[1::2]) <= toxic_neighbours.FIRST_BLOCKS
+
+
+def test_calibration_is_monotone_and_weighed():
+    rates, empty = toxic_neighbours.calibrated({(0, 0): 900, (0, 1): 10, (10, 0): 5, (10, 1): 50, (19, 1): 30, (5, 1): 4, (6, 0): 40, (-1, 0): 9}, 0.1)
+    assert list(rates) == sorted(rates) and rates[0] < 0.02 and rates[19] > 0.9 and empty == pytest.approx(0.01)
