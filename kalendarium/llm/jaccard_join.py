@@ -14,8 +14,9 @@ transpose, computed in blocks:
 * cells left over get the overlap of the whole rows, accumulated panel by panel with the same bound.
 
 Equal sets are one row. Dense groups don't list their pairs: first each row meets one leader per (column,
-block), as many cells as the panel has entries, and the links found are joined to groups. Then only columns
-that still hold several groups are multiplied, and only between rows of different groups.
+block), as many cells as the panel has entries, and the links found are joined to groups. Columns that still
+hold several groups do so again with LEADERS leaders each. Then only columns that hold several groups even
+now are multiplied, and only between rows of different groups.
 
 Rows: null and empty texts have an empty set and link with nothing, also not with each other; a missing
 doc_id takes part, a group's component_id is the smallest doc_id it has, or null; repeated rows share a
@@ -41,6 +42,8 @@ MIN_SKETCH, MAX_SKETCH = 1 << 16, 1 << 24
 #: bytes of text per counter of the sketch
 BYTES_PER_COUNTER = 768
 SLICE = 1 << 12
+#: leaders per column and block in the second round
+LEADERS = 8
 #: columns per step when the whole rows of a cell are multiplied
 PANEL = 4096
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -286,21 +289,28 @@ def _lifted(counted: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("found") + F.greatest(beyond("n"), beyond("m")) >= least).select("a", "b")
 
 
-def _leader_cells(panel: DataFrame, percent: int) -> DataFrame:
-    """Each row with the smallest row of its column and block, where the leading panel allows a link."""
-    leaders = panel.groupBy("column", "block").agg(F.min("set_id").alias("b"))
-    met = panel.join(leaders, ["column", "block"]).filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
-    of_a = panel.select("column", F.col("set_id").alias("a"), "n")
-    of_b = panel.select("column", F.col("set_id").alias("b"), F.col("n").alias("m"))
-    found = met.join(of_a, "a").join(of_b, ["b", "column"]).filter(_may_link("n", "m", percent)).groupBy("a", "b")
-    return _lifted(found.agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.any_value("m").alias("m")), percent)
+def _leader_cells(panel: DataFrame, percent: int, leaders: int = 1) -> DataFrame:
+    """Each row with some leaders of its column and block (the smallest rows by as many hashes), where the
+    leading panel allows a link. A panel with roots gives cells between different groups only."""
+    picks = [F.min(F.struct(F.xxhash64("set_id", F.lit(i)).alias("h"), "set_id"))["set_id"] for i in range(leaders)]
+    led = panel.groupBy("column", "block").agg(F.array_distinct(F.array(*picks)).alias("b")).withColumn("b", F.explode("b"))
+    met = panel.join(led, ["column", "block"]).filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct()
+    rooted = "root" in panel.columns
+    side = lambda c, n: panel.select("column", F.col("set_id").alias(c), F.col("n").alias(n), *([F.col("root").alias(f"root_{c}")] if rooted else []))
+    found = met.join(side("a", "n"), "a").join(side("b", "m"), ["b", "column"]).filter(_may_link("n", "m", percent))
+    found = found.filter("root_a <> root_b") if rooted else found
+    return _lifted(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.any_value("m").alias("m")), percent)
 
 
-def _group_cells(panel: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Cells between rows of different groups, with enough shared leading columns; rows of a group never meet."""
+def _open_panel(panel: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of columns that still hold several groups, with their group."""
     placed = panel.join(groups, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     several = placed.groupBy("column").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("column")
-    still = placed.join(several, "column", "left_semi")
+    return placed.join(several, "column", "left_semi")
+
+
+def _group_cells(still: DataFrame, percent: int) -> DataFrame:
+    """Cells between rows of different groups, with enough shared leading columns; rows of a group never meet."""
     met = still.groupBy("column", "block", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     one = met.select("column", F.col("root").alias("root_a"), F.col("block").alias("block_a"), F.col("most").alias("most_a"), F.col("least").alias("least_a"), F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block_b"))
     two = met.select("column", F.col("root").alias("root_b"), F.col("block").alias("block_b"), F.col("most").alias("most_b"), F.col("least").alias("least_b"))
@@ -317,10 +327,14 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     folder = run_folder(docs.sparkSession, "jaccard")
     matrix = Matrix(docs, folder, shingle, percent)
     panel = matrix.panel()
-    led = matrix.links(_leader_cells(panel, percent), f"{folder}/leaders")
-    groups = stored(components(led, f"{folder}/led").select(F.col("node").alias("set_id"), "root"), f"{folder}/groups")
-    between = matrix.links(_group_cells(panel, groups, percent), f"{folder}/between")
-    whole = components(led.unionByName(between), f"{folder}/all").select(F.col("node").alias("set_id"), "root")
+    links = matrix.links(_leader_cells(panel, percent), f"{folder}/leaders")
+    for turn in range(2):
+        groups = stored(components(links, f"{folder}/led-{turn}").select(F.col("node").alias("set_id"), "root"), f"{folder}/groups-{turn}")
+        panel = stored(_open_panel(panel, groups), f"{folder}/open-{turn}")
+        cells = _group_cells(panel, percent) if turn else _leader_cells(panel, percent, LEADERS)
+        panel = panel.drop("root")
+        links = links.unionByName(matrix.links(cells, f"{folder}/between-{turn}"))
+    whole = components(links, f"{folder}/all").select(F.col("node").alias("set_id"), "root")
     narrow = matrix.rows.select("doc_id", "text_hash", "n_shingles", "set_id")
     least = narrow.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     placed = stored(least.join(whole, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), f"{folder}/placed")

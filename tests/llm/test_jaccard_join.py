@@ -86,7 +86,7 @@ def test_rows_of_a_dense_group_meet_their_leader_only(spark):
     leaders = jaccard_join._leader_cells(panel, 85)
     assert 0 < leaders.count() <= panel.count() < 120 * 119 // 2
     groups = jaccard_join.components(matrix.links(leaders, f"{folder}/l"), f"{folder}/c").selectExpr("node as set_id", "root")
-    assert jaccard_join._group_cells(panel, groups, 85).count() < 120
+    assert jaccard_join._group_cells(jaccard_join._open_panel(panel, groups), 85).count() < 120
 
 
 def test_columns_of_one_row_go_over_batch_ends():
