@@ -70,7 +70,10 @@ def relevant(floor: str, a: str = "") -> str:
 
 _SEG = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'bildung' WHEN 'BUILDING' THEN 'kunst' WHEN 'AUTOMOBILE' THEN 'markt' WHEN 'FURNITURE' THEN 'familie' ELSE 'sonstiges' END"
 
-OCC = f"""occ AS (
+#: ids of second listings begin here
+SECOND = 1_000_000_000_000
+
+OCC = f"""first_listing AS (
   SELECT o_orderkey AS id,
     coalesce(p_name, 'Ohne Titel') || CASE (o_orderkey // 20) % 3 WHEN 1 THEN ' - Eintritt frei' WHEN 2 THEN ' (Open Air)' ELSE '' END AS title,
     CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate ELSE o_orderdate + to_hours(8 + o_orderkey % 12) END AS starts_at,
@@ -95,7 +98,13 @@ OCC = f"""occ AS (
     CASE WHEN o_orderpriority = '1-URGENT' THEN [{_SEG}, 'musik'] ELSE [{_SEG}] END AS category_slugs
   FROM orders JOIN customer ON c_custkey = o_custkey
     LEFT JOIN (SELECT l_orderkey, min({{'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}}) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
-    LEFT JOIN part ON p_partkey = l.p LEFT JOIN supplier ON s_suppkey = l.s JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey))"""
+    LEFT JOIN part ON p_partkey = l.p LEFT JOIN supplier ON s_suppkey = l.s JOIN nation ON n_nationkey = coalesce(s_nationkey, c_nationkey)),
+occ AS (
+  SELECT * FROM first_listing UNION ALL
+  SELECT * REPLACE (id + {SECOND} AS id, (source_id + 5) % 25 AS source_id, 'https://zweit.example/e/' || id AS source_url,
+    CASE WHEN id % 3 = 0 THEN image_url ELSE 'https://zweit.example/' || id || '.jpg' END AS image_url, CASE WHEN id % 4 <> 1 THEN description END AS description,
+    CASE WHEN id % 7 <> 2 THEN price END AS price, 'zweit-' || id AS external_id, CASE status WHEN 'duplicate' THEN 'published' ELSE status END AS status)
+  FROM first_listing WHERE id % 5 = 3)"""
 
 EV = f"""ev AS (
   SELECT id, title, {slug('starts_at', 'title')} AS slug, description, summary, starts_at, ends_at, all_day, venue_id, location_text,
@@ -162,8 +171,8 @@ VISITS = """vis AS (
     CASE WHEN event_id % 11 = 0 THEN 'SomeBot/1.0' WHEN event_id % 13 = 0 THEN '' ELSE 'Mozilla ' || (user_id % 7) END AS user_agent
   FROM events)"""
 
-INC = """inc0 AS (
-  SELECT source_id, id AS position, CASE WHEN id % 97 = 0 THEN '' WHEN id % 3 = 2 THEN 'Neu ' || title ELSE title END AS title, starts_at, ends_at, all_day,
+INC = f"""inc0 AS (
+  SELECT source_id, id AS position, CASE WHEN id % 97 = 0 THEN '' WHEN id % 3 = 2 AND id < {SECOND} THEN 'Neu ' || title ELSE title END AS title, starts_at, ends_at, all_day,
     CASE WHEN id % 3 = 1 THEN coalesce(description, '') || ' neu' ELSE description END AS description, venue_name,
     CASE WHEN id % 9 = 0 THEN lower(city) WHEN id % 9 = 1 THEN 'Ort ' || region_id ELSE city END AS city, location_text, category_slugs, source_url, image_url,
     price, organizer, CASE WHEN id % 3 = 2 AND id % 10 = 0 THEN NULL WHEN id % 3 = 2 THEN 'neu-' || id ELSE external_id END AS external_id, is_course, booking_status
@@ -181,11 +190,11 @@ def canonical_city(raw: str, region: str) -> str:
     return f"coalesce({alias}, {prefix}, {raw})"
 
 
-INCN = f"""incn AS (
+INCN = f"""incn AS MATERIALIZED (
   SELECT *, {dedup_key('title', 'starts_at', 'all_day', 'coalesce(city, venue_name, location_text, ' + chr(39) * 2 + ')')} AS dedup_key, {content_hash()} AS content_hash
   FROM (SELECT inc.* REPLACE ({canonical_city('inc.city', 's.region_id')} AS city), s.region_id FROM inc JOIN src s ON s.id = inc.source_id WHERE title <> ''))"""
 
-STEPS = """steps AS (
+STEPS = """steps AS MATERIALIZED (
   SELECT *, lag(content_hash) OVER w AS before_hash, lag(description) OVER w AS before_text FROM (
     SELECT *, CASE WHEN matched_id IS NULL THEN run_key ELSE 'ev:' || matched_id END AS entity FROM (
       SELECT n.*, CASE WHEN coalesce(n.external_id, '') <> '' THEN 'id:' || n.external_id ELSE 'key:' || n.dedup_key END AS run_key,
@@ -201,7 +210,7 @@ ACTED = """acted AS (
       AND s.description IS DISTINCT FROM CASE WHEN before_hash IS NULL THEN e.description ELSE before_text END AS new_text
   FROM steps s LEFT JOIN ev e ON e.id = matched_id)"""
 
-HEADS = """heads AS (
+HEADS = """heads AS MATERIALIZED (
   SELECT * FROM (SELECT *, max(CASE WHEN action = 'updated' THEN 1 ELSE 0 END) OVER p = 1 AS changed, max(CASE WHEN new_text THEN 1 ELSE 0 END) OVER p = 1 AS cleared,
     row_number() OVER (PARTITION BY source_id, entity ORDER BY CASE WHEN matched_id IS NULL THEN position ELSE -position END) AS rn FROM acted
     WINDOW p AS (PARTITION BY source_id, entity)) WHERE rn = 1)"""

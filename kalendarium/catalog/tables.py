@@ -18,6 +18,9 @@ from kalendarium.session import cut_lineage
 NOW = "1998-06-03 12:00:00"
 RUNS_NOW = "2024-01-30 12:00:00"
 
+#: ids of second listings begin here
+SECOND = 1_000_000_000_000
+
 SEGMENT_SLUG = {"MACHINERY": "bildung", "BUILDING": "kunst", "AUTOMOBILE": "markt", "FURNITURE": "familie", "HOUSEHOLD": "sonstiges"}
 
 
@@ -39,7 +42,19 @@ class Tables:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        """Orders as event occurrences with the place and category still inline (the import shape)."""
+        """Orders as event occurrences with the place and category still inline (the import shape). A fifth of
+        them is listed a second time by another source: same title, day and town, other id, address and picture."""
+        o, i = self._first_listing, F.col("id")
+        second = o.filter(every(5, 3)).withColumns({
+            "id": i + F.lit(SECOND), "source_id": (F.col("source_id") + 5) % 25, "source_url": F.concat(F.lit("https://zweit.example/e/"), i.cast("string")),
+            "image_url": F.when(every(3), F.col("image_url")).otherwise(F.concat(F.lit("https://zweit.example/"), i.cast("string"), F.lit(".jpg"))),
+            "description": F.when(~every(4, 1), F.col("description")), "price": F.when(~every(7, 2), F.col("price")),
+            "external_id": F.concat(F.lit("zweit-"), i.cast("string")), "status": F.when(F.col("status") == "duplicate", "published").otherwise(F.col("status")),
+        })
+        return o.unionByName(second)
+
+    @cached_property
+    def _first_listing(self) -> DataFrame:
         orders = self.scan("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
         customer = self.scan("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey", "c_mktsegment")
         part = self.scan("part").select("p_partkey", "p_name", "p_type", "p_brand")
@@ -229,12 +244,13 @@ class Tables:
 
     @cached_property
     def incoming(self) -> DataFrame:
-        """A second snapshot: a third as stored, a third edited, a third new, some ids listed twice."""
+        """A second snapshot: a third as stored, a third edited, a third new (new second listings keep the title of
+        the first), some ids listed twice."""
         o = self.occurrences
         i = F.col("id")
         new = every(3, 2)
         rows = o.select(
-            "source_id", i.alias("position"), F.when(every(97), "").when(new, F.concat(F.lit("Neu "), "title")).otherwise(F.col("title")).alias("title"),
+            "source_id", i.alias("position"), F.when(every(97), "").when(new & (i < SECOND), F.concat(F.lit("Neu "), "title")).otherwise(F.col("title")).alias("title"),
             "starts_at", "ends_at", "all_day",
             F.when(every(3, 1), F.concat(F.coalesce("description", F.lit("")), F.lit(" neu"))).otherwise(F.col("description")).alias("description"),
             "venue_name", F.when(every(9), F.lower("city")).when(every(9, 1), F.concat(F.lit("Ort "), F.col("region_id").cast("string"))).otherwise(F.col("city")).alias("city"),

@@ -40,6 +40,26 @@ def test_matches_sql(spark, duck, name):
     assert ours == theirs
 
 
+#: what a query is about must happen in the given tables; a condition over the rows of its twin
+DECISIVE = {
+    "rank_group": "count(*) > 0",
+    "rededup": "count_if(flip = 'demoted') > 0 and count_if(flip = 'promoted') > 0",
+    "cross_source_match": "count(matched_id) > 0 and count_if(matched_id is null) > 0",
+    "upsert_actions": "count(distinct action) = 4",
+    "upsert_events": "count_if(status = 'duplicate' and duplicate_of is not null and first_seen_at = last_seen_at) > 0",
+    "rescue": "count(distinct action) >= 2",
+}
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("name", DECISIVE)
+def test_decisive_branches_are_reached(folder, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    assert con.execute(f"select {DECISIVE[name]} from ({ORACLES[name]})").fetchone()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
