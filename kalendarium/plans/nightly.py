@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from kalendarium import scale
 from kalendarium.operators import enrich, health, listing, resolve, review
 from kalendarium.session import cut_lineage
 from kalendarium.sources.state import State, current
@@ -32,8 +32,8 @@ def _visible(state: State, now: str) -> DataFrame:
 
 
 def _logged(old: DataFrame, new: DataFrame, number: int, order: str) -> DataFrame:
-    """New log rows under the step's own id range."""
-    numbered = new.withColumn("id", F.lit(number * 1_000_000_000) + F.row_number().over(W.orderBy(order)))
+    """New log rows under the step's own id range, numbered in buckets of their keys."""
+    numbered = scale.number_keys(new, F.col(order).cast("string"), "_number").withColumn("id", F.lit(number * 1_000_000_000) + F.col("_number"))
     return old.unionByName(numbered.select(*old.columns))
 
 
