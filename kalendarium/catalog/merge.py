@@ -142,5 +142,5 @@ ORACLE = {
     "manual_rows": with_tables("occ", f"""SELECT position, title, s AS starts_at, CASE WHEN e > s THEN e END AS ends_at, id % 4 = 0 AS all_day, venue_name,
       'manual:' || strftime(s, '%Y-%m-%d') || '-' || left(regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), 40) AS external_id FROM (
       SELECT id, id AS position, title, venue_name, CASE WHEN id % 4 = 0 THEN date_trunc('day', starts_at) ELSE starts_at END AS s,
-        CASE WHEN id % 6 = 1 THEN date_trunc('day', ends_at) + INTERVAL 1410 MINUTE WHEN id % 3 = 1 THEN date_trunc('day', ends_at) END AS e FROM occ WHERE NOT (id % 2 = 1 AND id % 7 = 1) AND (id % 4 = 0 OR id % 9 <> 1))"""),
+        CASE WHEN id % 6 = 1 THEN date_trunc('day', coalesce(ends_at, starts_at)) + INTERVAL 1410 MINUTE WHEN id % 3 = 1 THEN date_trunc('day', ends_at) END AS e FROM occ WHERE NOT (id % 2 = 1 AND id % 7 = 1) AND (id % 4 = 0 OR id % 9 <> 1))"""),
 }
