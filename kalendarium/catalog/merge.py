@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from kalendarium.catalog.listing import _q
@@ -10,7 +12,8 @@ from kalendarium.catalog.tables import NOW, Tables, every
 from kalendarium.functions.times import ts
 from kalendarium.operators import merge as M
 from kalendarium.operators import places as P
-from kalendarium.session import cut_lineage
+from kalendarium.session import checkpoint_dir, cut_lineage
+from kalendarium.sources import regional
 
 
 def merged(t: Tables) -> M.Merged:
@@ -21,6 +24,28 @@ def _prepared(t: Tables):
     return M.prepare_incoming(t.incoming.filter("title <> ''"), t.sources, t.regions)
 
 
+def _regional(t: Tables) -> regional.Regional:
+    """The stored events laid out by region in a folder of their own."""
+    store = regional.Regional(t.spark, f"{checkpoint_dir(t.spark)}/regional-{uuid.uuid4().hex}", buckets=8)
+    store.start(t.stored_events, t.event_categories, t.venues)
+    return store
+
+
+def _regional_merged(t: Tables) -> regional.Regional:
+    store = _regional(t)
+    store.merge("first", t.incoming, t.sources, t.regions, t.categories, t.category_decisions, NOW)
+    return store
+
+
+def _regional_merge(t: Tables):
+    return _regional_merged(t).events().select(*_EV)
+
+
+def _regional_keys(t: Tables):
+    """The own keys as the merge left them."""
+    return _regional_merged(t).keys().own.select("source_id", "run_key", "id", "content_hash")
+
+
 def _long_ids(t: Tables):
     """Overlong, partly shared ids per source."""
     tail = F.when(F.col("id") % 3 == 0, (F.col("id") % 5).cast("string")).otherwise(F.col("id").cast("string"))
@@ -65,8 +90,11 @@ _EV = ["id", "title", "slug", "description", "summary", "starts_at", "ends_at",
 QUERIES = {
     "dedupe_batch": _q(lambda t: M.dedupe_batch(_prepared(t)).select("source_id", "run_key", "position", "title")),
     "disambiguate_ids": _q(lambda t: M.disambiguate_ids(_long_ids(t))),
-    "match_existing": _q(lambda t: M.match_existing(_prepared(t), t.stored_events).select("source_id", "run_key", "matched_id")),
-    "change_actions": _q(lambda t: M.resolve_actions(cut_lineage(_prepared(t)), t.stored_events).select("source_id", "position", "matched_id", "action")),
+    "match_existing": _q(lambda t: M.match_existing(_prepared(t), M.key_rows(t.stored_events)).select("source_id", "run_key", "matched_id")),
+    "change_actions": _q(lambda t: M.resolve_actions(cut_lineage(_prepared(t)), M.key_rows(t.stored_events)).select("source_id", "position", "matched_id", "action")),
+    "match_bucketed": _q(lambda t: _regional(t).match(_prepared(t)).select("source_id", "run_key", "matched_id")),
+    "regional_merge": _q(_regional_merge),
+    "regional_keys": _q(_regional_keys),
     "upsert_actions": _q(lambda t: merged(t).actions),
     "upsert_events": _q(lambda t: merged(t).events.select(*_EV)),
     "upsert_venues": _q(lambda t: merged(t).venues.select("id", "region_id", "name", "city", "dedup_key")),
@@ -108,13 +136,18 @@ ORACLE = {
       FROM (SELECT *, left(url, 191) AS short, count(*) OVER (PARTITION BY source_id, left(url, 191)) AS n FROM (SELECT source_id, id AS position, starts_at,
       'https://x.example/' || CASE WHEN id % 4 = 0 THEN repeat('a', 200) ELSE '' END || CASE WHEN id % 3 = 0 THEN id % 5 ELSE id END AS url FROM occ))"""),
     "match_existing": with_tables("steps", "SELECT DISTINCT source_id, run_key, matched_id FROM steps"),
+    "match_bucketed": with_tables("steps", "SELECT DISTINCT source_id, run_key, matched_id FROM steps"),
     "change_actions": with_tables("acted", "SELECT source_id, position, matched_id, action FROM acted"),
     "upsert_actions": with_tables("acted created", """SELECT source_id, position, action FROM acted WHERE action <> 'created'
       UNION ALL SELECT source_id, position, CASE WHEN canonical_id IS NULL THEN 'created' ELSE 'duplicate' END FROM created"""),
-    "upsert_events": with_tables("heads created", f"""SELECT {_UPD} FROM ev e LEFT JOIN (SELECT *, {_SLUG} FROM heads WHERE matched_id IS NOT NULL AND changed) h ON h.matched_id = e.id
+    "upsert_events": with_tables("heads created", _MERGED_EVENTS := f"""SELECT {_UPD} FROM ev e LEFT JOIN (SELECT *, {_SLUG} FROM heads WHERE matched_id IS NOT NULL AND changed) h ON h.matched_id = e.id
       LEFT JOIN (SELECT * FROM heads WHERE matched_id IS NOT NULL AND NOT changed) u ON u.matched_id = e.id
       UNION ALL SELECT id, title, {_SLUG}, description, NULL, starts_at, ends_at, all_day, location_text, region_id, source_id, external_id, content_hash, dedup_key,
         CASE WHEN canonical_id IS NULL THEN 'published' ELSE 'duplicate' END, NULL, {T_NOW}, {T_NOW}, canonical_id, organizer, image_url FROM created"""),
+    "regional_merge": with_tables("heads created", _MERGED_EVENTS),
+    "regional_keys": with_tables("heads created", f"""SELECT source_id, run_key, min(id) AS id, min_by(content_hash, id) AS content_hash FROM (
+      SELECT *, unnest(CASE WHEN coalesce(external_id, '') <> '' THEN ['id:' || external_id, 'key:' || dedup_key] ELSE ['key:' || dedup_key] END) AS run_key
+      FROM ({_MERGED_EVENTS})) GROUP BY region_id, source_id, run_key"""),
     "upsert_venues": with_tables("ven2", "SELECT id, region_id, name, city, dedup_key FROM ven2"),
     "upsert_event_venue": with_tables("ven2 created", f"""SELECT id, venue_id FROM (
       SELECT e.id, CASE WHEN h.position IS NULL THEN e.venue_id ELSE v.id END AS venue_id FROM ev e LEFT JOIN (SELECT h.*, {strip('venue_name')} || '|' || {strip('coalesce(city, default_city)')} AS vk

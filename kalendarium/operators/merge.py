@@ -19,6 +19,22 @@ from kalendarium.operators.places import normalize_city
 from kalendarium.session import cut_lineage
 
 
+@dataclass(frozen=True)
+class StoredKeys:
+    """What a merge asks of the stored events before it touches them. ``own``: source_id, run_key, id,
+    content_hash, text (digest of the description); ``shared``: region_id, dedup_key, source_id, id,
+    status; ``ids``: ids whose largest is the largest stored one. Either columns of the events
+    themselves or the key tables kept beside them (``sources.regional``)."""
+
+    own: DataFrame
+    shared: DataFrame
+    ids: DataFrame
+
+    @staticmethod
+    def of(events: DataFrame) -> StoredKeys:
+        return StoredKeys(key_rows(events), events.select("region_id", "dedup_key", "source_id", "id", "status"), events.select("id"))
+
+
 @dataclass(frozen=True)
 class Merged:
     events: DataFrame
@@ -70,28 +86,42 @@ def disambiguate_ids(incoming: DataFrame, external_id: str = "external_id") -> D
     return counted.withColumn(external_id, fixed).select(*incoming.columns)
 
 
-def match_existing(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Stored event per (source, run key): by external id when the row has one, else by the
-    cross-source key. Returns one row per key with its size and the stored hash and description."""
+def text_digest(description: str = "description") -> Column:
+    return F.sha2(F.col(description), 256)
+
+
+def key_rows(events: DataFrame) -> DataFrame:
+    """The run keys stored events answer to: by external id where they have one, and by cross-source key."""
     has_id = F.coalesce("external_id", F.lit("")) != ""
-    stored = events.select("source_id", "external_id", "dedup_key", F.struct("id", "content_hash", "description").alias("_stored"))
-    by_id = stored.filter(has_id).select("source_id", F.concat(F.lit("id:"), "external_id").alias("run_key"), "_stored")
-    by_key = stored.select("source_id", F.concat(F.lit("key:"), "dedup_key").alias("run_key"), "_stored")
-    asked = rows.groupBy("source_id", "run_key").agg(F.count(F.lit(1)).alias("_n"))
-    # only stored rows the batch asks for go on; a small batch is broadcast and the table not shuffled
-    wanted = by_id.unionByName(by_key).join(asked.select("source_id", "run_key"), ["source_id", "run_key"], "left_semi")
-    known = wanted.groupBy("source_id", "run_key").agg(F.min_by("_stored", F.col("_stored.id")).alias("_stored"))
-    state = F.when(F.col("_stored").isNotNull(), F.struct("_stored.content_hash", "_stored.description"))
-    return asked.join(known, ["source_id", "run_key"], "left").withColumn("matched_id", F.col("_stored.id")).withColumn("_stored", state)
+    stored = events.select("region_id", "source_id", "external_id", "dedup_key", "id", "content_hash", text_digest().alias("text"))
+    by_id = stored.filter(has_id).withColumn("run_key", F.concat(F.lit("id:"), "external_id"))
+    by_key = stored.withColumn("run_key", F.concat(F.lit("key:"), "dedup_key"))
+    return by_id.unionByName(by_key).drop("external_id", "dedup_key")
 
 
-def resolve_actions(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows with ``matched_id``, ``entity`` and the step action: rows of one entity apply in arrival
-    order, each compared with the state the one before it left."""
-    matched = scale.join_back(rows, match_existing(rows, events), ["source_id", "run_key"], "position")
+def match_existing(rows: DataFrame, own: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Stored event per (source, run key): by external id when the row has one, else by the
+    cross-source key. Returns one row per key with its size and the stored hash and description digest.
+    ``own`` are ``key_rows``; ``buckets`` deals the batch like a key table of so many buckets, whose
+    rows then stay where they are."""
+    keyed = rows if buckets is None else rows.repartition(buckets, "source_id", "run_key")
+    asked = keyed.groupBy("source_id", "run_key").agg(F.count(F.lit(1)).alias("_n"))
+    # only stored rows the batch asks for go on; a small batch is broadcast and the table not shuffled
+    wanted = own.join(asked.select("source_id", "run_key"), ["source_id", "run_key"], "left_semi")
+    stored = F.struct("id", "content_hash", "text", "region_id")
+    known = wanted.groupBy("source_id", "run_key").agg(F.min_by(stored, "id").alias("_stored"))
+    state = F.when(F.col("_stored").isNotNull(), F.struct("_stored.content_hash", "_stored.text"))
+    found = asked.join(known, ["source_id", "run_key"], "left")
+    return found.withColumns({"matched_id": F.col("_stored.id"), "stored_region": F.col("_stored.region_id"), "_stored": state})
+
+
+def resolve_actions(rows: DataFrame, own: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows with ``matched_id``, ``stored_region``, ``entity`` and the step action: rows of one entity
+    apply in arrival order, each compared with the state the one before it left."""
+    matched = scale.join_back(rows, match_existing(rows, own, buckets), ["source_id", "run_key"], "position")
     entity = F.when(F.col("matched_id").isNotNull(), F.concat(F.lit("ev:"), F.col("matched_id").cast("string"))).otherwise(F.col("run_key"))
     stepped = scale.previous_value(
-        matched.withColumn("entity", entity), ["source_id", "entity"], "position", F.struct("content_hash", "description"), "_before"
+        matched.withColumns({"entity": entity, "text": text_digest()}), ["source_id", "entity"], "position", F.struct("content_hash", "text"), "_before"
     )
     state = F.coalesce("_before", "_stored")
     known = F.col("matched_id").isNotNull()
@@ -99,13 +129,13 @@ def resolve_actions(rows: DataFrame, events: DataFrame) -> DataFrame:
         F.when(known & (F.col("content_hash") == state["content_hash"]), "unchanged").when(known, "updated")
         .when(F.col("_before").isNull(), "created").otherwise("unchanged")
     )
-    new_text = known & (F.col("content_hash") != state["content_hash"]) & ~F.col("description").eqNullSafe(state["description"])
-    return stepped.withColumn("action", action).withColumn("_new_text", new_text).drop("_before", "_stored", "_n")
+    new_text = known & (F.col("content_hash") != state["content_hash"]) & ~F.col("text").eqNullSafe(state["text"])
+    return stepped.withColumn("action", action).withColumn("_new_text", new_text).drop("_before", "_stored", "_n", "text")
 
 
 def resolve_heads(stepped: DataFrame) -> DataFrame:
     """One row per entity: the first for a new event, the last for a stored one, and what changed."""
-    cols = [c for c in stepped.columns if c not in ("source_id", "entity", "action", "_new_text", "matched_id")]
+    cols = [c for c in stepped.columns if c not in ("source_id", "entity", "action", "_new_text", "matched_id", "stored_region")]
     row = F.struct(*cols)
     heads = stepped.groupBy("source_id", "entity").agg(
         F.max("matched_id").alias("matched_id"), F.min_by(row, "position").alias("_first"), F.max_by(row, "position").alias("_last"),
@@ -170,14 +200,24 @@ def upsert(
 ) -> Merged:
     """Merge one batch. ``stage`` materializes (by default: checkpoints) the keyed rows, the judged
     rows and the reduced batch, since each is read several times below."""
+    known = StoredKeys.of(events)
     prepared = stage(prepare_incoming(incoming.filter(F.coalesce("title", F.lit("")) != ""), sources, regions))
-    stepped = stage(resolve_actions(prepared, events))
+    stepped = stage(resolve_actions(prepared, known.own))
+    return merge_stepped(events, event_categories, stepped, known, sources, regions, venues, categories, category_decisions, now, stage)
+
+
+def merge_stepped(
+    events: DataFrame, event_categories: DataFrame, stepped: DataFrame, known: StoredKeys, sources: DataFrame, regions: DataFrame, venues: DataFrame,
+    categories: DataFrame, category_decisions: DataFrame, now: str, stage: Callable[[DataFrame], DataFrame] = cut_lineage,
+) -> Merged:
+    """The judged rows applied. ``events`` and ``event_categories`` need only hold the regions of the
+    matched events and of the batch: rows outside them neither change nor answer."""
     heads = resolve_heads(stepped)
     touched, all_venues = resolve_venues(heads.filter(F.col("matched_id").isNull() | F.col("changed")), venues, regions)
     touched = stage(touched)
 
-    created = cross_source_match(touched.filter(F.col("matched_id").isNull()).drop("matched_id"), events, sources)
-    created = _with_new_ids(created.withColumnRenamed("matched_id", "duplicate_of"), events)
+    created = cross_source_match(touched.filter(F.col("matched_id").isNull()).drop("matched_id"), known.shared, sources)
+    created = _with_new_ids(created.withColumnRenamed("matched_id", "duplicate_of"), known.ids)
     refreshed = heads.filter(F.col("matched_id").isNotNull() & ~F.col("changed")).select("matched_id", "dedup_key")
 
     merged = _apply(events, touched.filter(F.col("matched_id").isNotNull()), refreshed, now)
@@ -188,8 +228,8 @@ def upsert(
     return Merged(merged.unionByName(inserted), bridge, all_venues, kept.unionByName(firsts))
 
 
-def _with_new_ids(created: DataFrame, events: DataFrame) -> DataFrame:
-    top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+def _with_new_ids(created: DataFrame, ids: DataFrame) -> DataFrame:
+    top = ids.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     numbered = scale.number_keys(created, F.concat_ws("|", F.col("source_id").cast("string"), "run_key"), "_nr")
     return numbered.withColumn("id", top.scalar() + F.col("_nr")).drop("_nr")
 

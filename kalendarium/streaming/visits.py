@@ -1,5 +1,6 @@
-"""Streaming visit counters. Counts follow event time: visits later than the watermark are dropped
-(the batch counters in ``operators.visits`` have no such bound).
+"""Streaming visit counters. Counts follow event time: visits later than the watermark no longer reach
+the state. ``views_with_late`` keeps them in a side table, so that counts plus late visits are all visits;
+the plain counters drop them (the batch counters in ``operators.visits`` have no such bound).
 
 Results are written per micro-batch as an update log (key, value, batch); the current state of a
 key is its newest entry, so a replayed batch after a lost executor changes nothing.
@@ -7,7 +8,7 @@ key is its newest entry, so a replayed batch after a lost executor changes nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,6 +45,51 @@ def _counted(rows: DataFrame, *keys: str) -> DataFrame:
     return hourly.select(F.col("window.start").alias("hour"), "day", *keys, "views")
 
 
+def views_with_late(prepared: DataFrame, *keys: str) -> DataFrame:
+    """Hourly counts (``visit`` false) together with the visits they were counted from (``visit`` true),
+    for ``late_log``: both arrive in the same micro-batch."""
+    counts = _counted(prepared, *keys).withColumn("visit", F.lit(False))
+    seen = event_time(prepared).select(F.window("at", "1 hour")["start"].alias("hour"), "day", *keys, F.lit(1).cast("long").alias("views"), F.lit(True).alias("visit"))
+    return counts.unionByName(seen)
+
+
+def late_log(stream: DataFrame, folder: str, *keys: str) -> StreamingQuery:
+    """Run ``views_with_late`` over what is available. In update mode each (hour, key) whose visits the
+    state took comes out of the batch that took them; visits of a batch without such a row were late. They
+    go to ``late``, the counts to ``log``. A replayed batch overwrites its own folders."""
+    group = ["hour", "day", *keys]
+
+    def write(batch: DataFrame, number: int) -> None:
+        # the batch is computed once: it holds the state's output
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/batches/batch={number}")
+        counts = rows.filter(~F.col("visit")).drop("visit")
+        counts.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+        visits = rows.filter("visit").groupBy(*group).agg(F.sum("views").alias("views"))
+        taken = [visits[c].eqNullSafe(counts[c]) for c in group]
+        visits.join(counts, taken, "left_anti").write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def late_views(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """The side table: late views per (day, key)."""
+    late = spark.read.option("basePath", f"{folder}/late").parquet(f"{folder}/late")
+    return late.groupBy("day", *keys).agg(F.sum("views").alias("views"))
+
+
+def all_views(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """Counted and late views per (day, key)."""
+    log = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log")
+    both = current(log, list(keys)).unionByName(late_views(spark, folder, *keys))
+    return both.groupBy("day", *keys).agg(F.sum("views").alias("views"))
+
+
+def stored_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The hours the counter's state still holds, read from the state store itself."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*")
+
+
 def update_log(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Append each micro-batch's changed rows with its number; a replay overwrites its own folder."""
     def write(batch: DataFrame, number: int) -> None:

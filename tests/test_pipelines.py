@@ -1,7 +1,9 @@
 """Merge, resolution, review, places and streaming behaviour: literals, idempotence, invariants, brute force."""
 
+import datetime
 import hashlib
 import itertools
+import pathlib
 import random
 
 import pytest
@@ -9,12 +11,14 @@ from pyspark.sql import functions as F
 
 from kalendarium import model
 from kalendarium.catalog import extract as catalog_extract
+from kalendarium.catalog import health as catalog_health
 from kalendarium.catalog.resolve import _chain_proposals, _sets
 from kalendarium.catalog.tables import NOW, Tables
 from kalendarium.functions.similarity import covered
 from kalendarium.operators import enrich, listing, merge, places, resolve, review
 from kalendarium.plans import nightly
 from kalendarium.plans.listing_page import listing_page
+from kalendarium.sources import regional
 from kalendarium.sources.state import current
 from kalendarium.sources.tables import read_table, write_snapshot
 from kalendarium.streaming import imports, visits
@@ -207,12 +211,27 @@ def test_prompt_budget(t):
     assert batches.count() == 4
 
 
-def test_stream_state_is_evicted(t, tmp_path):
+def test_late_visits_are_kept_and_the_state_is_evicted(t, tmp_path):
+    folder = str(tmp_path / "late")
+    catalog_extract._late_arrivals(t, folder)
+    keys = ("region_id", "route")
+    late = visits.late_views(t.spark, folder, *keys).agg(F.sum("views")).first()[0]
+    whole = catalog_health.prepared_visits(t).groupBy("day", *keys).agg(F.count(F.lit(1)).alias("views"))
+    assert late > 0
+    assert sorted(map(str, visits.all_views(t.spark, folder, *keys).select("day", *keys, "views").collect())) == sorted(map(str, whole.select("day", *keys, "views").collect()))
+    # the state store itself holds no hour older than the watermark of a day, of many seen
+    held = visits.stored_windows(t.spark, f"{folder}/checkpoint").agg(F.min("window.end").alias("low"), F.count(F.lit(1)).alias("n")).first()
+    newest = catalog_health.prepared_visits(t).agg(F.max(F.col("ts").cast("timestamp_ltz"))).first()[0]
+    assert 0 < held["n"] < whole.count() and held["low"] > newest - datetime.timedelta(days=1)
+
+
+def test_visitor_tokens_leave_the_state(t, tmp_path):
     stream = catalog_extract._visit_stream(t)
-    query = visits.update_log(visits.stream_visitors(stream), str(tmp_path / "log"), str(tmp_path / "cp"), "append")
-    query.awaitTermination()
-    state = query.recentProgress[-1]["stateOperators"][0]
-    assert state["numRowsRemoved"] > 0 or state["numRowsTotal"] < 600
+    for _ in range(2):  # the second start runs the batch without rows that evicts, if the first has not
+        query = visits.update_log(visits.stream_visitors(stream), str(tmp_path / "log"), str(tmp_path / "cp"), "append")
+        query.awaitTermination()
+    seen = t.spark.read.parquet(str(tmp_path / "log")).count()
+    assert 0 < t.spark.read.format("statestore").load(str(tmp_path / "cp")).count() < seen / 2
 
 
 ICS = "BEGIN:VEVENT\nSUMMARY:{0}\nUID:{0}\nDTSTART:20260720T200000\nEND:VEVENT\n"
@@ -328,3 +347,86 @@ def test_stored_events_skip_row_groups_of_the_past(t, tmp_path):
     pruned = read_table(t.spark, str(tmp_path), "events", 1, relevant_from=late)
     assert rows(pruned.filter(listing.still_relevant(late)), "id") == rows(every.filter(listing.still_relevant(late)), "id")
     assert _scanned(read_table(t.spark, str(tmp_path), "events", 1, relevant_from="2030-01-01").select("id")) == 0
+
+
+def _two_regions(spark, tmp_path, name, count=40):
+    """A store of two regions, sources 1 and 2, with its plain tables."""
+    src = sources(spark, [{"id": 1, "region_id": 1}, {"id": 2, "region_id": 2, "key": "zwei"}])
+    both = table(spark, model.REGIONS, [{"id": r, "key": f"r{r}", "default_city": "Ort", "enabled": True, "cities": [], "host_aliases": []} for r in (1, 2)])
+    stored = merge.cut_lineage(events(spark, [
+        {"id": i, "source_id": 1 + i % 2, "region_id": 1 + i % 2, "external_id": f"e{i}", "dedup_key": f"k{i}", "content_hash": "h", "title": f"T{i}"} for i in range(count)]))
+    bridge = spark.createDataFrame([(i, 1) for i in range(count)], model.EVENT_CATEGORIES)
+    store = regional.Regional(spark, str(tmp_path / name), buckets=4)
+    store.start(stored, bridge, table(spark, model.VENUES, []))
+    return store, src, both, stored, bridge
+
+
+def _files(store, table, region):
+    folder = pathlib.Path(store.root, table, f"region_id={region}")
+    return {(p.name, p.stat().st_mtime_ns) for p in folder.glob("*.parquet")}
+
+
+def test_regional_merge_writes_the_regions_of_its_batch(spark, tmp_path):
+    store, src, both, stored, bridge = _two_regions(spark, tmp_path, "store")
+    cats, none = spark.createDataFrame([(1, "musik")], "id long, slug string"), table(spark, model.CATEGORY_DECISIONS, [])
+    batch = merge.cut_lineage(incoming(spark, [
+        {"source_id": 2, "external_id": "e1", "title": "T1 neu", "venue_name": "Saal"}, {"source_id": 2, "external_id": "neu", "title": "Frisch", "category_slugs": ["musik"]}]))
+    tables = ("events", "event_categories", "own", "shared")
+    before = {x: (_files(store, x, 1), _files(store, x, 2)) for x in tables}
+    actions = store.merge("a", batch, src, both, cats, none, NOW_T)
+    assert rows(actions, "action") == ["created", "updated"]
+    for x in tables:
+        assert before[x][0] and _files(store, x, 1) == before[x][0]
+        assert _files(store, x, 2) != before[x][1]
+    whole = merge.upsert(stored, bridge, batch, src, both, table(spark, model.VENUES, []), cats, none, NOW_T)
+    compared = [c for c in model.EVENT_COLUMNS if c not in ("raw", "locked_fields")]
+    assert sorted(map(str, store.events().select(*compared).collect())) == sorted(map(str, whole.events.select(*compared).collect()))
+    assert rows(store.bridge().drop("region_id"), "event_id", "category_id") == rows(whole.event_categories, "event_id", "category_id")
+    # a step done before changes nothing; the same rows as another step are known
+    assert store.merge("a", batch, src, both, cats, none, NOW_T).isEmpty()
+    assert rows(store.merge("b", batch, src, both, cats, none, NOW_T), "action") == ["unchanged", "unchanged"]
+
+
+def test_regional_step_left_open_is_carried_out_when_the_store_is_opened(spark, tmp_path, monkeypatch):
+    store, src, both, _, _ = _two_regions(spark, tmp_path, "store")
+    cats, none = spark.createDataFrame([(1, "musik")], "id long, slug string"), table(spark, model.CATEGORY_DECISIONS, [])
+    batch = incoming(spark, [{"source_id": 2, "external_id": "neu", "title": "Frisch"}, {"source_id": 2, "external_id": "e1", "title": "Anders"}])
+    log = regional.Regional._log
+
+    def lost(self, step, state, touched):
+        if state == "done":
+            raise RuntimeError("driver lost")
+        log(self, step, state, touched)
+
+    with monkeypatch.context() as m:
+        m.setattr(regional.Regional, "_log", lost)
+        with pytest.raises(RuntimeError):
+            store.merge("a", batch, src, both, cats, none, NOW_T)
+        m.setattr(regional.Regional, "_write", lambda self, *a: None)
+        with pytest.raises(RuntimeError):
+            store.merge("a", batch, src, both, cats, none, NOW_T)
+    opened = regional.Regional(spark, store.root, buckets=4)
+    assert opened.events().filter("title IN ('Frisch', 'Anders')").count() == 2 and opened.events().count() == 41
+    assert opened.merge("a", batch, src, both, cats, none, NOW_T).isEmpty()
+
+
+def test_a_region_left_without_categories_is_overwritten(spark, tmp_path):
+    store, src, both, _, _ = _two_regions(spark, tmp_path, "store", 2)
+    cats, none = spark.createDataFrame([(1, "musik")], "id long, slug string"), table(spark, model.CATEGORY_DECISIONS, [])
+    store.merge("a", incoming(spark, [{"source_id": 2, "external_id": "e1", "title": "Anders", "category_slugs": []}]), src, both, cats, none, NOW_T)
+    assert rows(store.bridge(), "event_id", "region_id") == [(0, 1)]
+
+
+def test_key_lookup_leaves_the_stored_keys_where_they_are(spark, tmp_path):
+    store, src, both, stored, _ = _two_regions(spark, tmp_path, "store")
+    batch = merge.cut_lineage(merge.prepare_incoming(incoming(spark, [{"source_id": 2, "external_id": f"e{i}"} for i in range(50)]), src, both))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = store.match(batch)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert rows(found.filter("matched_id IS NOT NULL"), "matched_id") == sorted(range(1, 40, 2), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan
+    # the only exchange deals the batch; between the key table and the joins there is none
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
