@@ -232,6 +232,13 @@ def _categories_named(t: Tables):
     return L.with_categories(rows, t.event_categories, t.categories).withColumn("category_names", F.coalesce("category_slugs", F.array().cast("array<string>")))
 
 
+def _calendar_files(t: Tables):
+    """All visible events as calendar files of a hundred entries, read back."""
+    path = _folder(t)
+    X.export_ics(_categories_named(t), path, 100)
+    return X.read_ics(t.spark, path)
+
+
 def _snapshot(t: Tables):
     root = _folder(t)
     write_snapshot(t.events, root, "events", 1)
@@ -281,6 +288,7 @@ QUERIES = {
     "seed_dimension": _q(lambda t: _seed(t).select("region_id", "key", "name", "importer", "enabled", "facts_only", F.col("config")["city"].alias("config_city"), F.col("config")["category"].alias("config_category"), F.col("config")["neu"].alias("config_neu"))),
     "patch_config": _q(lambda t: _patched(t).select("id", F.col("config")["city"].alias("config_city"), F.col("config")["max"].alias("config_max"), F.col("config")["category"].alias("config_category"))),
     "calendar_export": _q(lambda t: X.calendar_entries(_categories_named(t)).select("id", "entry")),
+    "calendar_files": _q(_calendar_files),
     "sitemap_export": _q(lambda t: X.sitemap_entries(_visible(t), t.regions, NOW)),
     "schema_org_export": _q(lambda t: X.schema_org(X.with_host(_shown(t), t.regions)).select("id", *[F.get_json_object("json", f"$.{p}").alias(a) for a, p in (
         ("name", "name"), ("start", "startDate"), ("finish", "endDate"), ("state", "eventStatus"), ("place", "location.name"), ("organizer", "organizer.name"), ("home", "organizer.url"),
@@ -395,12 +403,14 @@ ORACLE = {
       CASE WHEN id % 2 = 0 THEN 'X' ELSE config_city END AS config_city, 'kunst' AS config_category, CASE WHEN id % 2 = 0 THEN '1' END AS config_neu FROM src
       UNION ALL SELECT region_id, key || '_b', name, importer, false, false, config_city, 'kunst', NULL FROM src"""),
     "patch_config": with_tables("src", "SELECT id, CASE WHEN id % 3 = 0 THEN 'Y' ELSE config_city END AS config_city, CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS config_max, 'kunst' AS config_category FROM src"),
-    "calendar_export": with_tables("vi reg evcat", f"""SELECT id, array_to_string(list_filter(['BEGIN:VEVENT', 'UID:event-' || id || '@' || canonical_host, 'DTSTAMP:' || {_Z('last_seen_at')}, 'LAST-MODIFIED:' || {_Z('last_seen_at')}, 'SUMMARY:' || {_ESC('title')},
+    "calendar_export": with_tables("vi reg evcat", _ENTRIES := f"""SELECT id, array_to_string(list_filter(['BEGIN:VEVENT', 'UID:event-' || id || '@' || canonical_host, 'DTSTAMP:' || {_Z('last_seen_at')}, 'LAST-MODIFIED:' || {_Z('last_seen_at')}, 'SUMMARY:' || {_ESC('title')},
       'STATUS:CONFIRMED', 'URL:' || {_URL}, CASE WHEN all_day THEN 'DTSTART;VALUE=DATE:' || strftime(starts_at, '%Y%m%d') ELSE 'DTSTART:' || {_Z('starts_at')} END,
       CASE WHEN all_day THEN 'DTEND;VALUE=DATE:' || strftime(coalesce(ends_at, starts_at) + INTERVAL 1 DAY, '%Y%m%d') ELSE 'DTEND:' || {_Z('ends_at')} END,
       'LOCATION:' || {_ESC(f"CASE WHEN venue_name IS NOT NULL THEN {_ADDR} ELSE location_text END")},
       'DESCRIPTION:' || {_ESC(f"concat_ws(chr(10) || chr(10), CASE WHEN NOT facts_only THEN nullif(description, '') END, 'Mehr Infos: ' || {_URL})")}, 'CATEGORIES:' || cats, 'END:VEVENT'], lambda x: x IS NOT NULL), chr(10)) AS entry
       FROM (SELECT vi.*, canonical_host, (SELECT string_agg(cat.slug, ',' ORDER BY sort_order) FROM evcat JOIN cat ON cat.id = category_id WHERE event_id = vi.id) AS cats FROM vi JOIN reg ON reg.id = vi.region_id)"""),
+    "calendar_files": with_tables("vi reg evcat", f"""SELECT region_id, (n - 1) // 100 AS file, (n - 1) % 100 + 1 AS nr, id, entry FROM ({_ENTRIES}) JOIN
+      (SELECT id, region_id, row_number() OVER (PARTITION BY region_id ORDER BY starts_at, id) AS n FROM vi) USING (id)"""),
     "sitemap_export": with_tables("vi reg", f"""SELECT region_id, rank, id, '<url><loc>' || {_URL} || '</loc><lastmod>' || strftime(last_seen_at, '%Y-%m-%d') || '</lastmod></url>' AS entry FROM (SELECT vi.*, canonical_host,
       row_number() OVER (PARTITION BY region_id ORDER BY starts_at, vi.id) AS rank FROM vi JOIN reg ON reg.id = region_id WHERE {relevant(T_NOW)}) WHERE rank <= 20000"""),
     "schema_org_export": with_tables("vi reg", f"""SELECT id, title AS name, CASE WHEN all_day THEN strftime(starts_at, '%Y-%m-%d') ELSE {iso('starts_at')} END AS start, CASE WHEN all_day THEN strftime(ends_at, '%Y-%m-%d') ELSE {iso('ends_at')} END AS finish,

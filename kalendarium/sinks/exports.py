@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kalendarium import scale
 from kalendarium.functions.classify import price_amount
 from kalendarium.functions.text import blank_to_null, decode_entities, strip_tags, trim_edges
 from kalendarium.functions.times import iso_berlin, utc_wall
@@ -14,6 +15,8 @@ from kalendarium.operators.listing import find_for_sitemap
 from kalendarium.operators.review import display_location
 
 DESCRIPTION_CAP = 500
+#: entries of one calendar file
+FILE_ENTRIES = 10_000
 PUBLISHER = "kalendarium"
 
 
@@ -59,16 +62,34 @@ def calendar_entries(rows: DataFrame) -> DataFrame:
     return rows.select("region_id", "id", "starts_at", F.array_join(F.array_compact(lines), "\n").alias("entry"))
 
 
-def export_ics(rows: DataFrame, path: str) -> None:
-    """Calendar text files, one folder per region: header, entries by start, footer."""
+def export_ics(rows: DataFrame, path: str, per_file: int = FILE_ENTRIES) -> None:
+    """Calendar text files below ``region_id=/file=``: header, at most ``per_file`` entries, footer. A
+    region's files follow each other in start order, each a calendar of its own, so a region of any size
+    is dealt to as many tasks as it has files."""
+    numbered = scale.number_rows(calendar_entries(rows), ["region_id"], "starts_at", "id", "nr")
+    file = lambda nr: F.floor((nr - 1) / per_file).cast("long")
+    entries = numbered.select("region_id", file(F.col("nr")).alias("file"), F.lit(1).alias("part"), "nr", F.col("entry").alias("value"))
+    regions = rows.groupBy("region_id").agg(F.min("site_name").alias("site_name"), file(F.count(F.lit(1))).alias("last"))
+    files = regions.select("region_id", "site_name", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("file"))
     head = F.concat(F.lit(f"BEGIN:VCALENDAR\nVERSION:2.0\nPRODID:-//{PUBLISHER}//"), "site_name", F.lit("//DE\nMETHOD:PUBLISH\nX-WR-CALNAME:"), "site_name", F.lit("\nX-WR-TIMEZONE:Europe/Berlin"))
-    entries = calendar_entries(rows).select("region_id", F.lit(1).alias("part"), "starts_at", "id", F.col("entry").alias("value"))
-    regions = rows.select("region_id", "site_name").distinct()
-    frame = lambda part, text: regions.select("region_id", F.lit(part).alias("part"), F.lit(None).cast("timestamp_ntz").alias("starts_at"), F.lit(None).cast("long").alias("id"), text.alias("value"))
+    frame = lambda part, text: files.select("region_id", "file", F.lit(part).alias("part"), F.lit(0).cast("long").alias("nr"), text.alias("value"))
     texts = frame(0, head).unionByName(entries).unionByName(frame(2, F.lit("END:VCALENDAR")))
-    # a feed is capped per region (find_for_feed), so a region's file is bounded
-    ordered = texts.repartition("region_id").sortWithinPartitions("region_id", "part", "starts_at", "id")
-    ordered.select("region_id", F.regexp_replace("value", "\n", "\r\n").alias("value")).write.mode("overwrite").option("lineSep", "\r\n").partitionBy("region_id").text(path)
+    ordered = texts.repartition("region_id", "file").sortWithinPartitions("region_id", "file", "part", "nr")
+    lines = ordered.select("region_id", "file", F.regexp_replace("value", "\n", "\r\n").alias("value"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").partitionBy("region_id", "file").text(path)
+
+
+def read_ics(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of exported files, in file order (``nr`` from 1); a file without header or footer gives none."""
+    texts = spark.read.text(path, wholetext=True).withColumn("value", F.replace("value", F.lit("\r\n"), F.lit("\n")))
+    whole = texts.filter(F.startswith("value", F.lit("BEGIN:VCALENDAR\n")) & F.endswith("value", F.lit("\nEND:VCALENDAR\n")))
+    inner = F.regexp_replace("value", "\nEND:VCALENDAR\n$", "")
+    split = F.split(inner, "\n(?=BEGIN:VEVENT\n)")
+    # the first piece is the header
+    pieces = F.slice(split, F.lit(2), F.size(split))
+    rows = whole.select(F.col("region_id").cast("long").alias("region_id"), F.col("file").cast("long").alias("file"), F.posexplode(pieces).alias("pos", "entry"))
+    found = F.regexp_extract("entry", r"\nUID:event-(\d+)@", 1).cast("long")
+    return rows.select("region_id", "file", (F.col("pos") + 1).cast("long").alias("nr"), found.alias("id"), "entry")
 
 
 def sitemap_entries(visible_rows: DataFrame, regions: DataFrame, now: str) -> DataFrame:

@@ -18,6 +18,7 @@ from kalendarium.functions.similarity import covered
 from kalendarium.operators import enrich, listing, merge, places, resolve, review
 from kalendarium.plans import nightly
 from kalendarium.plans.listing_page import listing_page
+from kalendarium.sinks import exports
 from kalendarium.sources import regional
 from kalendarium.sources.state import current
 from kalendarium.sources.tables import read_table, write_snapshot
@@ -430,3 +431,20 @@ def test_key_lookup_leaves_the_stored_keys_where_they_are(spark, tmp_path):
     assert "Bucketed: true" in plan
     # the only exchange deals the batch; between the key table and the joins there is none
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")
+
+
+def test_calendar_files_split_a_region_in_order(t, tmp_path):
+    path = str(tmp_path / "ics")
+    wanted = catalog_extract._categories_named(t).filter("region_id = 1")
+    exports.export_ics(wanted, path, 25)
+    texts = {int(f.parent.name[5:]): f.read_bytes().decode() for f in pathlib.Path(path).glob("region_id=1/file=*/*.txt")}
+    count = wanted.count()
+    assert count > 50 and sorted(texts) == list(range((count + 24) // 25))
+    for text in texts.values():
+        assert text.startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n") and text.endswith("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n")
+        assert text.count("BEGIN:VEVENT") <= 25 and "\n" not in text.replace("\r\n", "")
+    read = [r["id"] for r in exports.read_ics(t.spark, path).orderBy("file", "nr").collect()]
+    assert read == [r["id"] for r in wanted.orderBy("starts_at", "id").select("id").collect()]
+    # nothing to export: no file, not a broken one
+    exports.export_ics(wanted.limit(0), str(tmp_path / "none"))
+    assert not list(pathlib.Path(str(tmp_path / "none")).rglob("*.txt"))
