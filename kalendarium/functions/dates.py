@@ -94,49 +94,55 @@ def _clamped(c: Column, top: int) -> Column:
     return F.least(F.coalesce(c, F.lit(0)), F.lit(top))
 
 
-_TIME = r"(?:,?\s*(\d{1,2})[:.](\d{2}))?"
-_DAY_PARTS = r"(\d{1,2})\.(\d{1,2})\.(\d{2,4})"
-_LABELLED = rf"Datum:\s*{_DAY_PARTS}{_TIME}(?:\s*[-–]\s*{_DAY_PARTS}{_TIME})?"
-_SPELLED = r"(\d{1,2})\.\s*([A-Za-zäöüÄÖÜ]+)\s+(\d{4})"
+#: a day with a numeric month and a year, or with a month's name and a full year
+_MENTION = r"\d{1,2}\.(?:\d{1,2}\.\d{2,4}|\s*[A-Za-zäöüÄÖÜ]+\s+\d{4})"
+#: how far behind a date its time is looked for
+CLOCK_WINDOW = 60
 
 
-def _numeric(parts: Column, first: int, hour: Column, minute: Column) -> Column:
-    """Day, month and year from three captures on, with a forgiving time."""
-    year = _sane(full_year(number_part(parts, first + 2)))
-    return safe_date(year, number_part(parts, first + 1), number_part(parts, first), _clamped(hour, 23), _clamped(minute, 59))
+def _mentioned(mention: Column, clock: Column) -> Column:
+    """The moment of one mention; too large a time is cut, an impossible day or a year outside 2000 to 2100 is null."""
+    def read(x: Column) -> Column:
+        number = lambda parts, n: F.get(x[parts], F.lit(n)).try_cast("int")
+        month = F.coalesce(number("day", 1), month_number(F.get(x["day"], F.lit(1))))
+        return safe_date(_sane(full_year(number("day", 2))), month, number("day", 0), _clamped(number("clock", 0), 23), _clamped(number("clock", 1), 59))
 
+    return let(F.struct(F.split(mention, r"\.\s*|\s+").alias("day"), F.split(clock, "[:.]").alias("clock")), read)
 
-def _time_near(rest: Column) -> Column:
-    """struct(h, m) within the 60 characters after a date: ``HH:MM`` first, then ``HH Uhr``."""
-    def read(window: Column) -> Column:
-        clock = captures(window, r"(\d{1,2}):(\d{2})")
-        bare = number_part(captures(window, r"(\d{1,2})\s*Uhr"), 1)
-        hour = F.coalesce(number_part(clock, 1), bare)
-        return F.struct(hour.alias("h"), F.coalesce(number_part(clock, 2), F.when(bare.isNotNull(), 0)).alias("m"))
 
-    return let(F.left(rest, F.lit(60)), read)
+def _clock_within(window: Column) -> Column:
+    """``HH:MM`` anywhere before ``HH Uhr``, as text; null without either."""
+    exact = F.nullif(F.regexp_extract(window, r"\d{1,2}:\d{2}", 0), F.lit(""))
+    return F.coalesce(exact, F.nullif(F.regexp_extract(window, r"(\d{1,2})\s*Uhr", 1), F.lit("")))
 
 
 def german_dates(text: Column) -> Column:
-    """struct(start, end) by ordered strategies: labelled range, numeric date, spelled month."""
-    rest = r"([\s\S]*)"
-
-    def labelled(p: Column) -> Column:
-        start = _numeric(p, 1, number_part(p, 4), number_part(p, 5))
-        end = _numeric(p, 6, number_part(p, 9), number_part(p, 10))
-        return F.struct(start.alias("start"), F.when(end > start, end).alias("end"))
-
-    def numeric(p: Column) -> Column:
-        return let(_time_near(F.get(p, F.lit(3))), lambda t: _numeric(p, 1, t["h"], t["m"]))
-
-    def spelled(p: Column) -> Column:
-        return let(_time_near(F.get(p, F.lit(3))), lambda t: safe_date(
-            _sane(number_part(p, 3)), month_number(text_part(p, 2)), number_part(p, 1), _clamped(t["h"], 23), _clamped(t["m"], 59)
-        ))
-
-    found = let(captures(text, _LABELLED), labelled)
-    other = F.coalesce(let(captures(text, _DAY_PARTS + rest), numeric), let(captures(text, _SPELLED + rest), spelled))
-    return let(found, lambda f: F.struct(F.coalesce(f["start"], other).alias("start"), f["end"].alias("end")))
+    """struct(start, end) of the dates a text mentions.
+
+    The text falls into mentions of days and the gaps around them. A numeric mention behind the label starts the
+    event, and ends it at the next one if only a clock and a dash lie between. Otherwise the first numeric mention
+    counts, then the first spelled one, with the clock that follows closely. Mentions don't overlap: of two dates
+    written without anything between them, the first takes its characters."""
+    def mentions(x: Column) -> Column:
+        numeric = lambda i: F.get(x["days"], i).rlike(r"^[\d.]+$")
+        clock_after = lambda i: F.regexp_extract(F.get(x["gaps"], i + 1), r"^,?\s*(\d{1,2}[:.]\d{2})", 1)
+        places = F.transform(x["days"], lambda _, i: i)
+        first = lambda test: F.get(F.filter(places, test), F.lit(0))
+
+        def loose(i: Column) -> Column:
+            upto = F.length(F.array_join(F.slice(x["gaps"], 1, i + 1), "")) + F.length(F.array_join(F.slice(x["days"], 1, i + 1), ""))
+            return _mentioned(F.get(x["days"], i), _clock_within(F.substr(text, upto + 1, F.lit(CLOCK_WINDOW))))
+
+        def labelled(i: Column) -> Column:
+            ranged = F.get(x["gaps"], i + 1).rlike(r"^(?:,?\s*\d{1,2}[:.]\d{2})?\s*[-–]\s*$") & numeric(i + 1)
+            until = F.when(ranged, _mentioned(F.get(x["days"], i + 1), clock_after(i + 1)))
+            return F.struct(_mentioned(F.get(x["days"], i), clock_after(i)).alias("start"), until.alias("end"))
+
+        given = let(first(lambda i: numeric(i) & F.get(x["gaps"], i).rlike(r"Datum:\s*$")), labelled)
+        other = F.coalesce(let(first(numeric), loose), let(first(lambda i: ~numeric(i)), loose))
+        return let(given, lambda g: F.struct(F.coalesce(g["start"], other).alias("start"), F.when(g["end"] > g["start"], g["end"]).alias("end")))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(_MENTION), F.lit(0)).alias("days"), F.split(text, _MENTION).alias("gaps")), mentions)
 
 
 def course_date(text: Column) -> Column:

@@ -60,32 +60,57 @@ def decode_entities_all(c: Column) -> Column:
     return _unescape_all(c)
 
 
+#: elements whose end ends a line
+LINE_ENDS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li")
+
+
+def _pieces(c: Column, *, shortcodes: bool = False) -> Column:
+    """The text cut, in order and without loss, into comments, tags, shortcodes where asked for, and runs between them."""
+    marked = r"(?s:<!--.*?-->)|<[A-Za-z/!?][^>]*>"
+    plain = r"[^<]+|<"
+    if shortcodes:
+        marked, plain = rf"{marked}|(?i:\[/?[a-z_]+[^\]]*\])", r"[^<\[]+|[<\[]"
+    return F.regexp_extract_all(c, F.lit(f"{marked}|{plain}"), F.lit(0))
+
+
+def _is_marked(piece: Column, opener: str) -> Column:
+    """A lone opener is text; markup has an end as well."""
+    return F.startswith(piece, F.lit(opener)) & (F.length(piece) > 1)
+
+
+def _tag_text(piece: Column) -> Column:
+    """What stands for a tag: a line end for ``br`` and closed blocks, otherwise nothing."""
+    inner = F.lower(F.substr(piece, F.lit(2), F.length(piece) - 2))
+    ends_line = inner.isin(*[f"/{name}" for name in LINE_ENDS]) | (F.rtrim(F.rtrim(inner, F.lit("/")), F.lit(" \t\r\n")) == "br")
+    return F.when(ends_line, "\n").otherwise("")
+
+
 def html_to_text(c: Column) -> Column:
-    """Line breaks at ``<br>`` and block ends, tags dropped, entities decoded, blanks collapsed."""
-    broken = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    broken = F.regexp_replace(broken, r"(?i)</(p|div|h[1-6]|li)>", "\n")
-    plain = decode_entities(strip_tags(broken))
-    plain = F.regexp_replace(plain, r"[ \t]+", " ")
-    return trim_edges(F.regexp_replace(plain, r"\n{2,}", "\n"))
+    """Markup read piece by piece (a tag runs to the next ``>``), entities decoded; a run of the same white space counts once."""
+    read = F.transform(_pieces(c), lambda piece: F.when(_is_marked(piece, "<"), _tag_text(piece)).otherwise(piece))
+    plain = F.translate(decode_entities(F.array_join(read, "")), "\t", " ")
+    return trim_edges(F.regexp_replace(plain, r"([ \n])\1+", "$1"))
 
 
 def shorten(c: Column, width: int = 600) -> Column:
-    """One line, cut hard at ``width`` characters with an ellipsis; null when blank."""
-    line = trim_edges(F.regexp_replace(c, r"\s+", " "))
-    cut = F.concat(trim_end(F.left(line, F.lit(width))), F.lit("…"))
-    return blank_to_null(F.when(F.length(line) <= width, line).otherwise(cut))
+    """The words in one line, cut hard at ``width`` characters with an ellipsis; null when blank."""
+    line = trim_edges(F.array_join(F.split(c, r"\s+"), " "))
+    return blank_to_null(F.when(F.length(line) > width, F.concat(trim_end(F.left(line, F.lit(width))), F.lit("…"))).otherwise(line))
 
 
 def shorten_at_word(c: Column, width: int = 600) -> Column:
-    """Cut at the last blank before ``width``, with a spaced ellipsis."""
-    head = F.regexp_replace(F.left(c, F.lit(width)), r" [^ ]*$", "")
-    return F.when(F.length(c) <= width, c).otherwise(F.concat(trim_end(head), F.lit(" …")))
+    """Whole words within ``width``, with a spaced ellipsis; a first word that is longer is cut."""
+    head = F.left(c, F.lit(width))
+    broken = F.length(F.substring_index(head, " ", -1))
+    whole = F.when(broken < F.length(head), F.left(head, F.length(head) - broken)).otherwise(head)
+    return F.when(F.length(c) > width, F.concat(trim_end(whole), F.lit(" …"))).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
-    """Entities decoded, ``[shortcodes]`` and tags dropped, one line."""
-    plain = F.regexp_replace(decode_entities(c), r"(?i)\[/?[a-z_]+[^\]]*\]", " ")
-    return trim_edges(squeeze(strip_tags(plain)))
+    """One line: entities decoded, a blank for each ``[shortcode]``, nothing for tags."""
+    pieces = _pieces(decode_entities(c), shortcodes=True)
+    read = F.transform(pieces, lambda piece: F.when(_is_marked(piece, "<"), "").when(_is_marked(piece, "["), " ").otherwise(piece))
+    return trim_edges(squeeze(F.array_join(read, "")))
 
 
 def prompt_line(c: Column) -> Column:

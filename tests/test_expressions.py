@@ -58,7 +58,9 @@ def test_safe_dates(spark, parts, ok):
 @pytest.mark.parametrize("raw, start, end", [
     ("Datum: 20.08.2026, 19:30 Uhr", "2026-08-20 19:30", None), ("Datum: 01.07.26, 10:00 - 03.07.2026, 18:00", "2026-07-01 10:00", "2026-07-03 18:00"),
     ("Datum: 03.07.26 - 01.07.26", "2026-07-03", None), ("am 13. Juni 2026 ab 20 Uhr", "2026-06-13 20:00", None), ("31.06.2026", None, None), ("kein Datum 99", None, None), ("1.5.1999", None, None),
-    ("siehe 31.06.2026 und 2. März 2026 um 9:15", "2026-03-02 09:15", None),
+    ("siehe 31.06.2026 und 2. März 2026 um 9:15", "2026-03-02 09:15", None), ("1.9.2026 bis 3.9.2026 um 19:00", "2026-09-01 19:00", None),
+    ("am 5. Mai 2026, Datum: 01.07.2026 – 03.07.2026", "2026-07-01", "2026-07-03"), ("Datum: 01.07.2026 und 03.07.2026", "2026-07-01", None),
+    ("1.9.2026" + " " * 60 + "19:00", "2026-09-01", None), ("1.9.2026, 25:99", "2026-09-01 23:59", None), (None, None, None),
 ])
 def test_german_dates(spark, raw, start, end):
     found = value(spark, dates.german_dates(lit(raw)))
@@ -112,6 +114,27 @@ def test_html_to_text(spark):
     assert value(spark, text.html_to_text(lit("<p>A &amp; B&nbsp;&eacute;</p><br><br>C <i>d</i>"))) == "A & B é\nC d"
 
 
+@pytest.mark.parametrize("raw, plain", [
+    ("a < b<br />\n\nc</H2>d", "a < b\nc\nd"), ("<!-- <br> -->x \t y</li><li>z", "x y\nz"), ("</p >x<b", "x<b"), (None, None),
+])
+def test_markup_pieces(spark, raw, plain):
+    assert value(spark, text.html_to_text(lit(raw).cast("string"))) == plain
+
+
+def test_shortened_and_cleaned(spark):
+    assert value(spark, text.shorten(lit(" ab\n cd  ef "), 5)) == "ab cd…" and value(spark, text.shorten(lit(" \n"))) is None
+    assert value(spark, text.shorten_at_word(lit("ab cd ef"), 7)) == "ab cd …" and value(spark, text.shorten_at_word(lit("abcdefgh"), 4)) == "abcd …"
+    assert value(spark, text.clean_text(lit("[gallery id=1]A &amp; <b>B</b>[/x] [1] <"))) == "A & B [1] <"
+
+
+@pytest.mark.parametrize("raw, title, venue", [
+    ("Fest - Teil 2 – 01.07.2026, 19:30 ", "Fest - Teil 2", None), ("Fest 01.07.2026", "Fest 01.07.2026", None), ("Fest | 1.7.26", "Fest", None),
+    ("x\nVeranstaltungsort: Stadt-Halle  | Saal 1\ny", "x\nVeranstaltungsort: Stadt-Halle  | Saal 1\ny", "Stadt Halle"), ("Veranstaltungsort: - ", "Veranstaltungsort: -", None),
+])
+def test_titles_and_venue_lines(spark, raw, title, venue):
+    assert (value(spark, classify.clean_title(lit(raw))), value(spark, classify.venue_from_text(lit(raw)))) == (title, venue)
+
+
 @pytest.mark.parametrize("image, base, expected", [
     ("//c.example/a.png", "https://x.example/p/q", "https://c.example/a.png"), ("../b/./c.png", "https://x.example/p/q/r.html", "https://x.example/p/b/c.png"), ("/d.png", "https://x.example:8080/p", "https://x.example:8080/d.png"),
     ("data:image/png,x", "https://x.example/", None), ("javascript:x", "https://x.example/", None), ("a.png", "nope", None), ("HTTP://y.example/z", "https://x.example/", "HTTP://y.example/z"),
