@@ -43,14 +43,32 @@ def _sizes(batches):
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, rng: np.random.Generator, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to the budget."""
+    """How many documents of each length (ascending) to take so that their words come near the budget.
+
+    An equal share of every length, then the programme for the rest. If words are still missing, one document
+    longer than what is missing is tried, with documents of about the excess put back; the nearer choice stays.
+    The programme is exact for rests up to ``dp_words``; beyond, documents are first taken from the longest on."""
     total = int((lengths * counts).sum())
     budget = min(budget, total)
-    # an equal share of every length; integer arithmetic, rounded down
+    # integer arithmetic, rounded down
     taken = np.array([int(c) * budget // total if total else 0 for c in counts.tolist()], dtype=np.int64)
-    rest = budget - int((taken * lengths).sum())
     order = rng.permutation(len(lengths))
-    # long documents from the longest on, then the others in a seeded order, down to a budget for the programme
+    taken += _fill(lengths, counts - taken, budget - int((taken * lengths).sum()), order, dp_words)
+    missing = budget - int((taken * lengths).sum())
+    longer = np.flatnonzero((taken < counts) & (lengths > missing))
+    if missing > 0 and len(longer):
+        other = taken.copy()
+        other[longer[0]] += 1
+        other -= _fill(lengths, other, int(lengths[longer[0]]) - missing, order, dp_words)
+        if abs(budget - int((other * lengths).sum())) < missing:
+            return other
+    return taken
+
+
+def _fill(lengths: np.ndarray, counts: np.ndarray, rest: int, order: np.ndarray, dp_words: int) -> np.ndarray:
+    """Documents of about ``rest`` words: down to a rest for the programme, which does the remainder."""
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    # long documents from the longest on, then the others in a seeded order
     long = lengths > dp_words // 4
     for i in [*np.flatnonzero(long)[::-1], *order[~long[order]]]:
         if taken[i] < counts[i] and rest - int(lengths[i]) >= (0 if long[i] else dp_words // 2):

@@ -79,5 +79,20 @@ def test_large_budgets_come_near():
     assert abs(int((huge * np.array([3, 10**9])).sum()) - 2 * 10**9 - 7) <= 2
 
 
+@pytest.mark.parametrize("lengths, counts, budget, words", [
+    ([200_000], [1], 150_000, 200_000), ([200_000], [1], 90_000, 0), ([100, 200_000], [3, 1], 190_000, 200_000), ([100, 200_000], [3, 1], 199_900, 200_000),
+    ([100, 200_000], [3, 1], 100_050, 300), ([100, 200_000], [3, 1], 100_200, 200_000), ([7, 150_000, 400_000], [2, 1, 1], 500_000, 550_000),
+])
+def test_one_long_document_more_where_that_is_nearer(lengths, counts, budget, words):
+    lengths, counts = np.array(lengths), np.array(counts)
+    taken = mixing.fit_budget(lengths, counts, budget, np.random.default_rng(0))
+    sums = [0]
+    for n, c in zip(lengths.tolist(), counts.tolist()):
+        sums = [s + k * n for s in sums for k in range(c + 1)]
+    assert (0 <= taken).all() and (taken <= counts).all()
+    assert abs(int((taken * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+    assert int((taken * lengths).sum()) == words
+
+
 def test_empty_table(spark):
     assert mixing.mix(documents(spark, [])).collect() == []
