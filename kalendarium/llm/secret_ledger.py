@@ -12,6 +12,7 @@ as often as they were given. An empty table gives an empty result and an empty l
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,10 +22,30 @@ from pyspark.sql import functions as F
 from kalendarium.llm.common import run_folder, small_batches, stored, text_of
 
 
+_CREDENTIALS = re.compile(r"://[^\s:/@]+:[^\s:/@]+@")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+
+def url_passwords(text: str) -> Iterator[tuple[int, int]]:
+    """Scheme to at-sign of addresses that hold a user and a password, of whatever length. Parsed outwards from
+    ``://``: backwards over the scheme, which begins with its first letter, forwards over the credentials."""
+    done = 0
+    for m in _CREDENTIALS.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < m.start() and not text[start].isalpha():
+            start += 1
+        if m.start() - start >= 2:
+            yield start, m.end()
+        done = m.end()
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A pattern whose leftmost non-overlapping matches count if ``group`` has ``least`` characters.
-    ``cues`` are lower-case strings of which every match holds one: texts without them are skipped."""
+    """A pattern whose leftmost non-overlapping matches count if ``group`` has ``least`` characters, or a
+    ``parser`` that yields the spans. ``cues`` are lower-case strings of which every match holds one: texts
+    without them are skipped."""
 
     name: str
     version: int
@@ -32,6 +53,7 @@ class Rule:
     group: int = 0
     least: int = 1
     cues: tuple[str, ...] = ()
+    parser: Callable[[str], Iterator[tuple[int, int]]] | None = None
 
 
 #: in the order in which spans that start together are listed
@@ -39,9 +61,9 @@ RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("passw", "secret", "token", "api")),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]*", 0, 1, ("private key",)),
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\r?\n[A-Za-z-]+: [^\r\n]*)*[A-Za-z0-9+/=\s]*", 0, 1, ("private key",)),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
-    Rule("url_password", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@", 0, 1, ("://",)),
+    Rule("url_password", 2, "", 0, 1, ("://",), url_passwords),
 )
 
 LEDGER_SCHEMA = "blob string, scanned array<string>, findings array<struct<rule:string,version:int,start:int,end:int>>"
@@ -51,7 +73,11 @@ def scan(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, int, in
     low = text.lower() if any(rule.cues for rule in rules) else ""
     found = []
     for rule in rules:
-        if not rule.cues or any(cue in low for cue in rule.cues):
+        if rule.cues and not any(cue in low for cue in rule.cues):
+            continue
+        if rule.parser is not None:
+            found += [(rule, start, end) for start, end in rule.parser(text)]
+        else:
             for m in re.compile(rule.pattern, re.ASCII).finditer(text):
                 if m.end(rule.group) - m.start(rule.group) >= rule.least:
                     found.append((rule, m.start(), m.end()))

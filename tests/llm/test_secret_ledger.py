@@ -35,6 +35,17 @@ def test_other_kinds():
     assert {r.name for r, _, _ in secret_ledger.scan(text)} == {"private_key", "web_token", "url_password"}
 
 
+def test_long_credentials_and_key_blocks():
+    spans = lambda text: [(r.name, text[a:b]) for r, a, b in secret_ledger.scan(text) if r.name in ("private_key", "url_password")]
+    long = f"git+HTTPS://{'u' * 300}:{'p' * 5000}@"
+    assert spans(f"x {long}host") == [("url_password", long)]
+    assert spans("1.ftp://a:b@c://d:e@ http://host:80/ ://u:p@ x://u:p@") == [("url_password", "ftp://a:b@")]
+    block = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\nComment: a b\n\nlQdGBF\n"
+    assert spans(f"{block}-----END") == [("private_key", block)]
+    named = f"-----BEGIN {'VERY ' * 20}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nAbc="
+    assert spans(f"{named}!") == [("private_key", named)]
+
+
 def test_only_unseen_pairs_are_scanned(spark):
     ledger = run_folder(spark, "ledger")
     first = documents(spark, [(1, "token=abcdef1"), (2, "token=abcdef1"), (3, None)])
