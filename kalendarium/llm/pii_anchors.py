@@ -22,8 +22,9 @@ from kalendarium.llm.common import per_worker, small_batches, text_of
 
 #: in the order in which spans that start together are listed
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
+#: schemes and cues count in either case
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
-CUES = {"iban": "iban", "IBAN": "iban", "account": "account", "Account": "account", "Konto": "account", "konto": "account", "a/c": "account"}
+CUES = {"iban": "iban", "account": "account", "konto": "account", "a/c": "account"}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -33,7 +34,7 @@ _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>]+")
 _IBAN = re.compile(r"[\x20:=#.]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})")
-_ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|nummer))?[\x20:=#.]{1,4}([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])", re.ASCII)
+_ACCOUNT = re.compile(r"(?:\x20?(?i:number|no\.?|nr\.?|nummer))?[\x20:=#.]{1,4}([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])", re.ASCII)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -52,6 +53,12 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _lowered(text: str) -> str:
+    """Lower-cased at equal length: the few letters that grow send the text the slower way, where only A-Z change."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate({c: c + 32 for c in range(65, 91)})
+
+
 class _Parser:
     def __init__(self):
         import ahocorasick
@@ -70,7 +77,7 @@ class _Parser:
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found: list[tuple[str, int, int]] = []
         done = dict.fromkeys(("@", "+", "dotted", "spaced", "url", "iban", "account"), 0)
-        for last, (cue, size) in self.anchors.iter(text):
+        for last, (cue, size) in self.anchors.iter(_lowered(text)):
             at = last - size + 1
             if cue == "0":
                 # an anchor inside a parsed candidate adds nothing

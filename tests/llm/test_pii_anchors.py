@@ -51,6 +51,7 @@ def test_added_kinds():
     assert kinds("IBAN: DE89 3704 0044 0532 0130 00 now") == [("iban", "DE89 3704 0044 0532 0130 00")]
     assert kinds("IBAN: DE88 3704 0044 0532 0130 00 now") == []
     assert kinds("account number: 12345678, Konto 12") == [("account", "12345678")]
+    assert kinds("İ HTTPS://X.de/A ACCOUNT NO. 123456 Iban DE89370400440532013000") == [("url", "HTTPS://X.de/A"), ("account", "123456"), ("iban", "DE89370400440532013000")]
 
 
 def test_odd_rows(spark):
