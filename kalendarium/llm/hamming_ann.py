@@ -3,8 +3,8 @@
 Codes: vectors are scaled to length one and rotated; several rotations are learned by iterative
 quantisation (alternating signs and orthogonal Procrustes) on a sample of at most about SAMPLE vectors,
 each giving as many bits as the vector has components. The search radius is learned on the same sample:
-the RECALL quantile of the code distances between its vectors and their nearest neighbours there (in a
-larger corpus neighbours only come nearer).
+the RECALL quantile of the code distances between 512 of its vectors, drawn at random, and their nearest
+neighbours there (in a larger corpus neighbours only come nearer).
 
 Index: every vector is in it. Rows are dealt by hash into shards of about SHARD_ROWS; a shard is one row
 of a table with its codes, their substrings in sorted order, and the original vectors. A block of queries
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from kalendarium.llm.common import run_folder, small_batches, stored
 
@@ -85,11 +86,12 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
-def learned_radius(codes: Codes, vectors: np.ndarray, k: int, recall: float = RECALL, queries: int = 512) -> int:
+def learned_radius(codes: Codes, vectors: np.ndarray, k: int, recall: float = RECALL, queries: int = 512, seed: int = SEED) -> int:
+    """The code distance within which ``recall`` of the k nearest lie, asked for ``queries`` drawn vectors."""
     if len(vectors) <= k:
         return codes.bits
     x, packed, seen = unit(vectors), codes.encode(vectors), []
-    for i in range(min(queries, len(vectors))):
+    for i in np.random.default_rng(seed).permutation(len(vectors))[:queries]:
         cosines = x @ x[i]
         cosines[i] = -2
         near = np.argpartition(-cosines, k - 1)[:k]
@@ -134,31 +136,31 @@ class Shard:
         return self.ids[rows[best]], scores[best]
 
 
-def _pack(codes: Codes, key: str):
+def _pack(codes: Codes, key: str, kind: str):
     """The rows of a group as one row of byte strings."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        vectors = np.array(table.column("v").combine_chunks().flatten(), dtype=np.float32).reshape(len(ids), -1)[order]
+        vectors = np.array(table.column("v").combine_chunks().flatten(), dtype=kind).reshape(len(ids), -1)[order]
         packed = codes.encode(vectors)
         blob = lambda a: pa.array([a.tobytes()], pa.binary())
-        return pa.table({key: table.column(key)[:1].combine_chunks(), "ids": blob(ids[order].astype("<i8")), "codes": blob(packed), "vectors": blob(vectors.astype("<f4"))})
+        return pa.table({key: table.column(key)[:1].combine_chunks(), "ids": blob(ids[order].astype("<i8")), "codes": blob(packed), "vectors": blob(vectors)})
 
     return run
 
 
-def _search(dim: int, k: int, radius: int):
+def _search(dim: int, k: int, radius: int, kind: str):
     def run(batches):
         kept = (None, None)
         for batch in batches:
             for row in batch.to_pylist():
                 if kept[0] != row["shard"]:
                     ids = np.frombuffer(row["ids"], "<i8")
-                    kept = (row["shard"], Shard(ids, np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1), np.frombuffer(row["vectors"], "<f4").reshape(len(ids), dim)))
+                    kept = (row["shard"], Shard(ids, np.frombuffer(row["codes"], "<u8").reshape(len(ids), -1), np.frombuffer(row["vectors"], kind).reshape(len(ids), dim)))
                 query_ids = np.frombuffer(row["q_ids"], "<i8")
                 codes = np.frombuffer(row["q_codes"], "<u8").reshape(len(query_ids), -1)
-                vectors = np.frombuffer(row["q_vectors"], "<f4").reshape(len(query_ids), dim)
+                vectors = np.frombuffer(row["q_vectors"], kind).reshape(len(query_ids), dim)
                 out: list[tuple] = []
                 for q, code, vector in zip(query_ids.tolist(), codes, vectors):
                     found, scores = kept[1].nearest(q, vector, code, k, radius)
@@ -169,10 +171,10 @@ def _search(dim: int, k: int, radius: int):
     return run
 
 
-def _visits(shards: DataFrame, queries: DataFrame, n_shards: int, dim: int, k: int, radius: int) -> DataFrame:
+def _visits(shards: DataFrame, queries: DataFrame, n_shards: int, dim: int, k: int, radius: int, kind: str) -> DataFrame:
     blocks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors"))
     met = blocks.join(shards, "shard").sortWithinPartitions("shard")
-    return met.mapInArrow(_search(dim, k, radius), "query_id long, vec_id long, score double")
+    return met.mapInArrow(_search(dim, k, radius, kind), "query_id long, vec_id long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -186,7 +188,11 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = QUERY_EVERY, s
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # rows here are whole shards
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     folder = run_folder(spark, "ann")
-    v = F.col("embedding").cast("array<float>")
+    # components stay as exact as they are given
+    given = table.schema["embedding"].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    kind = "<f4" if single else "<f8"
+    v = F.col("embedding").cast("array<float>" if single else "array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad)
     rows = rows.filter(F.exists("v", lambda x: x != 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -197,19 +203,19 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = QUERY_EVERY, s
     rows = rows.filter(F.size("v") == dim)
     share = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = rows.filter(share < min(1.0, SAMPLE / total)).orderBy("vec_id").collect()
-    sample = np.array([r["v"] for r in some] or [r["v"] for r in rows.limit(1).collect()], dtype=np.float32)
+    sample = np.array([r["v"] for r in some] or [r["v"] for r in rows.limit(1).collect()], dtype=kind)
     codes = Codes.fit(sample)
     radius = learned_radius(codes, sample, k)
     n_shards = max(1, -(-total // shard_rows))
     layout = "ids binary, codes binary, vectors binary"
     salted = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)))
-    shards = stored(salted.groupBy("shard").applyInArrow(_pack(codes, "shard"), f"shard long, {layout}"), f"{folder}/shards")
+    shards = stored(salted.groupBy("shard").applyInArrow(_pack(codes, "shard", kind), f"shard long, {layout}"), f"{folder}/shards")
     asked = rows.filter(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-asked.count() // query_rows))
-    pack_queries = lambda df: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").applyInArrow(_pack(codes, "block"), f"block long, {layout}")
-    found = _top(_visits(shards, stored(pack_queries(asked), f"{folder}/queries"), n_shards, dim, k, radius), k)
+    pack_queries = lambda df: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").applyInArrow(_pack(codes, "block", kind), f"block long, {layout}")
+    found = _top(_visits(shards, stored(pack_queries(asked), f"{folder}/queries"), n_shards, dim, k, radius, kind), k)
     found = stored(found.select("query_id", "rank", "vec_id", "score"), f"{folder}/found")
     full = found.groupBy("query_id").count().filter(F.col("count") >= k)
     short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
-    again = _top(_visits(shards, stored(pack_queries(short), f"{folder}/short"), n_shards, dim, k, codes.bits), k)
+    again = _top(_visits(shards, stored(pack_queries(short), f"{folder}/short"), n_shards, dim, k, codes.bits, kind), k)
     return found.join(full, "query_id", "left_semi").unionByName(again.select(*found.columns)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -39,6 +39,25 @@ def test_recall_and_exact_scores(spark):
     assert all(abs(scores[q, i] - s) < 1e-12 for q, near in got.items() for i, s in near)
 
 
+def test_doubles_are_scored_as_doubles(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.standard_normal(16).tolist() for i in range(200)}
+    vectors[1] = [x * (1 + 1e-9 * i) for i, x in enumerate(vectors[0])]  # one vector as floats, two as doubles
+    df = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    for q, near in answers(hamming_ann.nearest_neighbours(df)).items():
+        a = np.array(vectors[q])
+        for i, score in near:
+            b = np.array(vectors[i])
+            assert abs(score - (a @ b) / np.sqrt((a @ a) * (b @ b))) < 1e-14
+
+
+def test_radius_does_not_follow_the_first_rows():
+    rng = np.random.default_rng(6)
+    tight, wide = rng.standard_normal(16) + 1e-3 * rng.standard_normal((600, 16)), rng.standard_normal((3000, 16))
+    codes = hamming_ann.Codes.fit(np.concatenate([tight, wide]))
+    assert hamming_ann.learned_radius(codes, np.concatenate([tight, wide]), 5) > 2 * hamming_ann.learned_radius(codes, tight, 5)
+
+
 def test_pigeonhole_finds_every_code_within_the_radius():
     rng = np.random.default_rng(8)
     vectors = rng.standard_normal((900, 32)).astype(np.float32)
