@@ -73,7 +73,7 @@ def test_run(spark, folder):
 
 def test_registered(spark):
     queries = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in queries if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries and "pipeline" not in entry.oracle_sql()
     assert os.path.exists(catalog.tokenizer_path())
 
