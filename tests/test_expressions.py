@@ -121,6 +121,13 @@ def test_markup_pieces(spark, raw, plain):
     assert value(spark, text.html_to_text(lit(raw).cast("string"))) == plain
 
 
+@pytest.mark.parametrize("raw, plain", [
+    ("a &amp</title>{x", "a &amp{x"), ("&copy 1 &eacutee &notit; &amp;lt;", "&copy 1 &eacutee &notit; &lt;"), ("&#8211;&#x41;&#65 &auml;", "–A&#65 ä"),
+])
+def test_entities_need_their_semicolon(spark, raw, plain):
+    assert value(spark, text.html_to_text(lit(raw))) == plain
+
+
 def test_shortened_and_cleaned(spark):
     assert value(spark, text.shorten(lit(" ab\n cd  ef "), 5)) == "ab cd…" and value(spark, text.shorten(lit(" \n"))) is None
     assert value(spark, text.shorten_at_word(lit("ab cd ef"), 7)) == "ab cd …" and value(spark, text.shorten_at_word(lit("abcdefgh"), 4)) == "abcd …"
