@@ -42,6 +42,21 @@ def run(spark, stored, batch, decisions=(), bridge=(), **kw):
     )
 
 
+def test_listings_come_from_one_pass(t):
+    for df in (t.occurrences, t.incoming):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("o_orderdate") > 0
+        assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 6
+
+
+def test_entities_are_grouped_once(spark):
+    staged = []
+    none = spark.createDataFrame([], model.EVENT_CATEGORIES)
+    cats = spark.createDataFrame([(1, "kunst")], "id long, slug string")
+    stage = lambda df: staged.append(df.columns) or df
+    merge.upsert(events(spark, []), none, incoming(spark, [{}]), sources(spark), regions(spark), table(spark, model.VENUES, []), cats, table(spark, model.CATEGORY_DECISIONS, []), NOW_T, stage)
+    assert any("new_text" in columns and "venue_id" not in columns for columns in staged)
+
+
 def test_merge_creates_then_is_unchanged(spark):
     batch = incoming(spark, [{"title": "A", "external_id": "1", "venue_name": "Saal", "city": "Isselhorst"}, {"title": "B", "starts_at": at("2026-07-03 10:00")}, {"title": ""}, {"title": "A2", "external_id": "1"}])
     first = run(spark, events(spark, []), batch)
