@@ -12,15 +12,26 @@ from kalendarium.operators import enrich as E
 from kalendarium.operators import listing as L
 from kalendarium.operators import resolve as R
 from kalendarium.operators import review as V
+from kalendarium.session import cut_lineage
 
 
 def _sets(t: Tables, horizon: int = 60):
     return V.day_sets(_shown(t), NOW, horizon)
 
 
-def _reviewed(t: Tables):
+def _stored_sets(t: Tables):
+    """The sets as stored rows: the review reads them several times, the tables behind them are joined once."""
+    return cut_lineage(_sets(t))
+
+
+def _reviewed(sets):
     """Checkpoints of every third day, as of now."""
-    return V.day_fingerprints(_sets(t)).filter(F.dayofmonth("day") % 3 == 0).select("region_id", "day", "fingerprint")
+    return V.day_fingerprints(sets).filter(F.dayofmonth("day") % 3 == 0).select("region_id", "day", "fingerprint")
+
+
+def _worklist(t: Tables):
+    sets = _stored_sets(t)
+    return V.worklist(sets, _reviewed(sets), None)
 
 
 def _proposals(t: Tables):
@@ -98,8 +109,8 @@ QUERIES = {
     "candidate_shared_place": _q(lambda t: V.days_with_shared_place(_sets(t))),
     "candidate_contained_titles": _q(lambda t: V.days_with_contained_title(_sets(t).withColumn("title", F.when(every(3), F.concat(F.lit("Großes "), "title")).otherwise(F.col("title"))))),
     "candidate_similar_titles": _q(lambda t: V.days_with_similar_titles(_sets(t))),
-    "candidate_days": _q(lambda t: V.candidate_days(_sets(t))),
-    "review_worklist": _q(lambda t: V.worklist(_sets(t), _reviewed(t), None)),
+    "candidate_days": _q(lambda t: V.candidate_days(_stored_sets(t))),
+    "review_worklist": _q(_worklist),
     "remaining_fingerprints": _q(lambda t: V.remaining_fingerprints(_sets(t), _chain_proposals(t))),
     "veto_pairs": _q(lambda t: V.veto_pairs(t.decisions)),
     "valid_proposals": _q(lambda t: V.valid_proposals(_day_proposals(t), _sets(t), t.events, V.veto_pairs(t.decisions)).select("day", "position", "duplicate_id", "canonical_id")),
@@ -107,7 +118,7 @@ QUERIES = {
     "apply_merges": _q(lambda t: V.apply_merges(t.events, V.accept_in_order(_chain_proposals(t)), NOW, "m1")[0].select("id", "status", "duplicate_of")),
     "undo_merges": _q(lambda t: V.undo_merges(t.events, t.decisions, t.decisions.filter(every(3)), NOW, True)[0].select("id", "status", "duplicate_of")),
     "undo_merges_log": _q(lambda t: V.undo_merges(t.events, t.decisions, t.decisions.filter(every(3)), NOW, True)[1].select("id", "active", "undone_by_admin_at")),
-    "reset_region": _q(lambda t: V.reset_region(t.events, t.decisions, _reviewed(t), 2, NOW)[1].select("id", "active")),
+    "reset_region": _q(lambda t: V.reset_region(t.events, t.decisions, _reviewed(_sets(t)), 2, NOW)[1].select("id", "active")),
     "real_category": _q(lambda t: E.split_modes(_sent(t)).select("id", "mode")),
     "category_decisions": _q(lambda t: _decided(t).select("event_id", "mode", "status", F.array_join("previous_slugs", ",").alias("previous"), F.array_join("proposed_slugs", ",").alias("proposed"), "reason")),
     "apply_categories": _q(lambda t: _slugs(E.apply_categories(t.event_categories, t.categories, _decided(t)), t)),

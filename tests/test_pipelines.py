@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kalendarium import model
 from kalendarium.catalog import extract as catalog_extract
 from kalendarium.catalog import health as catalog_health
+from kalendarium.catalog import resolve as catalog_resolve
 from kalendarium.catalog.resolve import _chain_proposals, _sets
 from kalendarium.catalog.tables import NOW, Tables
 from kalendarium.functions.similarity import covered
@@ -48,6 +49,12 @@ def test_listings_come_from_one_pass(t):
         assert df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 6
 
 
+@pytest.mark.parametrize("name", ["candidate_days", "review_worklist"])
+def test_review_reads_stored_sets(spark, name):
+    plan = catalog_resolve.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan
+
+
 def test_entities_are_grouped_once(spark):
     staged = []
     none = spark.createDataFrame([], model.EVENT_CATEGORIES)
