@@ -87,8 +87,13 @@ def _summary_proposals(t: Tables):
     return t.events.filter(every(3)).select(i.alias("event_id"), i.alias("position"), F.when(every(9), "  ").otherwise(F.concat(F.lit(" "), F.repeat("title", 40))).alias("summary"))
 
 
-def _rescued(t: Tables):
-    return R.rescue(R.rededup(t.stored_events, t.sources, NOW), t.sources, t.decisions, NOW)
+def _rescued(t: Tables, decisions=None):
+    return R.rescue(R.rededup(t.stored_events, t.sources, NOW), t.sources, t.decisions if decisions is None else decisions, NOW)
+
+
+def _synced(t: Tables):
+    decisions = cut_lineage(t.decisions)
+    return R.sync_decisions(decisions, _rescued(t, decisions))
 
 
 def _slugs(bridge, t: Tables):
@@ -103,7 +108,7 @@ QUERIES = {
     "rededup": _q(lambda t: R.rededup(t.events, t.sources, NOW).select(*_ROW)),
     "chain_end": _q(lambda t: R.chain_end(t.stored_events)),
     "rescue": _q(lambda t: _rescued(t).select("id", "status", "duplicate_of", "action", "reason")),
-    "sync_decisions": _q(lambda t: R.sync_decisions(t.decisions, _rescued(t)).select("id", "canonical_event_id", "active")),
+    "sync_decisions": _q(lambda t: _synced(t).select("id", "canonical_event_id", "active")),
     "day_fingerprints": _q(lambda t: V.day_fingerprints(_sets(t))),
     "candidate_equal_titles": _q(lambda t: V.days_with_equal_titles(_sets(t))),
     "candidate_shared_place": _q(lambda t: V.days_with_shared_place(_sets(t))),
