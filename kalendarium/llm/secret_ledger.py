@@ -5,8 +5,9 @@ rule version) pairs have been scanned and what was found; a run scans only unsee
 and joins the findings back to all paths and versions that hold the blob. A rule that changes gets a new
 version and is scanned again; the other rules of the blob aren't.
 
-Rows: a null text is the empty blob; copies share one blob and are scanned once; repeated rows come back
-as often as they were given. An empty table gives an empty result and an empty ledger batch.
+Rows: a null text is the empty blob; copies share one blob and one ledger row, and are scanned once per Arrow
+batch: only digests and spans are grouped, so no text is shuffled or sorted for a new ledger. Repeated rows come
+back as often as they were given. An empty table gives an empty result and an empty ledger batch.
 """
 
 from __future__ import annotations
@@ -94,11 +95,15 @@ def _scan_missing(rules: tuple[Rule, ...]):
     def run(batches):
         kind = pa.list_(pa.struct([("rule", pa.string()), ("version", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = []
-            for text, tags in zip(batch.column("text").to_pylist(), batch.column("scanned").to_pylist()):
-                hits = scan(text, tuple(by_tag[t] for t in tags))
+            at: dict[str, int] = {}  # the first place of each blob in the batch
+            for place, blob in enumerate(batch.column("blob").to_pylist()):
+                at.setdefault(blob, place)
+            places, texts = pa.array(at.values(), pa.int64()), batch.column("text")
+            scanned, found = batch.column("scanned").take(places), []
+            for place, tags in zip(at.values(), scanned.to_pylist()):
+                hits = scan(texts[place].as_py(), tuple(by_tag[t] for t in tags))
                 found.append([{"rule": r.name, "version": r.version, "start": a, "end": b} for r, a, b in hits])
-            yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("scanned"), pa.array(found, kind)], ["blob", "scanned", "findings"])
+            yield pa.RecordBatch.from_arrays([batch.column("blob").take(places), scanned, pa.array(found, kind)], ["blob", "scanned", "findings"])
 
     return run
 
@@ -109,17 +114,17 @@ def update_ledger(versions: DataFrame, ledger: str, text: str = "text", rules: t
     spark = versions.sparkSession
     small_batches(spark)
     blobs = versions.select(F.sha2(text_of(text), 256).alias("blob"), text_of(text).alias("text"))
-    # map-side combine: of a blob with many copies each task passes on one
-    one_each = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
     wanted = F.array(*[F.lit(_tag(r)) for r in rules])
     seen = read_ledger(spark, ledger)
     if seen is None:
-        unseen = one_each.select("blob", "text", wanted.alias("scanned"))
+        unseen = blobs.withColumn("scanned", wanted)
     else:
         before = seen.select("blob", F.explode("scanned").alias("tag")).groupBy("blob").agg(F.collect_set("tag").alias("tags"))
         missing = F.array_except(wanted, F.coalesce("tags", F.array().cast("array<string>")))
-        unseen = one_each.join(before, "blob", "left").select("blob", "text", missing.alias("scanned")).filter(F.size("scanned") > 0)
-    unseen.mapInArrow(_scan_missing(rules), LEDGER_SCHEMA).write.mode("append").parquet(ledger)
+        unseen = blobs.join(before, "blob", "left").select("blob", "text", missing.alias("scanned")).filter(F.size("scanned") > 0)
+    # a new ledger shuffles spans, not texts; copies of a blob bear the same tags and spans
+    one_each = unseen.mapInArrow(_scan_missing(rules), LEDGER_SCHEMA).groupBy("blob").agg(F.any_value(F.struct("scanned", "findings")).alias("s"))
+    one_each.select("blob", "s.*").write.mode("append").parquet(ledger)
     return read_ledger(spark, ledger)
 
 

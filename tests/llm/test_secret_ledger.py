@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import DataFrameWriter
+
 from kalendarium.llm import secret_ledger
 from kalendarium.llm.common import run_folder
 from tests.llm.tables import documents, odd_rows, rows
@@ -71,3 +73,15 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert secret_ledger.scan_documents(documents(spark, [])).collect() == []
+
+
+def test_a_new_ledger_moves_no_text(spark, monkeypatch):
+    """Texts are scanned where they are read; only digests and spans go through a shuffle."""
+    moved = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *more: (moved.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, path, *more))[1])
+    given = [(n, f"token=abcdef{n % 3}") for n in range(40)]
+    ledger = secret_ledger.update_ledger(documents(spark, given).repartition(4).select("doc_id", "text"), run_folder(spark, "ledger"))
+    assert sorted(len(r["findings"]) for r in ledger.collect()) == [1, 1, 1]
+    scans = moved[0].index("MapInArrow")
+    assert "hashpartitioning(blob" in moved[0][:scans] and "hashpartitioning(blob" not in moved[0][scans:]
