@@ -92,3 +92,12 @@ def test_skewed_plans_have_no_global_sort_of_a_group(skewed, capsys):
     scale.number_rows(skewed, ["key"], "ts", "id").explain()
     plan = capsys.readouterr().out
     assert "_block" in plan.split("Window")[1]
+
+
+def test_costly_parses_are_compiled(spark):
+    """Below the generator, not in it: a generator's expressions are interpreted, and once more for each mention."""
+    df = scale.computed_once(spark.range(3), doubled=F.get(F.transform(F.array("id"), lambda x: x * 2), F.lit(0))).filter("doubled > 0")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert len(generators) == 1 and "transform" not in generators[0] and plan.count("lambdafunction") == 1
+    assert sorted(r["doubled"] for r in df.collect()) == [2, 4]
