@@ -135,22 +135,25 @@ class Encoder:
         """Ids of words as they stand after a blank. Words are encoded many at a time: the ids of the
         joined text are dealt out where a token begins with the blank."""
         simple = {w for w in missing if w and w[-1].isalnum() and not w[0].isspace()}
-        split, whole = [], []
+        split, whole, letters = [], [], set()
         for word in missing - simple:
             cut = self.word_and_marks.fullmatch(word)
             if cut:
                 split.append((word, cut[1], cut[2]))
-                simple.add(cut[1])
+                letters.add(cut[1])
             elif not word or word[0].isspace():  # a blank before it wouldn't begin its piece among others
                 whole.append(word)
             else:
                 simple.add(word)
         learned = {}
-        for w in simple:
+        # the words themselves are known to be missing, only their letters may have been met
+        for w in letters - simple:
             ids = self.words.get(w) or self.older.get(w)
             if ids:
                 learned[w] = ids
-        new = [w for w in simple if w not in learned]
+            else:
+                simple.add(w)
+        new = list(simple)
         parts = [new[at:at + 4096] for at in range(0, len(new), 4096)]
         while parts:
             part = parts.pop()
@@ -197,12 +200,16 @@ class Encoder:
         heads = self.whole([words[0] for words in cut])
         words = pa.array([w for words in cut for w in islice(words, 1, None)], pa.large_string()).dictionary_encode()
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known, older = self.words.get, self.older.get
-        found = [known(w) or older(w) for w in different]
-        missing = {w for w, ids in zip(different, found) if ids is None}
-        learned = self._learn(missing) if missing else {}
-        self._remember(learned | {w: ids for w, ids in zip(different, found) if ids is not None and w not in self.words})
-        ids = pa.array([learned[w] if ids is None else ids for w, ids in zip(different, found)], pa.large_binary())
+        found = list(map(self.words.get, different))
+        unmet = [at for at, ids in enumerate(found) if ids is None]
+        if unmet:
+            # most words were met lately: the older generation and the tokenizer are asked for the others only
+            again = {w: ids for w in map(different.__getitem__, unmet) if (ids := self.older.get(w))}
+            new = again | self._learn({w for w in map(different.__getitem__, unmet) if w not in again})
+            for at in unmet:
+                found[at] = new[different[at]]
+            self._remember(new)
+        ids = pa.array(found, pa.large_binary())
         spread = ids.take(words.indices)
         if not len(spread):
             return heads

@@ -89,3 +89,17 @@ def test_empty_table(spark):
     path = run_folder(spark, "t1")
     token_store.write_tokens(documents(spark, []), path, catalog.tokenizer_path())
     assert token_store.read_tokens(spark, path).collect() == []
+
+
+def test_words_met_lately_are_not_learned_again():
+    encoder = token_store.Encoder(catalog.tokenizer_path())
+    text = "a text with Words, marks; and ümläut words again"
+    first, asked = encoder.encode([text]), []
+    encoder._learn = lambda missing: asked.append(missing) or {}
+    encoder._remember = lambda words: asked.append(words)
+    assert encoder.encode([text, text]) == first * 2 and asked == []
+    encoder = token_store.Encoder(catalog.tokenizer_path())
+    encoder.encode([text])
+    encoder.words, encoder.older = {}, encoder.words
+    assert encoder.encode([text]) == first and set(text.split(" ")[1:]) <= set(encoder.words)
+    assert first == encoder.whole([text])
