@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kalendarium import scale
+from kalendarium.operators import merge
 from tests.helpers import at, rows
 
 
@@ -101,3 +102,13 @@ def test_costly_parses_are_compiled(spark):
     generators = [line for line in plan.splitlines() if "Generate explode" in line]
     assert len(generators) == 1 and "transform" not in generators[0] and plan.count("lambdafunction") == 1
     assert sorted(r["doubled"] for r in df.collect()) == [2, 4]
+
+
+def test_run_keys_take_one_pass(spark):
+    """Both keys of an event come from one read of it, one digest; an event without cross-source key keeps its row."""
+    data = [(1, 1, "a", "k1", 5, "h", "t"), (1, 1, "", "k2", 6, "h", None), (1, 2, None, None, 7, "h", "t")]
+    events = spark.createDataFrame(data, "region_id long, source_id long, external_id string, dedup_key string, id long, content_hash string, description string")
+    found = merge.key_rows(events.withColumn("id", F.col("id") + F.lit(0)))
+    assert sorted((r["id"], r["run_key"] or "", r["text"] is None) for r in found.collect()) == [(5, "id:a", False), (5, "key:k1", False), (6, "key:k2", True), (7, "", False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("sha2(") == 1
