@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +38,10 @@ SEGMENT_DOCS = 1 << 16
 SAMPLE = 64
 #: words of a generation of the per-worker memo; it keeps two, and words met again move to the younger one
 MEMO = 300_000
+#: words that the tokenizer takes as one text; longer ones cost it more a word
+PART = 256
+#: marks that never join letters before them: a sure cut between the two
+MARKS = ".,;:!?*%$&#|"
 
 FILE_SCHEMA = (
     "shard int, segment int, n_docs int, n_tokens long, n_missing int, first_id long, last_id long, "
@@ -119,8 +123,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.blank_after_space = re.compile(r"\s ")
         self.blank_after_word = re.compile(r"(?<=\S) ")
-        # letters, then marks that never join them: a sure cut between the two
-        self.word_and_marks = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*%$&#|]+)")
+        self.latin = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
         from tokenizers.pre_tokenizers import ByteLevel
 
         probe = "a b"
@@ -137,10 +140,10 @@ class Encoder:
         simple = {w for w in missing if w and w[-1].isalnum() and not w[0].isspace()}
         split, whole, letters = [], [], set()
         for word in missing - simple:
-            cut = self.word_and_marks.fullmatch(word)
-            if cut:
-                split.append((word, cut[1], cut[2]))
-                letters.add(cut[1])
+            bare = word.rstrip(MARKS)
+            if len(bare) < len(word) and (bare.isascii() and bare.isalpha() or self.latin.fullmatch(bare)):
+                split.append((word, bare, word[len(bare):]))
+                letters.add(bare)
             elif not word or word[0].isspace():  # a blank before it wouldn't begin its piece among others
                 whole.append(word)
             else:
@@ -154,7 +157,7 @@ class Encoder:
             else:
                 simple.add(w)
         new = list(simple)
-        parts = [new[at:at + 4096] for at in range(0, len(new), 4096)]
+        parts = [new[at:at + PART] for at in range(0, len(new), PART)]
         while parts:
             part = parts.pop()
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -188,26 +191,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [ids for at in range(0, len(texts), 64) for ids in self.whole(texts[at:at + 64])]
-        return self._joined([self.blank_after_word.split(t) if self._has_odd_blank(t) else t.split(" ") for t in texts])
+        odd = [self._has_odd_blank(t) for t in texts]
+        plain = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.large_string()), " ")
+        cut = pa.array([self.blank_after_word.split(t) for t, o in zip(texts, odd) if o], pa.list_(pa.large_string()))
+        found = {False: iter(self._joined(plain)), True: iter(self._joined(cut))}
+        return [next(found[o]) for o in odd]
 
     def _has_odd_blank(self, text: str) -> bool:
         if text.isascii():  # str.find is faster than the pattern
             return any(pair in text for pair in ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))
         return self.blank_after_space.search(text) is not None
 
-    def _joined(self, cut: list[list[str]]) -> list[bytes]:
+    def _joined(self, cut: pa.ListArray) -> list[bytes]:
         """Ids of texts that are given as lists of at least one word."""
-        heads = self.whole([words[0] for words in cut])
-        words = pa.array([w for words in cut for w in islice(words, 1, None)], pa.large_string()).dictionary_encode()
+        if not len(cut):
+            return []
+        heads, bounds = self.whole(pc.list_element(cut, 0).to_pylist()), cut.offsets.to_numpy()
+        after = np.ones(len(cut.values), dtype=bool)
+        after[bounds[:-1]] = False
+        words = cut.values.filter(pa.array(after)).dictionary_encode()
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.words.get, different))
         unmet = [at for at, ids in enumerate(found) if ids is None]
         if unmet:
             # most words were met lately: the older generation and the tokenizer are asked for the others only
-            again = {w: ids for w in map(different.__getitem__, unmet) if (ids := self.older.get(w))}
-            new = again | self._learn({w for w in map(different.__getitem__, unmet) if w not in again})
-            for at in unmet:
-                found[at] = new[different[at]]
+            words_unmet = [different[at] for at in unmet]
+            new = dict(zip(words_unmet, map(self.older.get, words_unmet)))
+            new.update(self._learn({w for w, ids in new.items() if ids is None}))
+            for at, w in zip(unmet, words_unmet):
+                found[at] = new[w]
             self._remember(new)
         ids = pa.array(found, pa.large_binary())
         spread = ids.take(words.indices)
@@ -215,7 +227,7 @@ class Encoder:
             return heads
         # the words' ids follow each other in one buffer, so a text is a range of it
         places, data = np.frombuffer(spread.buffers()[1], np.int64, len(spread) + 1), memoryview(spread.buffers()[2] or b"")
-        bounds = places[np.cumsum([0] + [len(words) - 1 for words in cut])].tolist()
+        bounds = places[bounds - np.arange(len(bounds))].tolist()
         return [head + bytes(data[a:b]) for head, a, b in zip(heads, bounds, bounds[1:])]
 
 

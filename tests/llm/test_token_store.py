@@ -103,3 +103,23 @@ def test_words_met_lately_are_not_learned_again():
     encoder.words, encoder.older = {}, encoder.words
     assert encoder.encode([text]) == first and set(text.split(" ")[1:]) <= set(encoder.words)
     assert first == encoder.whole([text])
+
+
+def test_new_words_reach_the_tokenizer_in_short_parts_and_texts_keep_their_order():
+    encoder, draw, longest = token_store.Encoder(catalog.tokenizer_path()), random.Random(5), []
+
+    class Asked:
+        def encode_batch_fast(self, texts, **how):
+            longest.append(max((t.count(" ") for t in texts), default=0))
+            return tokenizer().encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(tokenizer(), name)
+
+    encoder.tokenizer = Asked()
+    # every third text has a blank after white space and is cut another way
+    words = ["".join(draw.choices("abcdefg", k=9)) for _ in range(3000)]
+    texts = [" ".join(words[at:at + 100]) + ("\n x" if at % 300 == 0 else "") for at in range(0, 3000, 100)]
+    found = [np.frombuffer(ids, dtype=encoder.dtype).tolist() for ids in encoder.encode(texts)]
+    assert max(longest) < 2 * token_store.PART  # a few words have blanks of their own
+    assert found == [whole_ids(t) for t in texts]
