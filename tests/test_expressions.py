@@ -183,3 +183,12 @@ def test_external_ids(spark):
     assert "u#2026-07-10-2000" in got and "u#2026-07-31-2000" in got and "solo" in got and None in got
     longs = [g for g in got if g and g.startswith("https")]
     assert all(len(g) == 191 for g in longs) and len(set(longs)) == 2
+
+
+def test_entities_are_decoded_among_texts_without_any(spark):
+    texts = ["plain", None, "a &amp; b", "", "&unknown; &uuml;", "cut &amp", "&#8211;&#x41;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    found = [r["d"] for r in rows.select("i", text.decode_entities(F.col("text")).alias("d")).orderBy("i").collect()]
+    assert found == ["plain", None, "a & b", "", "&unknown; ü", "cut &amp", "–A"]
+    unmarked = rows.filter("i in (0, 1, 3)").select(text.decode_entities(F.col("text")).alias("d"))
+    assert {r["d"] for r in unmarked.collect()} == {"plain", None, ""}

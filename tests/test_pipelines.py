@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import pathlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -470,3 +471,20 @@ def test_calendar_files_split_a_region_in_order(t, tmp_path):
     # nothing to export: no file, not a broken one
     exports.export_ics(wanted.limit(0), str(tmp_path / "none"))
     assert not list(pathlib.Path(str(tmp_path / "none")).rglob("*.txt"))
+
+
+def test_calendar_folders_are_listed_by_a_bounded_number_of_tasks(t, tmp_path):
+    path, context = str(tmp_path / "many"), t.spark.sparkContext
+    wanted = catalog_extract._categories_named(t).withColumn("region_id", F.lit(1).cast("long")).orderBy("id").limit(300)
+    exports.export_ics(wanted, path, 1)
+    context.setJobGroup("listing", "folders of one file each")
+    try:
+        read = exports.read_ics(t.spark, path)
+        tracker, until = context.statusTracker(), time.monotonic() + 20
+        while not tracker.getJobIdsForGroup("listing") and time.monotonic() < until:
+            time.sleep(0.1)  # jobs are recorded a little later
+        stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and all(s.numTasks <= 256 for s in stages)
+    assert read.count() == 300 and sorted(r["file"] for r in read.collect()) == list(range(300))
