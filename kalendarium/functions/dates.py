@@ -107,7 +107,8 @@ def _mentioned(mention: Column, clock: Column) -> Column:
         month = F.coalesce(number("day", 1), month_number(F.get(x["day"], F.lit(1))))
         return safe_date(_sane(full_year(number("day", 2))), month, number("day", 0), _clamped(number("clock", 0), 23), _clamped(number("clock", 1), 59))
 
-    return let(F.struct(F.split(mention, r"\.\s*|\s+").alias("day"), F.split(clock, "[:.]").alias("clock")), read)
+    # a split at one character needs no pattern, any other compiles one for each row
+    return let(F.struct(F.regexp_extract_all(mention, F.lit(r"[^.\s]+"), F.lit(0)).alias("day"), F.split(F.translate(clock, ".", ":"), ":").alias("clock")), read)
 
 
 def _clock_within(window: Column) -> Column:
@@ -123,7 +124,7 @@ def german_dates(text: Column) -> Column:
     event, and ends it at the next one if only a clock and a dash lie between. Otherwise the first numeric mention
     counts, then the first spelled one, with the clock that follows closely. Mentions don't overlap: of two dates
     written without anything between them, the first takes its characters."""
-    def mentions(x: Column) -> Column:
+    def mentions(text: Column, x: Column) -> Column:
         numeric = lambda i: F.get(x["days"], i).rlike(r"^[\d.]+$")
         clock_after = lambda i: F.regexp_extract(F.get(x["gaps"], i + 1), r"^,?\s*(\d{1,2}[:.]\d{2})", 1)
         places = F.transform(x["days"], lambda _, i: i)
@@ -142,7 +143,12 @@ def german_dates(text: Column) -> Column:
         other = F.coalesce(let(first(numeric), loose), let(first(lambda i: ~numeric(i)), loose))
         return let(given, lambda g: F.struct(F.coalesce(g["start"], other).alias("start"), F.when(g["end"] > g["start"], g["end"]).alias("end")))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(_MENTION), F.lit(0)).alias("days"), F.split(text, _MENTION).alias("gaps")), mentions)
+    def parts(text: Column) -> Column:
+        # cut at one character that stands for the mentions: a split at a pattern compiles it for each row
+        free = F.when(F.contains(text, F.lit(_SEP)), F.translate(text, _SEP, "\x02")).otherwise(text)
+        return F.struct(F.regexp_extract_all(text, F.lit(_MENTION), F.lit(0)).alias("days"), F.split(F.regexp_replace(free, _MENTION, _SEP), _SEP).alias("gaps"))
+
+    return let(text, lambda whole: let(parts(whole), lambda x: mentions(whole, x)))
 
 
 def course_date(text: Column) -> Column:

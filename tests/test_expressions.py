@@ -192,3 +192,14 @@ def test_entities_are_decoded_among_texts_without_any(spark):
     assert found == ["plain", None, "a & b", "", "&unknown; ü", "cut &amp", "–A"]
     unmarked = rows.filter("i in (0, 1, 3)").select(text.decode_entities(F.col("text")).alias("d"))
     assert {r["d"] for r in unmarked.collect()} == {"plain", None, ""}
+
+
+@pytest.mark.parametrize("raw, plain", [("x  ", "x  "), (" \t\n\r\0\x0bx y\n\0 ", "x y"), (" x ", " x "), (" \n", ""), ("", "")])
+def test_edges_lose_only_the_named_characters(spark, raw, plain):
+    row = spark.createDataFrame([(raw,)], "c string").select(text.trim_edges(F.col("c")).alias("both"), text.trim_end(F.col("c")).alias("end")).first()
+    assert row["both"] == plain and row["end"] == raw.rstrip(" \t\n\r\0\x0b")
+
+
+def test_dates_beside_the_mark_that_cuts_them(spark):
+    row = spark.createDataFrame([("\x01 am 3.4.2026\x01 um 19:30 Uhr \x01",)], "c string").select(dates.german_dates(F.col("c")).alias("d")).first()
+    assert str(row["d"]["start"]) == "2026-04-03 19:30:00" and row["d"]["end"] is None
