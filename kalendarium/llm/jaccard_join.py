@@ -16,7 +16,9 @@ transpose, computed in blocks:
 Equal sets are one row. Dense groups don't list their pairs: first each row meets one leader per (column,
 block), as many cells as the panel has entries, and the links found are joined to groups. Columns that still
 hold several groups do so again with LEADERS leaders each. Then only columns that hold several groups even
-now are multiplied, and only between rows of different groups.
+now are multiplied, and only between rows of different groups: their rows lie in tiles of at most about TILE
+rows, tiles with a common column meet, and a task multiplies two tiles and keeps a forest of their links. So
+neither cells nor links are listed one by one; what grows with the square of a group is pairs of tiles.
 
 Rows: null and empty texts have an empty set and link with nothing, also not with each other; a missing
 doc_id takes part, a group's component_id is the smallest doc_id it has, or null; repeated rows share a
@@ -46,6 +48,8 @@ SLICE = 1 << 12
 LEADERS = 8
 #: columns per step when the whole rows of a cell are multiplied
 PANEL = 4096
+#: rows and leading entries of a tile
+TILE, TILE_ENTRIES = 256, 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -276,6 +280,16 @@ class Matrix:
         met = cells.join(side("b"), "b").join(side("a"), "a").select("a", "b", "columns_a", "columns_b")
         return stored(met.mapInArrow(_verified(self.percent), "a long, b long"), f"{folder}/links")
 
+    def tile_links(self, cells: DataFrame, folder: str) -> DataFrame:
+        """Links that join the rows of cells as all their links do; whole rows travel by tiles."""
+        cells = stored(cells, f"{folder}/cells")
+        members = stored(cells.mapInArrow(_taking_part, "tile long, set_id long").distinct(), f"{folder}/members")
+        whole = self.columns(members.select("set_id").distinct(), folder)
+        packed = members.join(whole, "set_id").groupBy("tile").agg(F.collect_list(F.struct("set_id", "columns")).alias("rows"))
+        side = lambda c: packed.select(F.col("tile").alias(f"tile_{c}"), F.col("rows").alias(f"rows_{c}"))
+        met = cells.join(side("a"), "tile_a").join(side("b"), "tile_b").select("cells", "rows_a", "rows_b")
+        return stored(met.mapInArrow(_tile_links(self.percent), "a long, b long"), f"{folder}/links")
+
 
 def _may_link(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
@@ -309,17 +323,141 @@ def _open_panel(panel: DataFrame, groups: DataFrame) -> DataFrame:
     return placed.join(several, "column", "left_semi")
 
 
-def _group_cells(still: DataFrame, percent: int) -> DataFrame:
-    """Cells between rows of different groups, with enough shared leading columns; rows of a group never meet."""
-    met = still.groupBy("column", "block", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one = met.select("column", F.col("root").alias("root_a"), F.col("block").alias("block_a"), F.col("most").alias("most_a"), F.col("least").alias("least_a"), F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block_b"))
-    two = met.select("column", F.col("root").alias("root_b"), F.col("block").alias("block_b"), F.col("most").alias("most_b"), F.col("least").alias("least_b"))
+def _tiles(still: DataFrame) -> DataFrame:
+    """set_id, tile of the open rows. Rows lie with others that hold the same most frequent column of theirs, at
+    most about TILE rows or TILE_ENTRIES entries together; any tiling gives the same links."""
+    often = still.groupBy("column").agg(F.count(F.lit(1)).alias("held"))
+    home = still.join(often, "column").groupBy("set_id").agg(F.max(F.struct("held", "column"))["column"].alias("home"), F.count(F.lit(1)).alias("entries"))
+    parts = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("entries") / TILE_ENTRIES)).alias("parts"))
+    return home.join(parts, "home").select("set_id", F.xxhash64("home", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("tile"))
+
+
+def _flat(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """All columns of a tile's rows, and the row of each."""
+    columns = rows.field("columns")
+    if pa.types.is_list(columns.type):
+        sizes, flat = np.diff(columns.offsets.to_numpy()), columns.flatten().to_numpy().view(np.uint64)
+    else:
+        packed = columns.to_pylist()
+        sizes, flat = np.array([len(c) // 8 for c in packed], dtype=np.int64), np.frombuffer(b"".join(packed), "<u8")
+    return flat, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def product(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int], panel: int = PANEL) -> np.ndarray:
+    """Overlaps of all rows of two tiles: incidence times transpose, by panels of the columns both hold."""
+    both = np.intersect1d(a[0], b[0])
+    out = np.zeros(shape, dtype=np.int64)
+    held = []
+    for columns, row in (a, b):
+        at = np.searchsorted(both, columns)
+        known = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == columns) if len(both) else at[:0]
+        known = known[np.argsort(at[known], kind="stable")]
+        held.append((at[known], row[known]))
+    for start in range(0, len(both), panel):
+        sides = []
+        for (at, row), n in zip(held, shape):
+            lo, hi = np.searchsorted(at, [start, start + panel])
+            side = np.zeros((n, min(panel, len(both) - start)), dtype=np.float32)
+            side[row[lo:hi], at[lo:hi] - start] = 1
+            sides.append(side)
+        # 32-bit floats hold counts of a panel exactly
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return -(-percent * (n[:, None] + m[None, :]) // (100 + percent))
+
+
+def _tile_cells(percent: int):
+    """Cells of a tile pair that the leading overlap leaves over: rows of different groups."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y, same in zip(batch.column("rows_a"), batch.column("rows_b"), batch.column("same").to_pylist()):
+                x, y = x.values, y.values
+                (a, n, root_a), (b, m, root_b) = ([rows.field(c).to_numpy() for c in ("set_id", "n", "root")] for rows in (x, y))
+                found = product(_flat(x), _flat(y), (len(a), len(b)))
+                beyond = np.maximum((-(-percent * n // 100) - 1)[:, None], (-(-percent * m // 100) - 1)[None, :])
+                left = (found > 0) & (found + beyond >= _least(n, m, percent)) & (root_a[:, None] != root_b[None, :])
+                left &= (n[:, None] * 100 >= m[None, :] * percent) & (m[None, :] * 100 >= n[:, None] * percent)
+                if same:
+                    left &= a[:, None] < b[None, :]
+                i, j = np.nonzero(left)
+                kept.append(np.column_stack([a[i], b[j]]).astype("<i8").tobytes() if len(i) else None)
+            out = pa.RecordBatch.from_arrays([batch.column("tile_a"), batch.column("tile_b"), pa.array(kept, pa.binary())], ["tile_a", "tile_b", "cells"])
+            yield out.filter(out.column("cells").is_valid())
+
+    return run
+
+
+def _group_cells(still: DataFrame, percent: int, tiles: DataFrame | None = None) -> DataFrame:
+    """tile_a, tile_b, cells: per pair of tiles the (set_id, set_id) cells between rows of different groups with
+    enough shared leading columns. Only tiles with a common column meet; rows of a dense column meet within tasks."""
+    placed = still.join(_tiles(still) if tiles is None else tiles, "set_id")
+    met = placed.groupBy("column", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda c: met.select("column", *[F.col(x).alias(f"{x}_{c}") for x in ("tile", "lo", "hi", "least", "most")])
     in_reach = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
-    pairs = one.join(two, ["column", "block_b"]).filter((F.col("root_a") < F.col("root_b")) & in_reach).select("column", "root_a", "block_a", "root_b", "block_b")
-    rows = lambda c, n: still.select("column", F.col("root").alias(f"root_{c}"), F.col("block").alias(f"block_{c}"), F.col("set_id").alias(c), F.col("n").alias(n))
-    cells = pairs.join(rows("a", "n"), ["column", "root_a", "block_a"]).join(rows("b", "m"), ["column", "root_b", "block_b"]).filter(_may_link("n", "m", percent))
-    counted = cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("found"), F.any_value("n").alias("n"), F.any_value("m").alias("m"))
-    return _lifted(counted, percent)
+    several = F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")
+    pairs = side("a").join(side("b"), "column").filter((F.col("tile_a") <= F.col("tile_b")) & in_reach & several).select("tile_a", "tile_b").distinct()
+    rows = placed.groupBy("tile", "set_id").agg(F.any_value("n").alias("n"), F.any_value("root").alias("root"), F.collect_list("column").alias("columns"))
+    packed = rows.groupBy("tile").agg(F.collect_list(F.struct("set_id", "n", "root", "columns")).alias("rows"))
+    whole = lambda c: packed.select(F.col("tile").alias(f"tile_{c}"), F.col("rows").alias(f"rows_{c}"))
+    joined = pairs.join(whole("a"), "tile_a").join(whole("b"), "tile_b").select("tile_a", "tile_b", "rows_a", "rows_b", (F.col("tile_a") == F.col("tile_b")).alias("same"))
+    return joined.mapInArrow(_tile_cells(percent), "tile_a long, tile_b long, cells binary")
+
+
+def _taking_part(batches):
+    """tile, set_id of the rows in cells."""
+    for batch in batches:
+        found: dict[int, set] = {}
+        for a, b, cells in zip(*(batch.column(c).to_pylist() for c in ("tile_a", "tile_b", "cells"))):
+            cells = np.frombuffer(cells, "<i8").reshape(-1, 2)
+            for tile, rows in ((a, cells[:, 0]), (b, cells[:, 1])):
+                found.setdefault(tile, set()).update(np.unique(rows).tolist())
+        times = [len(rows) for rows in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(found), dtype=np.int64), times)), pa.array([r for rows in found.values() for r in rows], pa.int64())], ["tile", "set_id"])
+
+
+def _forest(a: list[int], b: list[int]) -> list[bool]:
+    """Which links join what those before them left apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        root[x] = y
+        keep.append(x != y)
+    return keep
+
+
+def _tile_links(percent: int):
+    """Links of a tile pair by the whole rows; of links that close a circle none."""
+
+    def run(batches):
+        for batch in batches:
+            for x, y, cells in zip(batch.column("rows_a"), batch.column("rows_b"), batch.column("cells").to_pylist()):
+                x, y, cells = x.values, y.values, np.frombuffer(cells, "<i8").reshape(-1, 2)
+                (of_x, row_x), (of_y, row_y) = _flat(x), _flat(y)
+                n, m = np.bincount(row_x, minlength=len(x)), np.bincount(row_y, minlength=len(y))
+                linked = product((of_x, row_x), (of_y, row_y), (len(x), len(y))) >= _least(n, m, percent)
+                at = []
+                for rows, wanted in ((x, cells[:, 0]), (y, cells[:, 1])):
+                    ids = rows.field("set_id").to_numpy()
+                    order = np.argsort(ids)
+                    at.append(order[np.searchsorted(ids[order], wanted)])
+                cells = cells[linked[at[0], at[1]]]
+                cells = cells[np.array(_forest(cells[:, 0].tolist(), cells[:, 1].tolist()), dtype=bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cells[:, 0])), pa.array(np.ascontiguousarray(cells[:, 1]))], ["a", "b"])
+
+    return run
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -331,9 +469,12 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     for turn in range(2):
         groups = stored(components(links, f"{folder}/led-{turn}").select(F.col("node").alias("set_id"), "root"), f"{folder}/groups-{turn}")
         panel = stored(_open_panel(panel, groups), f"{folder}/open-{turn}")
-        cells = _group_cells(panel, percent) if turn else _leader_cells(panel, percent, LEADERS)
-        panel = panel.drop("root")
-        links = links.unionByName(matrix.links(cells, f"{folder}/between-{turn}"))
+        if turn:
+            cells = _group_cells(panel, percent, stored(_tiles(panel), f"{folder}/tiles"))
+            links = links.unionByName(matrix.tile_links(cells, f"{folder}/between-{turn}"))
+        else:
+            links = links.unionByName(matrix.links(_leader_cells(panel, percent, LEADERS), f"{folder}/between-{turn}"))
+            panel = panel.drop("root")
     whole = components(links, f"{folder}/all").select(F.col("node").alias("set_id"), "root")
     narrow = matrix.rows.select("doc_id", "text_hash", "n_shingles", "set_id")
     least = narrow.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))

@@ -89,6 +89,30 @@ def test_rows_of_a_dense_group_meet_their_leader_only(spark):
     assert jaccard_join._group_cells(jaccard_join._open_panel(panel, groups), 85).count() < 120
 
 
+@pytest.mark.parametrize("tile", [7, 256])
+def test_near_copies_just_below_the_bound_meet_by_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    text = " ".join(words(4, 150, 10**6))
+    rows = [(i, changed(text, 1000 + i, 2 + i % 4)) for i in range(150)]
+    folder = jaccard_join.run_folder(spark, "tiles")
+    panel = jaccard_join.Matrix(documents(spark, rows), folder).panel()
+    alone = spark.createDataFrame([], "set_id long, root long")
+    cells = jaccard_join._group_cells(jaccard_join._open_panel(panel, alone), 85).collect()
+    tiles = {t for r in cells for t in (r["tile_a"], r["tile_b"])}
+    assert len(cells) <= len(tiles) * (len(tiles) + 1) // 2
+    assert 2 * len(cells) < sum(len(r["cells"]) for r in cells) // 16
+    assert got(jaccard_join.jaccard_groups(documents(spark, rows))) == brute(rows)
+
+
+def test_product_of_tiles():
+    rng = np.random.default_rng(2)
+    for panel in (3, 4096):
+        a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(n)] for n in (9, 5))
+        flat = lambda rows: (np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+        assert jaccard_join.product(flat(a), flat(b), (9, 5), panel).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard_join._forest([1, 2, 1, 4], [2, 3, 3, 1]) == [True, True, False, True]
+
+
 def test_columns_of_one_row_go_over_batch_ends():
     column = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 7, 7]
     row = [1, 1, 5, 2, 2, 9, 1, 1, 2, 3, 4, 4]
