@@ -34,6 +34,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,9 @@ BLOCK = 64
 FREQUENT = 256
 #: texts whose common terms are multiplied together
 TOGETHER = 64
-#: blocks that are visited before the bound is asked for the first time
+#: texts whose terms are counted together
+COUNTED = 256
+#: blocks that are visited before the bound is asked
 FIRST_BLOCKS = 8
 #: distances are counted from this cosine, so that one wrongly labelled copy doesn't outvote all others
 FARTHEST = 1.2
@@ -60,6 +63,32 @@ BINS = 20
 THRESHOLD = 0.7
 SEED = 29
 _WORD = re.compile(r"\w+")
+#: bytes of texts in lower case: those of words stay, as all beyond ASCII, others become a blank
+_WORD_BYTES = bytes(b if b >= 128 or _WORD.match(chr(b)) else 0x20 for b in range(256))
+
+
+def _plain(text: str) -> bytes:
+    """The text's words in lower case, parted by blanks."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not _WORD.match(c):
+                text = text.replace(c, " ")
+    return text.encode().translate(_WORD_BYTES)
+
+
+def term_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Text, place in the list of terms and count of each different term of each text, by text and place; the terms."""
+    cut = pc.ascii_split_whitespace(pa.array([_plain(t) for t in texts], pa.large_string()))
+    row = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    found = cut.flatten().dictionary_encode()
+    place, terms = found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if "" in terms:  # beside white space at an end
+        given = place != terms.index("")
+        row, place = row[given], place[given]
+    n = max(len(terms), 1)
+    key, counts = np.unique(row * n + place, return_counts=True)
+    return key // n, key % n, counts, terms
 
 
 def held_out() -> Column:
@@ -71,7 +100,7 @@ def _term_counts(batches):
     for batch in batches:
         sums: dict[tuple[str, int], int] = {}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            for term in set(_WORD.findall(text.lower())):
+            for term in set(_plain(text).decode().split()):
                 sums[term, label] = sums.get((term, label), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in sums], pa.string()), pa.array([y for _, y in sums], pa.int32()), pa.array(list(sums.values()), pa.int64())], ["term", "label", "n"])
 
@@ -80,9 +109,11 @@ def _frequencies(space: Space):
     def run(batches):
         totals, documents = np.zeros(len(space.terms), dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                documents += 1
-                totals[space.counts(text)[0]] += 1
+            documents += batch.num_rows
+            for start in range(0, batch.num_rows, COUNTED):
+                _, place, _, terms = term_table(batch.column("text").slice(start, COUNTED).to_pylist())
+                at = space.numbers(terms)[place]
+                totals += np.bincount(at[at >= 0], minlength=len(totals))
         held = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, held), pa.int32()), pa.array(np.append(documents, totals[held]), pa.int64())], ["term", "n"])
 
@@ -98,31 +129,37 @@ class Space:
     def __getstate__(self):
         return self.__dict__ | {"_numbers": None}
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of the text's terms, their counts, and the counts of terms without number."""
+    def numbers(self, terms: list[str]) -> np.ndarray:
+        """The terms' numbers, or -1."""
         if self._numbers is None:
             self._numbers = {term: i for i, term in enumerate(self.terms)}
-        held = Counter(_WORD.findall(text.lower()))
-        at = np.fromiter(map(self._numbers.get, held, repeat(-1)), np.int64, len(held))
-        counts = np.fromiter(held.values(), np.int64, len(held))
-        known = np.flatnonzero(at >= 0)
-        order = known[np.argsort(at[known])]
-        return at[order], counts[order], counts[at < 0]
+        return np.fromiter(map(self._numbers.get, terms, repeat(-1)), np.int64, len(terms))
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, counts, others = self.counts(text)
-        weights = (1 + np.log(counts)) * self.weight[at]
-        norm = math.sqrt(float((weights**2).sum()) + float((((1 + np.log(others)) * self.rest) ** 2).sum()))
-        return (at, weights / norm) if norm > 0 else (at[:0], weights[:0])
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ascending numbers of each text's terms and their weights."""
+        row, place, counts, terms = term_table(texts)
+        at = self.numbers(terms)[place]
+        weights = (1 + np.log(counts)) * np.where(at >= 0, self.weight[at] if len(self.weight) else 0.0, self.rest)
+        norms = np.sqrt(np.bincount(row, weights**2, len(texts)))
+        order = np.lexsort((at, row))
+        order = order[at[order] >= 0]
+        row, at, weights = row[order], at[order], weights[order] / norms[row[order]]
+        ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        return [(at[a:b], weights[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _ragged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one range after the other."""
-    sizes = ends - starts
+    return _ranges(starts, ends - starts)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not len(sizes):
         return np.zeros(0, dtype=np.int64)
     last = np.cumsum(sizes)
-    return np.arange(last[-1]) + np.repeat(starts - (last - sizes), sizes)
+    out = np.repeat(starts - (last - sizes), sizes)
+    out += np.arange(last[-1])
+    return out
 
 
 class BlockMaxIndex:
@@ -149,8 +186,9 @@ class BlockMaxIndex:
         self.example, self.weight = example[order], weight[order]
         term, of_block = term[order], example[order] // block
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (of_block[1:] != of_block[:-1]))) if len(order) else np.zeros(0, dtype=np.int64)
-        self.starts = np.append(starts, len(order))
+        self.starts, self.sizes = starts, np.diff(np.append(starts, len(order)))
         self.entry_block = of_block[starts]
+        self.of_block, self.block_starts = np.arange(n) // block, np.arange(0, n, block)
         self.maxima = np.maximum.reduceat(self.weight, starts) if len(starts) else np.zeros(0)
         self.entries = np.append(0, np.cumsum(np.bincount(term[starts], minlength=n_terms)))
 
@@ -177,31 +215,33 @@ class BlockMaxIndex:
         entry = _ragged(first, last)
         of_entry, blocks = np.repeat(weights[rare], last - first), self.entry_block[entry]
         # no example of a block can have more than its largest common part and every list's maximum
-        bounds = np.maximum.reduceat(common, np.arange(0, self.n, self.block)) + np.bincount(blocks, of_entry * self.maxima[entry], self.n_blocks)
+        bounds = np.maximum.reduceat(common, self.block_starts) + np.bincount(blocks, of_entry * self.maxima[entry], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        chosen, cosines = np.zeros(0, dtype=np.int64), np.zeros(0)
-        done, step = 0, FIRST_BLOCKS
-        while done < len(order):
+        cosines, reached = np.zeros(self.n), 0.0
+        # the best blocks first, then at once all others that can hold one of the k nearest
+        for visit in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
             # leave room for rounding, so that ties are seen
-            reached = np.partition(cosines, len(cosines) - k)[len(cosines) - k] if len(cosines) >= k else 0.0
-            visit = order[done:done + step]
             visit = visit[bounds[visit] >= reached - 1e-9]
             if not len(visit):
                 break
-            done, step = done + step, 2 * step
-            some = _ragged(visit * self.block, np.minimum((visit + 1) * self.block, self.n))
             asked = np.zeros(self.n_blocks, dtype=bool)
             asked[visit] = True
             held = np.flatnonzero(asked[blocks])
-            begin, end = self.starts[entry[held]], self.starts[entry[held] + 1]
-            posting = _ragged(begin, end)
-            sums = np.bincount(self.example[posting], self.weight[posting] * np.repeat(of_entry[held], end - begin), self.n)
-            keep = some[some != but]
-            chosen, cosines = np.append(chosen, keep), np.append(cosines, sums[keep] + common[keep])
+            of_held = entry[held]
+            begin, sizes = self.starts[of_held], self.sizes[of_held]
+            posting = _ranges(begin, sizes)
+            sums = np.bincount(self.example[posting], self.weight[posting] * np.repeat(of_entry[held], sizes), self.n)
+            cosines += np.where(asked[self.of_block], sums + common, 0.0)
+            if but >= 0:
+                cosines[but] = 0.0
+            if k <= self.n:
+                reached = float(np.partition(cosines, self.n - k)[self.n - k])
         hits = np.flatnonzero(cosines > 0)
-        best = hits[np.lexsort((chosen[hits], -cosines[hits].round(12)))[:k]]
-        return list(zip(cosines[best].tolist(), chosen[best].tolist()))
+        # those surely below the k-th needn't be sorted
+        hits = hits[cosines[hits] >= reached - 1e-9]
+        best = hits[np.lexsort((hits, -cosines[hits].round(12)))[:k]]
+        return list(zip(cosines[best].tolist(), best.tolist()))
 
 
 class Model:
@@ -235,7 +275,7 @@ class Model:
         """The toxic share of each text's votes: one over the distance, more by the share of telling terms in the similarity."""
         out: list[tuple] = []
         for start in range(0, len(texts), TOGETHER):
-            vectors = [self.space.vector(t) for t in texts[start:start + TOGETHER]]
+            vectors = self.space.vectors(texts[start:start + TOGETHER])
             near = self.neighbours(vectors, but[start:start + TOGETHER] if but else [-1] * len(vectors))
             out += [(self._share(*v, n), n) for v, n in zip(vectors, near)]
         return out
@@ -366,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 def _vectors(space: Space):
     def run(batches):
         for batch in batches:
-            vectors = [space.vector(t) for t in batch.column("text").to_pylist()]
+            vectors = space.vectors(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("h"), batch.column("doc_id"), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in vectors], pa.list_(pa.int32())), pa.array([w for _, w in vectors], pa.list_(pa.float64()))],
                 ["h", "doc_id", "label", "at", "weights"])

@@ -1,5 +1,7 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,6 +139,34 @@ def test_blocks_below_the_bound_are_not_visited(monkeypatch):
     assert sum(visited[1::2]) <= toxic_neighbours.FIRST_BLOCKS
 
 
+def test_visits_end_where_the_bound_does(monkeypatch):
+    rng = np.random.default_rng(3)
+    groups = [rng.choice(np.arange(g * 200, g * 200 + 200), 30, replace=False) for g in range(30) for _ in range(64)]
+    vectors = [(np.sort(at), np.full(30, 30 ** -0.5)) for at in groups]
+    read, ranges = [], toxic_neighbours._ranges
+    monkeypatch.setattr(toxic_neighbours, "_ranges", lambda a, n: read.append(int(n.sum())) or ranges(a, n))
+    index = toxic_neighbours.BlockMaxIndex(vectors, 6000, frequent=0)
+    index.nearest(*vectors[70], 5)
+    # list entries, then the postings of the text's own block
+    assert len(read) == 2 and read[1] <= 64 * 30
+
+
+@pytest.mark.parametrize("texts", [[], ["  "], ["", "a  B b\n", "x y\u2014z\x85w", "\u0130stanbul \u1e9e STRASSE", "a_b-c'd 12\u00b2 \u0663", "\x1cA\x1fb", "\u65e5\u672c\u8a9e text\u3002ok", " \u00c9T\u00c9\u00a0\u03a3\u0391\u03a3 ", "a\u200bb a"]])
+def test_terms_of_many_texts_are_listed_once(texts):
+    row, place, counts, terms = toxic_neighbours.term_table(texts)
+    assert len(set(terms)) == len(terms)
+    for i, text in enumerate(texts):
+        assert {terms[p]: int(n) for r, p, n in zip(row, place, counts) if r == i} == Counter(re.findall(r"\w+", text.lower()))
+    known = [t for t in terms if t][::2]
+    vectors = toxic_neighbours.Space(known, np.arange(1.0, len(known) + 1), 0.5).vectors(texts)
+    for text, (at, weights) in zip(texts, vectors):
+        held = Counter(re.findall(r"\w+", text.lower()))
+        raw = {t: (1 + np.log(n)) * (1.0 + known.index(t) if t in known else 0.5) for t, n in held.items()}
+        norm = sum(w**2 for w in raw.values()) ** 0.5
+        assert at.tolist() == sorted(known.index(t) for t in held if t in known)
+        assert np.allclose(weights, [raw[known[i]] / norm for i in at])
+
+
 def test_calibration_is_monotone_and_weighed():
     rates, empty = toxic_neighbours.calibrated({(0, 0): 900, (0, 1): 10, (10, 0): 5, (10, 1): 50, (19, 1): 30, (5, 1): 4, (6, 0): 40, (-1, 0): 9}, 0.1)
     assert list(rates) == sorted(rates) and rates[0] < 0.02 and rates[19] > 0.9 and empty == pytest.approx(0.01)
