@@ -45,10 +45,18 @@ def per_worker(name: str, make: Callable):
     their module globals live for one task only; the registry is a module that only lives in the worker."""
     registry = sys.modules.setdefault("_kalendarium_worker", types.ModuleType("_kalendarium_worker")).__dict__
     if name not in registry:
+        forget_others()
         registry[name] = make()
     return registry[name]
 
 
+def forget_others() -> None:
+    """Drops what other operators kept: a worker outlives the stages of a pipeline, and an operator keeps one object."""
+    registry = sys.modules.get("_kalendarium_worker")
+    for name in [n for n in vars(registry) if not n.startswith("__")] if registry else []:
+        del registry.__dict__[name]
+
+
 #: names that tables of documents won't hold
 KEY = ["__corpus_id", "__corpus_no_id", "__corpus_text"]
 

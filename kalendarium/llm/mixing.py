@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kalendarium.llm.common import run_folder, small_batches, stored, text_of
+from kalendarium.llm.common import forget_others, run_folder, small_batches, stored, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -36,6 +36,7 @@ HASH_BUCKETS = 4096
 
 
 def _sizes(batches):
+    forget_others()
     for batch in batches:
         # bytes.split() cuts at exactly the six white-space characters of the word rule
         sizes = [len(t.encode("utf-8", "surrogatepass").split()) for t in batch.column("text").to_pylist()]

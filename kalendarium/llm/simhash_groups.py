@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendarium.llm.common import run_folder, small_batches, stored, text_of
+from kalendarium.llm.common import forget_others, run_folder, small_batches, stored, text_of
 from kalendarium.llm.components import components
 
 RADIUS = 4
@@ -66,6 +66,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        forget_others()
         for batch in batches:
             prints = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(prints, pa.int64())], ["doc_id", "text_hash", "fp"])

@@ -95,3 +95,15 @@ def test_sql_twins(spark, name):
     df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(df.columns) == sorted(columns)
     assert rows(df, *columns) == sorted(theirs.fetchall(), key=repr)
+
+
+def test_a_worker_keeps_one_operators_object():
+    from kalendarium.llm import common
+
+    first = common.per_worker("one", list)
+    assert common.per_worker("one", list) is first
+    second = common.per_worker("two", list)
+    assert common.per_worker("two", list) is second
+    assert common.per_worker("one", list) is not first
+    common.forget_others()
+    assert common.per_worker("two", list) is not second
