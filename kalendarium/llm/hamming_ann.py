@@ -171,10 +171,10 @@ def _search(dim: int, k: int, radius: int, kind: str):
     return run
 
 
-def _visits(shards: DataFrame, queries: DataFrame, n_shards: int, dim: int, k: int, radius: int, kind: str) -> DataFrame:
-    blocks = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors"))
-    met = blocks.join(shards, "shard").sortWithinPartitions("shard")
-    return met.mapInArrow(_search(dim, k, radius, kind), "query_id long, vec_id long, score double")
+def _visits(shards: DataFrame, queries: DataFrame, dim: int, k: int, radius: int, kind: str) -> DataFrame:
+    # every block meets every shard: blocks repeated per shard would be shuffled, or broadcast by the size of the unrepeated ones
+    blocks = queries.select(F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"), F.col("vectors").alias("q_vectors"))
+    return shards.crossJoin(blocks).mapInArrow(_search(dim, k, radius, kind), "query_id long, vec_id long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -202,8 +202,9 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = QUERY_EVERY, s
     dim, total = sizes[0]["dim"], sizes[0]["count"]
     rows = rows.filter(F.size("v") == dim)
     share = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.filter(share < min(1.0, SAMPLE / total)).orderBy("vec_id").collect()
-    sample = np.array([r["v"] for r in some] or [r["v"] for r in rows.limit(1).collect()], dtype=kind)
+    drawn = rows.filter(share < min(1.0, SAMPLE / total)).orderBy("vec_id").select("v").toArrow()
+    some = drawn if drawn.num_rows else rows.limit(1).select("v").toArrow()
+    sample = np.array(some.column("v").combine_chunks().flatten(), dtype=kind).reshape(-1, dim)
     codes = Codes.fit(sample)
     radius = learned_radius(codes, sample, k)
     n_shards = max(1, -(-total // shard_rows))
@@ -213,9 +214,9 @@ def nearest_neighbours(table: DataFrame, k: int = 5, every: int = QUERY_EVERY, s
     asked = rows.filter(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-asked.count() // query_rows))
     pack_queries = lambda df: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).groupBy("block").applyInArrow(_pack(codes, "block", kind), f"block long, {layout}")
-    found = _top(_visits(shards, stored(pack_queries(asked), f"{folder}/queries"), n_shards, dim, k, radius, kind), k)
+    found = _top(_visits(shards, stored(pack_queries(asked), f"{folder}/queries"), dim, k, radius, kind), k)
     found = stored(found.select("query_id", "rank", "vec_id", "score"), f"{folder}/found")
     full = found.groupBy("query_id").count().filter(F.col("count") >= k)
     short = asked.join(full, asked["vec_id"] == full["query_id"], "left_anti")
-    again = _top(_visits(shards, stored(pack_queries(short), f"{folder}/short"), n_shards, dim, k, codes.bits, kind), k)
+    again = _top(_visits(shards, stored(pack_queries(short), f"{folder}/short"), dim, k, codes.bits, kind), k)
     return found.join(full, "query_id", "left_semi").unionByName(again.select(*found.columns)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -87,3 +87,11 @@ def test_few_rows_and_none(spark):
     assert [i for i, _ in answers(hamming_ann.nearest_neighbours(df))[0]] == [1, 2]
     assert answers(hamming_ann.nearest_neighbours(df.filter("vec_id = 0"))) == {}
     assert answers(hamming_ann.nearest_neighbours(df.limit(0))) == {}
+
+
+def test_query_blocks_are_not_repeated_per_shard_before_they_meet(spark, tmp_path):
+    codes = np.zeros((4, 4), dtype="<u8").tobytes()
+    rows = [(i, np.arange(4, dtype="<i8").tobytes(), codes, np.ones((4, 2), dtype="<f4").tobytes()) for i in range(50)]
+    table = lambda key, n: hamming_ann.stored(spark.createDataFrame(rows[:n], f"{key} long, ids binary, codes binary, vectors binary"), f"{tmp_path}/{key}")
+    plan = hamming_ann._visits(table("shard", 50), table("block", 3), 2, 5, 256, "<f4")._jdf.queryExecution()
+    assert "Generate" not in plan.optimizedPlan().toString() and "hashpartitioning" not in plan.executedPlan().toString()
