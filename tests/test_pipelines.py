@@ -65,6 +65,21 @@ def test_entities_are_grouped_once(spark):
     assert any("new_text" in columns and "venue_id" not in columns for columns in staged)
 
 
+def test_content_moves_once_before_the_stored_rows_meet_it(spark):
+    """Matching, order, venue, duplicate and new id are found on keys and digests; one staged table holds whole rows of the entities."""
+    staged = []
+    cats, none = spark.createDataFrame([(1, "kunst")], "id long, slug string"), table(spark, model.CATEGORY_DECISIONS, [])
+    stored = events(spark, [{"id": 1, "external_id": "x", "description": "alt", "content_hash": "h"}])
+    batch = incoming(spark, [{"external_id": "x", "description": "neu", "venue_name": "Saal"}, {"external_id": "x", "description": "neuer"}, {"external_id": "n", "title": "Neu"}])
+    stage = lambda df: staged.append(merge.cut_lineage(df)) or staged[-1]
+    out = merge.upsert(stored, spark.createDataFrame([], model.EVENT_CATEGORIES), batch, sources(spark), regions(spark), table(spark, model.VENUES, []), cats, none, NOW_T, stage)
+    assert rows(out.events, "id", "description") == [(1, "neuer"), (2, None)]
+    assert rows(out.actions, "position", "action") == [(0, "updated"), (1, "updated"), (2, "created")]
+    assert len([df for df in staged if {"description", "matched_id"} & set(df.columns) == {"description", "matched_id"}]) == 1
+    verdicts = [df for df in staged if "action" in df.columns]
+    assert len(verdicts) == 1 and not {"title", "description", "content_hash"} & set(verdicts[0].columns)
+
+
 def test_merge_creates_then_is_unchanged(spark):
     batch = incoming(spark, [{"title": "A", "external_id": "1", "venue_name": "Saal", "city": "Isselhorst"}, {"title": "B", "starts_at": at("2026-07-03 10:00")}, {"title": ""}, {"title": "A2", "external_id": "1"}])
     first = run(spark, events(spark, []), batch)

@@ -30,6 +30,24 @@ def test_previous_value(skewed, monkeypatch):
     assert rows(scale.previous_value(skewed, ["key"], "id", F.col("v"), "p"), "id", "p") == rows(plain, "id", "p")
 
 
+def test_previous_value_moves_rows_once_and_block_heads_again(skewed):
+    skewed.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scale.previous_value(skewed, ["key"], "id", F.col("v"), "p")._jdf.queryExecution()
+        assert "Join" not in plan.optimizedPlan().toString()
+        moves = plan.executedPlan().toString()
+        # the block shuffle stands in both branches with the same columns, so one of them is reused
+        dealt = [line.split("Exchange ")[1] for line in moves.splitlines() if "Exchange hashpartitioning" in line and "_block" in line]
+        assert len(dealt) == 2 and moves.count("Exchange hashpartitioning") == 3
+    finally:
+        skewed.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_previous_value_of_null_values(spark):
+    data = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 7), ("b", 1, None)], "key string, id long, v int")
+    assert rows(scale.previous_value(data, ["key"], "id", F.col("v"), "p"), "key", "id", "p") == [("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 1, None)]
+
+
 def test_top_per_group(skewed):
     plain = skewed.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("v"), "id"))).filter("rank <= 9")
     assert rows(scale.top_per_group(skewed, ["key"], [F.desc("v"), F.col("id")], 9, "id"), "id", "rank") == rows(plain, "id", "rank")
